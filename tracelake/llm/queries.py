@@ -1,10 +1,15 @@
 """The queries of this package and, where SQL can express them, their SQL."""
 
-from . import decontamination
+from . import decontamination, licenses, pii, quality, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op2_license_scan": licenses.op2_license_scan,
+    "op5_pii": pii.op5_pii,
+    "op7_quality": quality.op7_quality,
+    "op8_toxicity": toxicity.op8_toxicity,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontamination.OP1_SQL,
+    "op2_license_scan": licenses.OP2_SQL,
 }
