@@ -1,15 +1,20 @@
 """The queries of this package and, where SQL can express them, their SQL."""
 
-from . import decontamination, licenses, pii, quality, toxicity
+from . import decontamination, licenses, lines, pii, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_license_scan": licenses.op2_license_scan,
+    "op3_line_dedup": lines.op3_line_dedup,
+    "op4_simhash": simhash.op4_simhash,
     "op5_pii": pii.op5_pii,
+    "op6_top_k": topk.op6_top_k,
     "op7_quality": quality.op7_quality,
     "op8_toxicity": toxicity.op8_toxicity,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontamination.OP1_SQL,
     "op2_license_scan": licenses.OP2_SQL,
+    "op3_line_dedup": lines.OP3_SQL,
+    "op6_top_k": topk.OP6_SQL,
 }
