@@ -40,8 +40,20 @@ def _least(n: Column, threshold: float) -> Column:
 
 
 def _bitmap(hashes: Column) -> Column:
-    """64 bits, one set for each hash: two sets differ in at least as many members as their bitmaps in bits."""
-    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))))
+    """128 bits, one set for each hash: two sets differ in at least as many members as their bitmaps in bits."""
+
+    def half(k: int) -> Column:
+        def put(a: Column, h: Column) -> Column:
+            bit = F.pmod(h, F.lit(128))
+            return F.when(F.floor(bit / 64) == k, a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int")))).otherwise(a)
+
+        return F.aggregate(hashes, F.lit(0).cast("bigint"), put)
+
+    return F.struct(half(0).alias("l"), half(1).alias("h"))
+
+
+def _differing(a: Column, b: Column) -> Column:
+    return F.bit_count(a["l"].bitwiseXOR(b["l"])) + F.bit_count(a["h"].bitwiseXOR(b["h"]))
 
 
 def line_sets(docs: DataFrame) -> DataFrame:
@@ -61,12 +73,12 @@ def line_sets(docs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The cids of pairs (cid, mine, theirs) whose lines match, compared by their whole sets."""
-    texts = docs.select(F.col("doc_id").alias("_id"), row_key(F.col("text")).alias("_key"), F.split(F.col("text"), "\n").alias("_ls")).dropDuplicates(["_id", "_key"])
+    texts = docs.select(F.col("doc_id").alias("_id"), row_key(F.col("text")).alias("_key"), F.split(F.col("text"), "\\n").alias("_ls"))
+    lines = texts.select("_id", "_key", F.posexplode_outer("_ls").alias("_no", "_line"))
 
     def hashes(df: DataFrame, place: str, out: str) -> DataFrame:
-        line = F.get("_ls", F.col(f"{place}.line_no"))
-        met = df.join(texts, F.col(f"{place}.doc_id").eqNullSafe(F.col("_id")) & (F.col(f"{place}.text_key") == F.col("_key")))
-        return met.withColumn(out, F.transform(F.array_distinct(words(line)), lambda w: F.xxhash64(w))).drop("_id", "_key", "_ls")
+        met = df.join(lines, F.col(f"{place}.doc_id").eqNullSafe(F.col("_id")) & (F.col(f"{place}.text_key") == F.col("_key")) & (F.col(f"{place}.line_no") == F.col("_no")))
+        return met.withColumn(out, F.transform(F.array_distinct(words(F.col("_line"))), lambda w: F.xxhash64(w))).drop("_id", "_key", "_no", "_line")
 
     both = hashes(hashes(pairs, "theirs", "ha"), "mine", "hb")
     shared = F.size(F.array_intersect("ha", "hb"))
@@ -95,11 +107,11 @@ def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD, min_words: i
         need = _least(F.col(f"{a}n") + F.col(f"{b}n"), threshold / (1 + threshold))
         return (
             (F.col(f"{a}n") >= _least(F.col(f"{b}n"), threshold)) & (F.col(f"{b}n") >= _least(F.col(f"{a}n"), threshold))
-            & (F.bit_count(F.col(f"{a}bm").bitwiseXOR(F.col(f"{b}bm"))) <= F.col(f"{a}n") + F.col(f"{b}n") - 2 * need)
+            & (_differing(F.col(f"{a}bm"), F.col(f"{b}bm")) <= F.col(f"{a}n") + F.col(f"{b}n") - 2 * need)
             & (F.least(F.col(f"{a}n") - F.col(f"{a}i"), F.col(f"{b}n") - F.col(f"{b}i")) >= need)
         )
 
-    near = F.struct(F.bit_count(F.col("bm").bitwiseXOR(F.col("head.bm"))).alias("d"), F.col("head.place").alias("theirs"))
+    near = F.struct(_differing(F.col("bm"), F.col("head.bm")).alias("d"), F.col("head.place").alias("theirs"))
     nearest = groups.where((F.col("cid") != F.col("head.cid")) & fits("", "head.")).groupBy("cid").agg(F.min("place").alias("mine"), F.min(near).alias("near"))
     matched = stored(_verified(nearest.select("cid", "mine", "near.theirs"), docs, threshold))
 
