@@ -1,6 +1,6 @@
 """The queries of this package and, where SQL can express them, their SQL."""
 
-from . import decontamination, licenses, lines, pii, quality, simhash, topk, toxicity
+from . import decontamination, licenses, lines, pii, quality, simhash, substrings, topk, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -11,10 +11,12 @@ QUERIES = {
     "op6_top_k": topk.op6_top_k,
     "op7_quality": quality.op7_quality,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_substring_dedup": substrings.op9_substring_dedup,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontamination.OP1_SQL,
     "op2_license_scan": licenses.OP2_SQL,
     "op3_line_dedup": lines.OP3_SQL,
     "op6_top_k": topk.OP6_SQL,
+    "op9_substring_dedup": substrings.OP9_SQL,
 }
