@@ -21,6 +21,7 @@ row is judged by its own text; all columns of the input are kept, and only text
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -67,6 +68,8 @@ def _grams(h: np.ndarray, n: int, salt: int) -> np.ndarray:
 
 def anchored(texts: list[str | None], cache: _Hashes, window: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of texts: (text's number, window's first word, word hashes' place, anchor's hash, all hashes) of each window."""
+    if not 0 <= window - gram < 16:
+        raise ValueError("a window has 1 to 16 grams")
     at = 0
     while at < len(texts):
         lists, total, first = [], 0, at
@@ -75,21 +78,21 @@ def anchored(texts: list[str | None], cache: _Hashes, window: int, gram: int) ->
             total += len(lists[-1])
             at += 1
         sizes = np.array([len(x) for x in lists], np.int64)
-        h = np.fromiter((cache[w] for x in lists for w in x), np.uint64, total)
+        h = np.fromiter(map(cache.__getitem__, chain.from_iterable(lists)), np.uint64, total)
         g = _grams(h, gram, 0)
         m = len(h) - window + 1
         if m <= 0:
             continue
-        best, which = g[:m].copy(), np.zeros(m, np.int64)
-        for k in range(1, window - gram + 1):  # the first of equal ones leads
-            less = g[k : k + m] < best
-            best[less] = g[k : k + m][less]
-            which[less] = k
+        high = g & ~np.uint64(15)
+        best = high[:m].copy()  # the least hash, and in its low bits which gram has it; the first of equal ones leads
+        for k in range(1, window - gram + 1):
+            np.minimum(best, high[k : k + m] | np.uint64(k), out=best)
+        which = (best & np.uint64(15)).astype(np.int64)
         ends = np.cumsum(sizes)
         text = np.repeat(np.arange(len(lists)), sizes)[:m]
         inside = np.arange(m) + window <= ends[text]
         place = np.flatnonzero(inside)
-        yield text[place] + first, place - (ends - sizes)[text[place]], place, best[place], which[place], h
+        yield text[place] + first, place - (ends - sizes)[text[place]], place, g[place + which[place]], which[place], h
 
 
 def _slot(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
