@@ -1,6 +1,6 @@
 """The queries of this package and, where SQL can express them, their SQL."""
 
-from . import decontamination, licenses, lines, pii, quality, simhash, substrings, topk, toxicity
+from . import decontamination, licenses, lines, pii, quality, segment, simhash, substrings, topk, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_quality": quality.op7_quality,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_substring_dedup": substrings.op9_substring_dedup,
+    "op10_segment": segment.op10_segment,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontamination.OP1_SQL,
