@@ -4,9 +4,9 @@ A window is ``window`` consecutive words. A word goes if it lies in a window who
 with a smaller doc_id; windows are judged on the input.
 
 Seed: each window is led by its anchor, the least hash among its grams of ``gram`` words (winnowing: equal windows choose
-equal anchors, and neighbouring windows mostly share one). Anchors that occur in one text only can't seed a repeat;
+equal anchors, and neighbouring windows mostly share one). Anchors that occur in one document only can't seed a repeat;
 Spark counts them and a bit table of fixed size says which anchors may be shared. Extend: around each seed all
-windows that it leads are extended to both sides to their full length and joined by a 128-bit hash with the smallest doc_id
+windows that it leads are extended to both sides to their full length and joined by a 96-bit hash with the smallest doc_id
 that has them. Overlapping repeats of a document then merge to maximal runs, each at least ``window`` words long.
 
 Groups are aggregates (least doc_id of a window), never lists of documents, so a passage that a third of all documents
@@ -30,11 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, row_key
+from .common import read
 
 WINDOW = 13
 GRAM = 5
-SLOTS = 1 << 20
+SLOTS = 1 << 19
 #: Words are hashed in runs of about so many, to bound memory.
 RUN = 500_000
 _WEIGHTS = np.random.default_rng(3).integers(1, 2**63, 128, dtype=np.uint64) | np.uint64(1)
@@ -101,28 +101,25 @@ def _slot(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
 
 def repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, slots: int = SLOTS) -> DataFrame:
     """(doc_id, text_key, starts): the first words of the windows of each row that a smaller doc_id has too, in order."""
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", row_key(F.col("text")).alias("text_key"), "text")
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.hash("text").alias("text_key"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def seeds(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
         for b in parts:
-            key = b.column("text_key").to_numpy(zero_copy_only=False)
             for text, start, _, anchor, which, _ in anchored(b.column("text").to_pylist(), cache, window, gram):
                 spot = start + which  # consecutive windows mostly share their anchor
                 new = np.ones(len(text), bool)
                 new[1:] = (text[1:] != text[:-1]) | (spot[1:] != spot[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(key[text[new]])], names=["a", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), b.column("doc_id").take(pa.array(text[new]))], names=["a", "doc_id"])
 
-    found = texts.select("text_key", "text").mapInArrow(seeds, "a bigint, k bigint")
-    shared = found.groupBy("a").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi")
-    # A text that several doc_ids have is a repeat as a whole: its windows pass by the key's own bit.
-    keys = texts.groupBy(F.col("text_key").alias("a")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
+    found = texts.select("doc_id", "text").mapInArrow(seeds, f"a bigint, doc_id {id_type}")
+    shared = found.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
     slot = F.pmod(F.shiftrightunsigned("a", 6), F.lit(slots))
-    bits = shared.select("a").unionByName(keys.select("a")).groupBy(slot.alias("s")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("a").bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
-    rows = bits.toPandas()  # at most ``slots`` rows
+    bits = shared.groupBy(slot.alias("s")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("a").bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
+    rows = bits.toArrow()  # at most ``slots`` rows
     table = np.zeros(slots, np.uint64)
-    table[rows["s"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
+    table[rows["s"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
     may_share = docs.sparkSession.sparkContext.broadcast(table)
 
     def passes(h: np.ndarray) -> np.ndarray:
@@ -133,17 +130,16 @@ def repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, slots: i
         cache = _Hashes()
         for b in parts:
             ids, key = b.column("doc_id"), b.column("text_key").to_numpy(zero_copy_only=False)
-            whole = passes(key.view(np.uint64))
             for text, start, place, anchor, _, h in anchored(b.column("text").to_pylist(), cache, window, gram):
-                ok = passes(anchor) | whole[text]
+                ok = passes(anchor)
                 t, p = text[ok], place[ok]
                 w1, w2 = _grams(h, window, 16)[p], _grams(h, window, 64)[p]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), ids.take(pa.array(t)), pa.array(key[t]), pa.array(start[ok].astype(np.int32))], names=["w1", "w2", "doc_id", "text_key", "start"]
+                    [pa.array(w1.view(np.int64)), pa.array((w2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.take(pa.array(t)), pa.array(key[t]), pa.array(start[ok].astype(np.int32))], names=["w1", "w2", "doc_id", "text_key", "start"]
                 )
 
-    windows = texts.mapInArrow(extend, f"w1 bigint, w2 bigint, doc_id {id_type}, text_key bigint, start int")
-    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id <> last_id").drop("last_id")
+    windows = texts.mapInArrow(extend, f"w1 bigint, w2 int, doc_id {id_type}, text_key int, start int")
+    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_id"))
     late = windows.join(first, ["w1", "w2"]).where("doc_id > first_id")
     return late.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("start")).alias("starts"))
 
@@ -154,7 +150,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM,
     The kept words are joined by one blank.
     """
     gone = repeats(docs, window=window, gram=gram, slots=slots).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "starts")
-    met = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (row_key(docs["text"]) == gone["_key"]), "left")
+    met = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.hash(docs["text"]) == gone["_key"]), "left")
 
     @F.pandas_udf("struct<kept:string,n_words:bigint,n_removed:bigint,runs:array<struct<s:int,e:int>>>")
     def cut(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
