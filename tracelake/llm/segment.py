@@ -40,7 +40,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K = 2
 ALPHA = 1.0
 SEED = 17
-RUN = 600_000
+RUN = 200_000
 BLANK = "▁"
 #: Stands for a literal U+2581 of the text while it is cut into words.
 _LITERAL = "\U0010fffe"
