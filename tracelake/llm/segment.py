@@ -40,7 +40,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K = 2
 ALPHA = 1.0
 SEED = 17
-RUN = 200_000
+RUN = 100_000
+ROWS = 256
 BLANK = "▁"
 #: Stands for a literal U+2581 of the text while it is cut into words.
 _LITERAL = "\U0010fffe"
@@ -101,11 +102,11 @@ def _hash(s: str) -> int:
     return int(h[0])
 
 
-_BITS = np.uint64((1 << 20) - 1)
+_BITS = np.uint64((1 << 16) - 1)
 
 
 def _table(h: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << 20, bool)
+    out = np.zeros(1 << 16, bool)
     out[(h & _BITS).astype(np.int64)] = True
     return out
 
@@ -373,20 +374,20 @@ def encode_samples(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        for b in parts:
-            own = np.array([xxhash.xxh64_intdigest(x or "\0", seed=seed) for x in b.column("_key").to_pylist()], np.uint64)
-            texts = b.column("_text").to_pylist()
-            # A few texts at a time, so that what is held does not grow with the batch.
-            held: list[tuple] = []
-            weight = 0
-            for got in sample_runs(texts, own, v, k=k, alpha=alpha):
-                held.append(got)
-                weight += len(got[2])
-                if weight > 2_000_000:
+        for whole in parts:
+            for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
+                own = np.array([xxhash.xxh64_intdigest(x or "\0", seed=seed) for x in b.column("_key").to_pylist()], np.uint64)
+                # A few rows at a time, so that what is held does not grow with the batch.
+                held: list[tuple] = []
+                weight = 0
+                for got in sample_runs(b.column("_text").to_pylist(), own, v, k=k, alpha=alpha):
+                    held.append(got)
+                    weight += len(got[2])
+                    if weight > 300_000:
+                        yield _batch(b, keep, held)
+                        held, weight = [], 0
+                if held:
                     yield _batch(b, keep, held)
-                    held, weight = [], 0
-            if held:
-                yield _batch(b, keep, held)
 
     return carried.mapInArrow(batches, schema)
 
