@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ K = 2
 ALPHA = 1.0
 SEED = 17
 RUN = 100_000
-ROWS = 256
+ROWS = 1024
 BLANK = "▁"
 #: Stands for a literal U+2581 of the text while it is cut into words.
 _LITERAL = "\U0010fffe"
@@ -77,13 +78,19 @@ class Vocabulary:
         # Bit tables say which hashes may be a piece of this length, or the beginning of a longer one.
         self.maybe: list[np.ndarray] = [_table(np.empty(0, np.uint64))]
         self.heads: list[np.ndarray] = [_table(np.empty(0, np.uint64))]
+        heads: list[list[np.ndarray]] = [[] for _ in range(self.longest + 1)]
         for size in range(1, self.longest + 1):
             own = [(p, i) for p, i in pieces if len(p) == size]
-            h = np.array([_hash(p) for p, _ in own], np.uint64)
+            cps = np.frombuffer("".join(p for p, _ in own).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, size)
+            h = np.zeros(len(own), np.uint64)
+            for c in range(size):
+                if c:
+                    heads[c].append(h)
+                h = _next(h, cps[:, c])
             o = np.argsort(h)
             self.whole.append((h[o], np.array([i for _, i in own], np.int64)[o]))
             self.maybe.append(_table(h))
-            self.heads.append(_table(np.array([_hash(p[:size]) for p, _ in pieces if len(p) > size], np.uint64)))
+        self.heads += [_table(np.concatenate([*x, np.empty(0, np.uint64)])) for x in heads[1:]]
 
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -95,13 +102,6 @@ def _next(h: np.ndarray, cp: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _hash(s: str) -> int:
-    h = np.zeros(1, np.uint64)
-    for c in np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.uint64):
-        h = _next(h, c)
-    return int(h[0])
-
-
 _BITS = np.uint64((1 << 16) - 1)
 
 
@@ -245,17 +245,16 @@ def sample_runs(texts: list[str | None], keys: np.ndarray, v: Vocabulary, *, k:
     """(text's number, rank from 1, piece ids, log-probability, perturbed value, inclusion score), by text, then rank."""
     at = 0
     while at < len(texts):
-        index: dict[str, int] = {}
-        numbers, sizes, first = [], [], at
-        total = 0
+        lists: list[list[str]] = []
+        first, total = at, 0
         while at < len(texts) and total < RUN:
             t = texts[at] or ""
-            units = _UNIT.findall(BLANK + t.replace(BLANK, _LITERAL).replace(" ", BLANK)) if t else []
-            numbers.extend([index.setdefault(u, len(index)) for u in units])
-            sizes.append(len(units))
-            total += len(units)
+            lists.append(_UNIT.findall(BLANK + t.replace(BLANK, _LITERAL).replace(" ", BLANK)) if t else [])
+            total += len(lists[-1])
             at += 1
-        yield from _sample(list(index), np.array(numbers, np.int64), np.array(sizes, np.int64), keys[first:at], v, k, alpha, first)
+        index = dict(zip(dict.fromkeys(chain.from_iterable(lists)), count()))
+        numbers = np.fromiter(map(index.__getitem__, chain.from_iterable(lists)), np.int64, total)
+        yield from _sample(list(index), numbers, np.array([len(x) for x in lists], np.int64), keys[first:at], v, k, alpha, first)
 
 
 def _sample(units, numbers, sizes, keys, v, k, alpha, first):
@@ -292,18 +291,21 @@ def _sample(units, numbers, sizes, keys, v, k, alpha, first):
         cut = np.r_[0, np.cumsum(per_occ)][np.r_[offset, len(occ)]]
         noise = _uniform(_mix(seed[np.repeat(np.arange(len(occ)), per_occ)] ^ np.uint64(0x5851F42D4C957F2D)) + np.arange(len(arcs), dtype=np.uint64) - cut[np.repeat(which, per_occ)].astype(np.uint64))
         logp = lat.logp[arcs]
-        rest = _rest(logp)
+        # The log-probability up to each arc is summed text by text, so that it does not depend on the run.
+        bases = np.array([float(lat.logp[prefix[t][0]].sum()) if prefix[t] else 0.0 for t in begin_text])
+        before = np.empty(len(arcs))
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            np.cumsum(logp[i:j], out=before[i:j])
+        owner = np.repeat(np.arange(len(begin_text)), np.diff(cut))
+        before += bases[owner] - logp
+        bound = _below(before + _rest(logp), value[begin_text][owner], noise)
         for j, t in enumerate(begin_text):
-            a, un = arcs[cut[j] : cut[j + 1]], unit_of[cut[j] : cut[j + 1]]
-            head = prefix[t]
-            lp = logp[cut[j] : cut[j + 1]]
-            base = float(lat.logp[head[0]].sum()) if head else 0.0
-            before = base + np.cumsum(lp) - lp
-            bound = _below(before + rest[cut[j] : cut[j + 1]], value[t], noise[cut[j] : cut[j + 1]])
+            here = slice(cut[j], cut[j + 1])
+            a, un, head = arcs[here], unit_of[here], prefix[t]
             skip = len(head[0]) if head else 0
             if head:
-                a, un = np.r_[head[0], a], np.r_[head[1], un]
-            paths[t].append({"arcs": a, "units": un, "skip": skip, "bound": bound, "before": before, "logp": base + float(lp.sum()), "g": float(value[t]), "taken": {}})
+                a, un = np.concatenate([head[0], a]), np.concatenate([head[1], un])
+            paths[t].append({"arcs": a, "units": un, "skip": skip, "bound": bound[here], "before": before[here], "logp": bases[j] + float(logp[here].sum()), "g": float(value[t]), "taken": {}})
         # The best open node of each text leads to its next path.
         texts_on, units_on, nodes_on = [], [], []
         for t in begin_text:
