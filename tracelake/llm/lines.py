@@ -20,18 +20,27 @@ doc_id comes before all others; all columns of the input are kept, and only text
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, row_key, stored, words
+from .common import GAP, lower_ascii, read, row_key, stored, words
 
 THRESHOLD = 0.8
 MIN_WORDS = 3
 BUCKETS = 16_384
 
 
+#: The low bits of a hash that name its bucket; BUCKETS is a power of two.
+_LOW = BUCKETS.bit_length() - 1
+
+
 def _bucket(h: Column) -> Column:
-    return F.pmod(h, F.lit(BUCKETS)).cast("int")
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
+def _constant(numbers: list[int]) -> Column:
+    """A table of a fixed number of rows as one folded constant."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
 
 
 def _least(n: Column, threshold: float) -> Column:
@@ -44,8 +53,8 @@ def _bitmap(hashes: Column) -> Column:
 
     def half(k: int) -> Column:
         def put(a: Column, h: Column) -> Column:
-            bit = F.pmod(h, F.lit(128))
-            return F.when(F.floor(bit / 64) == k, a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int")))).otherwise(a)
+            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))
+            return F.when(h.bitwiseAND(F.lit(64)) == 64 * k, a.bitwiseOR(bit)).otherwise(a)
 
         return F.aggregate(hashes, F.lit(0).cast("bigint"), put)
 
@@ -57,28 +66,55 @@ def _differing(a: Column, b: Column) -> Column:
 
 
 def line_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line_no, n, cid, bm, order): each line; order holds its word hashes, rarest first."""
-    texts = docs.select("doc_id", row_key(F.col("text")).alias("text_key"), F.split(F.col("text"), "\n").alias("ls"))
-    at = texts.select("doc_id", "text_key", F.posexplode_outer("ls").alias("line_no", "line"))
-    hashed = at.select("doc_id", "text_key", "line_no", F.transform(F.array_distinct(words(F.col("line"))), lambda w: F.xxhash64(w)).alias("h"))
-    seen = hashed.select(F.explode_outer("h").alias("x")).where("x IS NOT NULL").groupBy(_bucket(F.col("x")).alias("b")).agg(F.count("*").alias("n"))
+    """(doc_id, text_key, line_no, n, cid, bm, order): each line; order holds a 64-bit key of each word, rarest first.
+
+    A key is the rank of the hash's bucket by rarity, then the rest of the hash, so sorting numbers sorts by rarity.
+    """
+    every = docs.select(F.explode(F.split(lower_ascii(F.col("text")), GAP)).alias("w"))
+    seen = every.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
     counts = [0] * BUCKETS
     for r in seen.collect():  # at most BUCKETS rows, whatever the input
         counts[r["b"]] = r["n"]
-    table = F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")  # folded to one constant
-    rare = F.transform("h", lambda h: F.struct(F.get(table, _bucket(h)).alias("n"), h.alias("h")))
-    ordered = hashed.select("doc_id", "text_key", "line_no", F.transform(F.array_sort(rare), lambda x: x["h"]).alias("order"))
+    ranks = [0] * BUCKETS
+    for rank, b in enumerate(sorted(range(BUCKETS), key=lambda b: (counts[b], b))):
+        ranks[b] = (rank - BUCKETS // 2) << (64 - _LOW)
+    texts = docs.select("doc_id", row_key(F.col("text")).alias("text_key"), F.split(F.col("text"), "\n").alias("ls"))
+    at = texts.select("doc_id", "text_key", F.posexplode_outer("ls").alias("line_no", "line"))
+    table = _constant(ranks)
+    keys = F.transform(_hashes(F.col("line")), lambda h: F.get(table, _bucket(h)).bitwiseOR(F.shiftrightunsigned(h, _LOW)))
+    ordered = at.select("doc_id", "text_key", "line_no", F.sort_array(keys).alias("order"))
     return ordered.select("doc_id", "text_key", "line_no", F.size("order").alias("n"), F.xxhash64("order").alias("cid"), _bitmap(F.col("order")).alias("bm"), "order")
 
 
+def _hashes(line: Column) -> Column:
+    return F.transform(F.array_distinct(words(line)), lambda w: F.xxhash64(w))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The cids of pairs (cid, mine, theirs) whose lines match, compared by their whole sets."""
-    texts = docs.select(F.col("doc_id").alias("_id"), row_key(F.col("text")).alias("_key"), F.split(F.col("text"), "\\n").alias("_ls"))
-    lines = texts.select("_id", "_key", F.posexplode_outer("_ls").alias("_no", "_line"))
+    """The cids of pairs (cid, mine, theirs) whose lines match, compared by their whole sets.
+
+    A table of a fixed number of bits says which lines no pair names; those are not shuffled. When it fills up, the joins decide.
+    """
+    pairs = stored(pairs)
+    places = pairs.select(F.explode(F.array("mine", "theirs")).alias("p"))
+
+    def spot(key: str, no: str) -> Column:
+        return F.xxhash64(key, no).bitwiseAND(F.lit(BUCKETS * 64 - 1))
+
+    named = places.select(spot("p.text_key", "p.line_no").alias("s"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))
+    bits = [0] * BUCKETS
+    for r in named.groupBy(F.shiftright("s", 6).cast("int").alias("b")).agg(F.bit_or(bit).alias("v")).collect():  # at most BUCKETS rows
+        bits[r["b"]] = r["v"]
+    texts = docs.select(F.col("doc_id").alias("_id"), row_key(F.col("text")).alias("_key"), F.split(F.col("text"), "\n").alias("_ls"))
+    lines = texts.select("_id", "_key", F.posexplode_outer("_ls").alias("_no", "_line")).withColumn("_s", spot("_key", "_no"))
+    word_of = F.get(_constant(bits), F.shiftright("_s", 6).cast("int"))
+    lines = lines.where(F.call_function("shiftright", word_of, F.col("_s").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    lines = lines.select("_id", "_key", "_no", _hashes(F.col("_line")).alias("_h"))
 
     def hashes(df: DataFrame, place: str, out: str) -> DataFrame:
         met = df.join(lines, F.col(f"{place}.doc_id").eqNullSafe(F.col("_id")) & (F.col(f"{place}.text_key") == F.col("_key")) & (F.col(f"{place}.line_no") == F.col("_no")))
-        return met.withColumn(out, F.transform(F.array_distinct(words(F.col("_line"))), lambda w: F.xxhash64(w))).drop("_id", "_key", "_no", "_line")
+        return met.withColumnRenamed("_h", out).drop("_id", "_key", "_no")
 
     both = hashes(hashes(pairs, "theirs", "ha"), "mine", "hb")
     shared = F.size(F.array_intersect("ha", "hb"))
@@ -98,9 +134,9 @@ def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD, min_words: i
     own = stored(sets.select("cid", place.alias("place"), "n", "bm", prefix.alias("prefix"))).where(F.col("n") >= min_words)
     classes = own.groupBy("cid").agg(F.min(F.struct("place", "n", "bm", "prefix")).alias("v")).select("cid", "v.place", "v.n", "v.bm", "v.prefix")
     tokens = classes.select("cid", "place", "n", "bm", F.posexplode_outer("prefix").alias("i", "x"))
-    by_x = Window.partitionBy("x")
-    met = tokens.withColumn("head", F.min(F.struct("place", "cid", "n", "bm", "i")).over(by_x)).withColumn("g", F.count("*").over(by_x)).where("g > 1").drop("g")
-    groups = stored(met)
+    # Aggregates and a join, not a window: a word that very many lines share is dealt over many tasks.
+    heads = tokens.groupBy("x").agg(F.min(F.struct("place", "cid", "n", "bm", "i")).alias("head"), F.count("*").alias("g")).where("g > 1").drop("g")
+    groups = stored(tokens.join(heads, "x"))
 
     def fits(a: str, b: str):
         """Length, bitmap and positional filters for two rows that share a prefix word."""
