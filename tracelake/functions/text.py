@@ -62,3 +62,17 @@ def slug(value: Column) -> Column:
 
 def tokens(value: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(value, F.lit("[A-Za-z0-9_.-]{3,}"), F.lit(0)), F.lower))
+
+
+#: The words for a priority, in the order in which they are looked for.
+PRIORITIES = (("높여", "high"), ("높게", "high"), ("올려", "high"), ("high", "high"), ("낮춰", "low"), ("낮게", "low"), ("내려", "low"), ("low", "low"), ("보통", "normal"), ("normal", "normal"), ("긴급", "urgent"), ("urgent", "urgent"))
+
+
+def keyword_value(text: Column, pairs: tuple[tuple[str, str], ...] = PRIORITIES) -> Column:
+    """The value of the first word, in declared order, that the text contains in lower case; null if none (FN-4)."""
+    return F.coalesce(*[F.when(F.lower(text).contains(word), value) for word, value in pairs])
+
+
+def safe(value: Column) -> Column:
+    """All but letters, digits, dot, dash and underscore become an underscore (FN-11)."""
+    return F.regexp_replace(value, r"[^\p{L}\p{N}._-]", "_")

@@ -118,3 +118,10 @@ def relevance(nodes: DataFrame, entries: DataFrame, *, k: int = 5) -> DataFrame:
     scored = shared.join(tags, ["node", "id"], "left").withColumn("score", F.col("shared") + F.coalesce("w", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("score").desc(), "created_at", "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("node", "id", "score", "rank")
+
+
+def active_invalidations(entries: DataFrame) -> DataFrame:
+    """(src, src_type, dst, created_at) of each invalidation whose release stands, with its release's date (MEM-9)."""
+    own = entries.select(F.col("id").alias("src"), F.col("type").alias("src_type"))
+    release = entries.select(F.col("id").alias("dst"), "created_at")
+    return validity(entries).where("status = 'active'").join(own, "src").join(release, "dst").select("src", "src_type", "dst", "created_at")

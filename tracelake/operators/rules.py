@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,33 @@ def summary(*checks: tuple[str, str, DataFrame], strict: bool = False) -> DataFr
         part = part.withColumn("ok", (F.col("violations") == 0) | F.lit(severity != "error" and not strict))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def endpoints(edges: DataFrame, classes: DataFrame, rules: DataFrame) -> DataFrame:
+    """classes (node, class), rules (kind, from_class, to_class): edges whose ends are of another class or of none (CON-4)."""
+    a, b = (classes.select(F.col("node").alias(end), F.col("class").alias(f"_{end}")) for end in ("src", "dst"))
+    met = edges.join(F.broadcast(rules), "kind").join(a, "src", "left").join(b, "dst", "left")
+    return met.where(~(F.col("_src").eqNullSafe(F.col("from_class")) & F.col("_dst").eqNullSafe(F.col("to_class")))).select("src", "kind", "dst")
+
+
+def required_when(rows: DataFrame, when: Column, need: Column) -> DataFrame:
+    """Rows that meet a condition without what it asks for; unknown counts as not met (CON-6)."""
+    return rows.where(F.coalesce(when, F.lit(False)) & ~F.coalesce(need, F.lit(False)))
+
+
+def degree_bounds(degrees: DataFrame, classes: DataFrame, rules: DataFrame) -> DataFrame:
+    """rules (class, least_in, most_in, least_out, most_out), null for no bound: (node, class, n_in, n_out) outside (CON-7)."""
+    met = classes.join(F.broadcast(rules), "class").join(degrees, "node", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_in", "n_out")})
+    out = met.where("n_in < least_in OR n_in > most_in OR n_out < least_out OR n_out > most_out")
+    return out.select("node", "class", "n_in", "n_out")
+
+
+def qualified_counts(nodes: DataFrame) -> DataFrame:
+    """nodes (workflow, class): workflows without exactly one Start and at least one End (CON-11)."""
+    n = nodes.groupBy("workflow").agg(F.count_if(F.col("class") == "Start").alias("starts"), F.count_if(F.col("class") == "End").alias("ends"))
+    return n.where("starts <> 1 OR ends < 1")
+
+
+def redundant_next(nexts: DataFrame, branches: DataFrame) -> DataFrame:
+    """(src, dst) of next edges that a branch of the same node leads to as well (CON-12)."""
+    return nexts.select("src", "dst").distinct().join(branches.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
