@@ -41,8 +41,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K = 2
 ALPHA = 1.0
 SEED = 17
-RUN = 100_000
-ROWS = 1024
+RUN = 25_000
+ROWS = 256
 BLANK = "▁"
 #: Stands for a literal U+2581 of the text while it is cut into words.
 _LITERAL = "\U0010fffe"
@@ -385,7 +385,7 @@ def encode_samples(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 for got in sample_runs(b.column("_text").to_pylist(), own, v, k=k, alpha=alpha):
                     held.append(got)
                     weight += len(got[2])
-                    if weight > 300_000:
+                    if weight > 100_000:
                         yield _batch(b, keep, held)
                         held, weight = [], 0
                 if held:
