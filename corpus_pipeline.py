@@ -15,8 +15,8 @@ from tracelake.llm.common import read, shared_dir
 from tracelake.llm.decontamination import decontaminate
 from tracelake.llm.fitting import fold
 from tracelake.llm.lines import dedup_lines
+from tracelake.llm.near import keep_first
 from tracelake.llm.segment import encoded
-from tracelake.llm.simhash import keep_first
 from tracelake.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -32,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    """Of each group of near duplicates the document with the smallest doc_id stays. 0.8 of the 5-word shingles in common or 4 bits of op4 apart link."""
     return keep_first(docs)
 
 
