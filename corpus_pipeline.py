@@ -27,8 +27,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later matches of a line leave the text; every document stays. n_chars follows the text."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Later matches of a line leave the text, also of lines of one or two words; every document stays. n_chars follows the text."""
+    return dedup_lines(docs, min_words=1).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

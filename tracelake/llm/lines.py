@@ -11,7 +11,8 @@ sizes must be within t of each other (length filter), and the words from the sha
 filter). What passes is verified by the whole sets. Rarity is counted over all documents in ``BUCKETS`` buckets of words, a
 table of fixed size; any fixed order is exact, a rarer prefix only makes fewer candidates.
 
-Words are compared by 64-bit hashes. Lines of fewer than ``min_words`` different words have no match and stay.
+Words are compared by 64-bit hashes. Lines of fewer than ``min_words`` different words have no match and stay: 3 in op3, as its
+SQL says; with 1 only lines without words stay.
 
 Defined cases: a null text has no line and stays null; an empty line has no words and stays; an empty text stays empty; a text whose
 lines all go becomes empty, its row stays; repeated rows are told apart by nothing and keep the same lines; a null
@@ -133,7 +134,8 @@ def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD, min_words: i
     prefix = F.slice("order", 1, F.col("n") - _least(F.col("n"), threshold) + 1)
     own = stored(sets.select("cid", place.alias("place"), "n", "bm", prefix.alias("prefix"))).where(F.col("n") >= min_words)
     classes = own.groupBy("cid").agg(F.min(F.struct("place", "n", "bm", "prefix")).alias("v")).select("cid", "v.place", "v.n", "v.bm", "v.prefix")
-    tokens = classes.select("cid", "place", "n", "bm", F.posexplode_outer("prefix").alias("i", "x"))
+    # A set matches at most one of a word more, so the smallest sets match only their equals: these need no pairs.
+    tokens = classes.where(F.col("n") >= _least(F.col("n") + 1, threshold)).select("cid", "place", "n", "bm", F.posexplode_outer("prefix").alias("i", "x"))
     # Aggregates and a join, not a window: a word that very many lines share is dealt over many tasks.
     heads = tokens.groupBy("x").agg(F.min(F.struct("place", "cid", "n", "bm", "i")).alias("head"), F.count("*").alias("g")).where("g > 1").drop("g")
     groups = stored(tokens.join(heads, "x"))
