@@ -27,13 +27,18 @@ def _pages(s, d):
     return p.withColumns({"parent": F.regexp_extract("path", "^(.*)/[^/]*$", 1), "root": F.regexp_extract("path", "^[^/]+/[^/]+", 0)})
 
 
+def _by_scheme(s, d, scheme):
+    """The pages of http or https; together they are all pages."""
+    return _pages(s, d).join(S.read(s, d, "pages").where(F.col("url").startswith(scheme + "://")).select("page_id"), "page_id", "left_semi")
+
+
 def _routed(s, d):
     nodes = S.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("type"), F.col("o_orderpriority").alias("judge"))
     return J.route(nodes, s.createDataFrame(_ROUTES, "type string, judge string, provider string"), s.createDataFrame(_DEFAULTS, "type string, provider string"))
 
 
-def _targets(s, d):
-    o = S.read(s, d, "orders").where("o_orderkey % 20 = 0")
+def _targets(s, d, of="o_orderkey % 20 = 0"):
+    o = S.read(s, d, "orders").where(of)
     return o.select(F.col("o_orderpriority").alias("workflow"), F.concat(F.lit("customer/"), (F.col("o_custkey") + 1).cast("long")).alias("artifact")).distinct()
 
 
@@ -90,6 +95,13 @@ QUERIES = {
     "con12_redundant_next": lambda s, d: R.redundant_next(S.control(s, d), S.control(s, d).where("src < dst")),
     "mem9_active_invalidations": lambda s, d: M.active_invalidations(S.entries(s, d)),
     "fn4_keyword_value": lambda s, d: S.utterances(s, d).select("session_id", "turn_id", fn.keyword_value(F.col("utterance")).alias("priority")),
+    # Over whole tables: no row is left out by its id.
+    "join7_outside_whole": lambda s, d: J.outside(_pages(s, d).select("page_id", "path"), _by_scheme(s, d, "https").select(F.col("root").alias("path"))).select("page_id", "path"),
+    "join9_paired_whole": lambda s, d: J.paired(S.read(s, d, "customer").select(F.col("c_custkey").alias("key")), S.read(s, d, "orders").select(F.col("o_custkey").alias("key"))),
+    "join10_inventory_whole": lambda s, d: J.inventory(_by_scheme(s, d, "https"), _by_scheme(s, d, "http")),
+    "join12_consumed_whole": lambda s, d: J.consumed(S.artifacts(s, d), S.streams(s, d), S.artifacts(s, d).where("validation IS NULL").select(F.col("id").alias("artifact"))).select("id"),
+    "grf8_stream_view_whole": lambda s, d: V.view_counts(V.stream_view(S.streams(s, d), S.membership(s, d))),
+    "grf18_mismatches_whole": lambda s, d: V.target_mismatches(_targets(s, d, "true"), S.streams(s, d), S.membership(s, d)),
     "fn11_safe": lambda s, d: S.read(s, d, "pages").select("page_id", fn.safe(F.col("url")).alias("safe")),
 }
 _CLASSES = "SELECT 'customer/' || c_custkey node, CASE WHEN c_custkey % 10 = 0 THEN 'guest' ELSE 'customer' END AS class FROM customer UNION ALL SELECT node, split_part(node, '/', 1) FROM (SELECT src node FROM s WHERE kind = 'consumed_by' UNION SELECT dst FROM s WHERE kind = 'consumed_by')"
@@ -124,5 +136,14 @@ ORACLE_SQL = {
     "con12_redundant_next": f"SELECT src, dst FROM ({S.CONTROL_SQL}) WHERE src < dst",
     "mem9_active_invalidations": f"{_E} SELECT src, a.type src_type, dst, b.created_at FROM r JOIN e a ON src = a.id JOIN e b ON dst = b.id WHERE kind = 'invalidated-by' AND dst NOT IN (SELECT dst FROM r WHERE kind = 'rolls-back')",
     "fn4_keyword_value": f"SELECT conv_id session_id, turn turn_id, CASE {_WORDS} END priority FROM conversations",
+    "join7_outside_whole": f"{_PG} SELECT page_id, path FROM p WHERE NOT EXISTS (SELECT 1 FROM p q JOIN pages g ON g.page_id = q.page_id WHERE starts_with(url, 'https://') AND (p.path = q.root OR starts_with(p.path, q.root || '/')))",
+    "join9_paired_whole": "SELECT coalesce(a, b) AS key, CASE WHEN a IS NULL THEN 'right' WHEN b IS NULL THEN 'left' ELSE 'both' END state FROM (SELECT DISTINCT c_custkey a FROM customer) FULL JOIN (SELECT DISTINCT o_custkey b FROM orders) ON a = b",
+    "join10_inventory_whole": f"""{_PG}, d AS (SELECT path, parent FROM p JOIN pages USING (page_id) WHERE starts_with(url, 'https://')), h AS (SELECT path, parent FROM p JOIN pages USING (page_id) WHERE starts_with(url, 'http://'))
+      SELECT DISTINCT path, 'missing' state FROM d WHERE path NOT IN (SELECT path FROM h) UNION ALL SELECT DISTINCT path, 'extra' FROM h WHERE parent IN (SELECT parent FROM d) AND path NOT IN (SELECT path FROM d)""",
+    "join12_consumed_whole": f"{_ST} SELECT id FROM a WHERE validation IS NULL OR id IN (SELECT src FROM s WHERE kind = 'consumed_by')",
+    "grf8_stream_view_whole": f"""{_ST}, t AS (SELECT workflow, src, dst FROM s JOIN m ON src = node UNION SELECT workflow, src, dst FROM s JOIN m ON dst = node),
+      c AS (SELECT workflow, node FROM m UNION SELECT workflow, src FROM t UNION SELECT workflow, dst FROM t), v AS (SELECT workflow, src, kind, dst FROM s JOIN c ON src = node UNION SELECT workflow, src, kind, dst FROM s JOIN c ON dst = node) {_COUNTS}""",
+    "grf18_mismatches_whole": f"""{_ST}, p AS ({_MADE}), t AS (SELECT DISTINCT o_orderpriority workflow, 'customer/' || (o_custkey + 1) artifact FROM orders)
+      SELECT workflow, artifact, (SELECT count(*) FROM p WHERE p.workflow = t.workflow) available FROM t WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.workflow = t.workflow AND p.artifact = t.artifact)""",
     "fn11_safe": r"SELECT page_id, regexp_replace(url, '[^\p{L}\p{N}._-]', '_', 'g') safe FROM pages",
 }
