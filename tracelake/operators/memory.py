@@ -100,22 +100,37 @@ def validate(entries: DataFrame, *, types: tuple[str, ...] = ("release-note", "t
     return entries.withColumn("_n", rank).select("id", F.explode(F.array_compact(F.array(*rules))).alias("issue"))
 
 
-#: Weight of a shared tag.
+#: Weight of a shared tag, of a module among the tags, and of each type (0 if not named).
 TAG_WEIGHT = 18
+MODULE_WEIGHT = 12
+TYPE_PRIORITIES = {"principle": 30, "pattern": 26, "user-decision": 24, "episode": 20, "trouble-shooting": 16, "issue-note": 14, "agent-decision": 12, "alternatives-record": 12}
 
 
 def relevance(nodes: DataFrame, entries: DataFrame, *, k: int = 5) -> DataFrame:
-    """(node, id, score, rank): the k entries that share most tokens and tags with each node (MEM-12, TOP-3).
+    """(node, id, score, rank): the k entries that score highest for each node (MEM-12, TOP-3).
 
-    Tokens join by equality; a token that very many entries have is what skew join handles. Entries without overlap score 0
-    and are not listed.
+    nodes: node, text, tags, types (the types allowed; null or empty: any). entries: id, type, title, text, tags, module,
+    created_at. The score is the type's priority, 18 for each shared tag, 1 for each shared token, and 12 if the module is
+    one of the node's tags; ties go by created_at, then id. An entry without overlap has its priority only, so of each type
+    just the first k can rank: these meet all nodes. Tokens join by equality; a token that very many entries have is what
+    skew join handles.
     """
-    tok = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z0-9_.-]{3,}"), F.lit(0)), F.lower))
-    n = nodes.select("node", F.explode_outer(tok(F.col("text"))).alias("t"))
-    e = entries.select("id", "created_at", F.explode_outer(tok(F.col("text"))).alias("t"))
-    shared = n.join(e, "t").groupBy("node", "id", "created_at").agg(F.count("*").alias("shared"))
-    tags = nodes.select("node", "tag").join(entries.select("id", F.col("lang").alias("tag")), "tag").select("node", "id", F.lit(TAG_WEIGHT).alias("w"))
-    scored = shared.join(tags, ["node", "id"], "left").withColumn("score", F.col("shared") + F.coalesce("w", F.lit(0)))
+    tok = lambda *c: F.array_distinct(F.transform(F.regexp_extract_all(F.concat_ws(" ", *c), F.lit("[A-Za-z0-9_.-]{3,}"), F.lit(0)), F.lower))
+    low = lambda c: F.array_distinct(F.transform(F.array_compact(c), F.lower))
+    n_tags = nodes.select("node", F.explode(low(F.col("tags"))).alias("t"))
+    shared = nodes.select("node", F.explode(tok("text")).alias("t")).join(entries.select("id", F.explode(tok("id", "type", "title", "text", "tags")).alias("t")), "t")
+    tagged = n_tags.join(entries.select("id", F.explode(low(F.col("tags"))).alias("t")), "t")
+    module = n_tags.join(entries.select("id", F.lower("module").alias("t")).where("t <> ''"), "t")
+
+    priority = F.coalesce(F.create_map(*[F.lit(x) for p in TYPE_PRIORITIES.items() for x in p])[F.col("type")], F.lit(0))
+    known = entries.select("id", "type", F.coalesce("created_at", F.lit("")).alias("created_at"), priority.alias("p"))
+    of_type = F.row_number().over(Window.partitionBy("type").orderBy("created_at", "id"))
+    first = known.withColumn("_n", of_type).where(F.col("_n") <= k).select("id")
+
+    weighed = [df.select("node", "id", F.lit(w).alias("w")) for df, w in ((shared, 1), (tagged, TAG_WEIGHT), (module, MODULE_WEIGHT), (nodes.select("node").crossJoin(first), 0))]
+    met = weighed[0].unionByName(weighed[1]).unionByName(weighed[2]).unionByName(weighed[3]).groupBy("node", "id").agg(F.sum("w").alias("w"))
+    allowed = F.coalesce((F.size("types") == 0) | F.array_contains("types", F.col("type")), F.col("types").isNull())
+    scored = met.join(known, "id").join(nodes.select("node", "types"), "node").where(allowed).withColumn("score", F.col("w") + F.col("p"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("score").desc(), "created_at", "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("node", "id", "score", "rank")
 

@@ -56,7 +56,14 @@ def _cardinality(spark, d):
 
 def _nodes(spark, d):
     b = S.read(spark, d, "benchmark")
-    return b.select(F.col("item_id").alias("node"), "text", F.when(F.col("item_id") % 2 == 0, "en").otherwise("fr").alias("tag"))
+    i = F.col("item_id")
+    tags = F.array(F.when(i % 2 == 0, "en").otherwise("fr"), F.concat(F.lit("src"), (i % 20).cast("string")))
+    return b.select(i.alias("node"), "text", tags.alias("tags"), F.when(i % 5 == 0, F.array(F.lit("user-decision"), F.lit("trouble"))).alias("types"))
+
+
+def _tagged(spark, d):
+    """Entries with their language as a tag and their source as a module."""
+    return S.entries(spark, d).select("id", "type", F.lit(None).cast("string").alias("title"), "text", F.array("lang").alias("tags"), F.col("source").alias("module"), "created_at")
 
 
 def _part_trust(s, d):
@@ -89,7 +96,7 @@ QUERIES = {
     "mem7_current_release": lambda s, d: M.current_release(S.entries(s, d)),
     "mem8_validity": lambda s, d: M.validity(S.entries(s, d)),
     "mem10_revalidation": lambda s, d: M.revalidation(S.entries(s, d)),
-    "mem12_relevance": lambda s, d: M.relevance(_nodes(s, d), S.entries(s, d)),
+    "mem12_relevance": lambda s, d: M.relevance(_nodes(s, d), _tagged(s, d)),
     "grf1_evidence": lambda s, d: G.evidence(S.streams(s, d)),
     "grf2_own_trust": lambda s, d: _part_trust(s, d).select("id", F.round("trust", 4).alias("trust")),
     "grf3_propagate": lambda s, d: G.propagate(G.own_trust(S.artifacts(s, d)).unionByName(S.read(s, d, "customer").select(F.concat(F.lit("customer/"), "c_custkey").alias("id"), F.lit(0.5).alias("trust"))), G.evidence(S.streams(s, d))).select("id", F.round("trust", 4).alias("trust")),
