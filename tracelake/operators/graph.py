@@ -51,16 +51,33 @@ def propagate(trust: DataFrame, edges: DataFrame, *, rounds: int = 3, own: float
     return now
 
 
-def workflow_trust(streams: DataFrame, membership: DataFrame, trust: DataFrame, *, weights: tuple[float, float] = (0.4, 0.3)) -> DataFrame:
-    """(workflow, trust): weighted means over the edges that it consumes and produces, weights renormalised (GRF-5)."""
+#: The score of each executing subject (0.5 if not named).
+SUBJECTS = {"human": 0.95, "system": 0.85, "self": 0.75, "workflow": 0.70, "model": 0.65}
+
+
+def execution_trust(executions: DataFrame) -> DataFrame:
+    """(node, trust) of executions (node, subject, method, policy, timestamp): 0.6 subject score, 0.4 declared metadata (GRF-4)."""
+    subject = F.coalesce(F.create_map(*[F.lit(x) for pair in SUBJECTS.items() for x in pair])[F.col("subject")], F.lit(0.5))
+    declared = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in ("method", "policy", "timestamp")), F.lit(0))
+    return executions.select("node", (0.6 * subject + 0.4 * declared / 3).alias("trust"))
+
+
+def workflow_trust(streams: DataFrame, membership: DataFrame, trust: DataFrame, executions: DataFrame | None = None, *, weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> DataFrame:
+    """(workflow, trust) of every workflow: weighted means over the edges that it consumes, its executions (node, trust; once a
+    member) and the edges that it produces, weights renormalised over the parts there are; null if there is none (GRF-5)."""
     def mean(kind: str, node: str, art: str, name: str) -> DataFrame:
         e = streams.where(F.col("kind") == kind).select(F.col(node).alias("node"), F.col(art).alias("id"))
-        return e.join(membership, "node").join(trust, "id").groupBy("workflow").agg(F.avg("trust").alias(name))
+        return e.join(members, "node").join(trust, "id").groupBy("workflow").agg(F.avg("trust").alias(name))
 
-    both = mean("consumed_by", "dst", "src", "c").join(mean("produces_to", "src", "dst", "p"), "workflow", "full_outer")
-    w = [F.when(F.col(n).isNotNull(), x).otherwise(0.0) for n, x in zip("cp", weights, strict=True)]
-    top = F.coalesce(F.col("c"), F.lit(0.0)) * w[0] + F.coalesce(F.col("p"), F.lit(0.0)) * w[1]
-    return both.select("workflow", (top / (w[0] + w[1])).alias("trust"))
+    members = membership.select("workflow", "node").distinct()
+    parts = members.select("workflow").distinct().join(mean("consumed_by", "dst", "src", "c"), "workflow", "left").join(mean("produces_to", "src", "dst", "p"), "workflow", "left")
+    if executions is None:
+        parts = parts.withColumn("e", F.lit(None).cast("double"))
+    else:
+        parts = parts.join(members.join(executions.select("node", "trust"), "node").groupBy("workflow").agg(F.avg("trust").alias("e")), "workflow", "left")
+    w = [F.when(F.col(n).isNotNull(), x).otherwise(0.0) for n, x in zip("cep", weights, strict=True)]
+    top = sum((F.coalesce(F.col(n), F.lit(0.0)) * x for n, x in zip("cep", w, strict=True)), F.lit(0.0))
+    return parts.select("workflow", F.when(w[0] + w[1] + w[2] > 0, top / (w[0] + w[1] + w[2])).alias("trust"))
 
 
 def decisions(trust: DataFrame, *, threshold: float = 0.5) -> DataFrame:
@@ -81,6 +98,18 @@ def gaps(streams: DataFrame, membership: DataFrame) -> DataFrame:
     return s.where("producers = 0 OR consumers = 0").select("workflow", "artifact", F.when(F.col("consumers") == 0, "unconsumed").otherwise("external").alias("gap"))
 
 
+#: Types of artifacts that machines keep.
+NATIVE = ("knowledge_store", "event_store", "local_database", "table")
+
+
+def shared_artifacts(uses: DataFrame, *, native: tuple[str, ...] = NATIVE) -> DataFrame:
+    """(unit, artifact, produces, consumes) of uses (unit, scope, artifact, type, produces, consumes): artifacts of more than one
+    scope or of a machine-native type; deliverables are left out (AGG-17)."""
+    kept = uses.where("NOT startswith(artifact, 'deliverable:')")
+    shown = kept.groupBy("artifact").agg(F.count_distinct("scope").alias("scopes"), F.bool_or(F.coalesce(F.col("type").isin(*native), F.lit(False))).alias("native")).where("scopes > 1 OR native")
+    return kept.join(shown.select("artifact"), "artifact").groupBy("unit", "artifact").agg(F.bool_or("produces").alias("produces"), F.bool_or("consumes").alias("consumes"))
+
+
 def index(streams: DataFrame, membership: DataFrame) -> DataFrame:
     """Runs and distinct artifacts of each workflow (AGG-18)."""
     s = supply(streams, membership).groupBy("workflow").agg(F.count("*").alias("artifacts"))
@@ -121,7 +150,7 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def loops(edges: DataFrame, gates: DataFrame) -> DataFrame:
-    """(node, component): nodes on a cycle of a strongly connected set without a gate (GRF-14, GRF-15)."""
+    """(node, component): nodes on a cycle of a strongly connected set without a gate (GRF-15)."""
     c = closure(edges)
     both = c.join(c.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
     component = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
@@ -129,6 +158,15 @@ def loops(edges: DataFrame, gates: DataFrame) -> DataFrame:
     return component.join(gated, "component", "left_anti").select("node", "component")
 
 
+def uncontrolled(edges: DataFrame, gates: DataFrame) -> DataFrame:
+    """(node, component): nodes on a cycle that passes no gate, gates taken out before cycles are looked for (GRF-14)."""
+    g = stored(gates.select("node").distinct())
+    free = edges.select("src", "dst")
+    for end in ("src", "dst"):
+        free = free.join(g.withColumnRenamed("node", end), end, "left_anti")
+    return loops(free.select("src", "dst"), g.limit(0))
+
+
 def levels(edges: DataFrame) -> DataFrame:
     """(node, level): nodes of an acyclic part peeled by in-degree 0; nodes on or behind a cycle have none (TOP-7)."""
     left = stored(edges.select("src", "dst").distinct())

@@ -26,7 +26,7 @@ def missing_signals(artifacts: DataFrame) -> DataFrame:
 
 
 def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(workflow, src, kind, dst): the edges that start or end in a workflow's nodes (GRF-8, control view)."""
+    """(workflow, src, kind, dst): the edges that start or end in a workflow's nodes (GRF-8)."""
     e = edges.select("src", "kind", "dst").distinct()
     ends = [e.join(nodes.select("workflow", F.col("node").alias(end)), end).select("workflow", "src", "kind", "dst") for end in ("src", "dst")]
     return ends[0].unionByName(ends[1]).distinct()
@@ -38,10 +38,27 @@ def stream_view(edges: DataFrame, membership: DataFrame) -> DataFrame:
     return touching(edges, membership.select("workflow", "node").unionByName(near).distinct())
 
 
-def view_counts(view: DataFrame) -> DataFrame:
-    """(workflow, nodes, edges) of a view (GRF-8)."""
-    n = view.select("workflow", F.explode(F.array("src", "dst")).alias("node")).distinct().groupBy("workflow").agg(F.count("*").alias("nodes"))
-    return n.join(view.groupBy("workflow").agg(F.count("*").alias("edges")), "workflow")
+def control_view(rails: DataFrame, membership: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """The rails that touch the members, without those that start or end in an artifact (GRF-8, control view)."""
+    view = touching(rails, membership)
+    for end in ("src", "dst"):
+        view = view.join(artifacts.select(F.col("id").alias(end)).distinct(), end, "left_anti")
+    return view.select("workflow", "src", "kind", "dst")
+
+
+def combined_view(rails: DataFrame, streams: DataFrame, membership: DataFrame) -> DataFrame:
+    """The rails that touch the members, artifacts too, and the stream view (GRF-8, combined view). Its counts take the members too."""
+    return touching(rails, membership).unionByName(stream_view(streams, membership)).distinct()
+
+
+def view_counts(view: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(workflow, nodes, edges) of a view (GRF-8). With members (workflow, node), those without an edge count too."""
+    ends = view.select("workflow", F.explode(F.array("src", "dst")).alias("node"))
+    if members is not None:
+        ends = ends.unionByName(members.select("workflow", "node"))
+    n = ends.distinct().groupBy("workflow").agg(F.count("*").alias("nodes"))
+    e = view.groupBy("workflow").agg(F.count("*").alias("edges"))
+    return n.join(e, "workflow", "left").select("workflow", "nodes", F.coalesce("edges", F.lit(0).cast("long")).alias("edges"))
 
 
 def target_mismatches(targets: DataFrame, streams: DataFrame, membership: DataFrame) -> DataFrame:
