@@ -16,7 +16,7 @@ from tracelake.llm.decontamination import decontaminate
 from tracelake.llm.fitting import fold
 from tracelake.llm.lines import dedup_lines
 from tracelake.llm.near import keep_first
-from tracelake.llm.segment import encoded
+from tracelake.llm.segment import segmented
 from tracelake.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -42,8 +42,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of each document, with inclusion scores."""
-    return encoded(docs)
+    """Two sampled segmentations of each document: piece ids, log-probabilities and inclusion scores."""
+    return segmented(docs)
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("segmentation", segmentation)]

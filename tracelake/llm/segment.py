@@ -419,8 +419,15 @@ def decode(ids: Column, model: str = MODEL) -> Column:
     return texts(ids)
 
 
+def segmented(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, rank, ids, log_prob, inclusion, round_trip): what the pipeline returns; the ids decode to the text where round_trip holds."""
+    marked = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
+    got = encode_samples(marked, **options)
+    return got.select("doc_id", "rank", "ids", "log_prob", "inclusion", (F.xxhash64(decode(F.col("ids"), options.get("model", MODEL))) == F.col("_h")).alias("round_trip"))
+
+
 def encoded(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, rank, n_pieces, ids_hash, log_prob, inclusion, round_trip): what the query and the pipeline return."""
+    """(doc_id, rank, n_pieces, ids_hash, log_prob, inclusion, round_trip): what the query returns."""
     marked = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
     got = encode_samples(marked, **options)
     return got.select(
