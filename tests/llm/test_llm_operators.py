@@ -56,7 +56,7 @@ def test_lines_judge_the_input(spark):
     a = "one two three four five six seven eight nine ten"
     rows = [(1, f"{a}\nshort"), (2, f"{a} eleven\nother words stand here"), (3, f"{a} eleven twelve\nshort"), (None, None)]
     got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: f"{a}\nshort", 2: "other words stand here", 3: "short", None: None}
+    assert got == {1: f"{a}\nshort", 2: "other words stand here", 3: "", None: None}
 
 
 @pytest.mark.parametrize("options", [{}, {"blocks": 1, "vantages": 2}, {"blocks": 2, "vantages": 3}, {"chunk": 3}])

@@ -8,11 +8,17 @@ Lines with equal sets are one class, settled by grouping, so a line that a third
 the rest the words of each set are ordered by rarity. Two sets of sizes m and n match only if they share
 ``ceil(t / (1 + t) * (m + n))`` words, so they share one of the ``n - ceil(t * n) + 1`` rarest of each (prefix filter);
 sizes must be within t of each other (length filter), and the words from the shared one on must suffice (positional
-filter). What passes is verified by the whole sets. Rarity is counted over all documents in ``BUCKETS`` buckets of words, a
+filter). Of each set the parity of its words in 64 or 128 bits is kept: sets differ in at least as many words as these
+in bits. What passes is verified by the whole sets. Rarity is counted over all documents in ``BUCKETS`` buckets of words, a
 table of fixed size; any fixed order is exact, a rarer prefix only makes fewer candidates.
 
-Words are compared by 64-bit hashes. Lines of fewer than ``min_words`` different words have no match and stay: 3 in op3, as its
-SQL says; with 1 only lines without words stay.
+Crowds of near copies are thinned out first: classes that agree in a sketch (their three least or greatest word hashes)
+with at least ``CROWD`` others meet the earliest of these alone. Whoever matches it has no need of other partners. All the rest
+meet in the prefix join, whose hot words Spark can split, as both sides are shuffled for the join alone.
+
+A class is told by a 64-bit hash of its words' 64-bit hashes, which also decide a match; in the prefix join words are told by 31 bits,
+where an accidental equality only makes a candidate more. Lines of fewer than ``min_words`` different words have no match and stay;
+lines without words always stay.
 
 Defined cases: a null text has no line and stays null; an empty line has no words and stays; an empty text stays empty; a text whose
 lines all go becomes empty, its row stays; repeated rows are told apart by nothing and keep the same lines; a null
@@ -24,19 +30,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, lower_ascii, read, row_key, stored, words
+from .common import GAP, discard, read, row_key, stored, words
 
 THRESHOLD = 0.8
-MIN_WORDS = 3
-BUCKETS = 16_384
-
-
-#: The low bits of a hash that name its bucket; BUCKETS is a power of two.
-_LOW = BUCKETS.bit_length() - 1
-
-
-def _bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+MIN_WORDS = 1
+BUCKETS = 65_536
+#: Sketches that fewer classes share are left to the prefix join.
+CROWD = 16
+#: Sets of more words have 128 bits of parity.
+LONG = 60
+_WORD = 0x7FFFFFFF
 
 
 def _constant(numbers: list[int]) -> Column:
@@ -49,46 +52,80 @@ def _least(n: Column, threshold: float) -> Column:
     return F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int")
 
 
-def _bitmap(hashes: Column) -> Column:
-    """128 bits, one set for each hash: two sets differ in at least as many members as their bitmaps in bits."""
+def _shifted(value: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", value, by)  # by the low six bits
 
-    def half(k: int) -> Column:
-        def put(a: Column, h: Column) -> Column:
-            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))
-            return F.when(h.bitwiseAND(F.lit(64)) == 64 * k, a.bitwiseOR(bit)).otherwise(a)
 
-        return F.aggregate(hashes, F.lit(0).cast("bigint"), put)
+def _comparable(line: Column) -> Column:
+    """Equal for lines that are equal but for the case of A-Z, and made of the same words. (translate takes ten times as long.)
 
-    return F.struct(half(0).alias("l"), half(1).alias("h"))
+    lower() would also change letters outside ASCII. Read as Latin-1, the bytes of such letters may change, but no two of them become one: lower() only
+    turns the first byte of a two-byte letter into that of a longer one.
+    """
+    return F.when(F.octet_length(line) == F.char_length(line), F.lower(line)).otherwise(F.lower(F.decode(F.encode(line, "UTF-8"), "ISO-8859-1")))
 
 
-def _differing(a: Column, b: Column) -> Column:
-    return F.bit_count(a["l"].bitwiseXOR(b["l"])) + F.bit_count(a["h"].bitwiseXOR(b["h"]))
+def _hashes(line: Column) -> Column:
+    """The 64-bit hashes of the different words of a line."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(_comparable(line), GAP), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def line_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line_no, n, cid, bm, order): each line; order holds a 64-bit key of each word, rarest first.
+    """(doc_id, text_key, line_no, n, cid, hs, b1, b2) of every line: its size, class, 31 bits of each word and parities.
 
-    A key is the rank of the hash's bucket by rarity, then the rest of the hash, so sorting numbers sorts by rarity.
+    b1 has the parity of all words, b2 of long sets that of the words with the highest bit set.
     """
-    every = docs.select(F.explode(F.split(lower_ascii(F.col("text")), GAP)).alias("w"))
-    seen = every.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
+    texts = docs.select("doc_id", row_key(F.col("text")).alias("text_key"), F.split(F.col("text"), "\n").alias("ls"))
+    at = texts.select("doc_id", "text_key", F.posexplode_outer("ls").alias("line_no", "line"))
+    ordered = at.select("doc_id", "text_key", "line_no", F.sort_array(_hashes(F.col("line"))).alias("s"))
+    sets = ordered.select("doc_id", "text_key", "line_no", F.size("s").alias("n"), F.xxhash64("s").alias("cid"), F.transform("s", lambda h: h.bitwiseAND(F.lit(_WORD)).cast("int")).alias("hs"))
+    none = F.lit(0).cast("bigint")
+    parity = F.aggregate("hs", none, lambda a, h: a.bitwiseXOR(_shifted(F.lit(1).cast("bigint"), h)))
+    high = F.aggregate("hs", none, lambda a, h: a.bitwiseXOR(_shifted(F.shiftright(h, 30).cast("bigint"), h)))
+    return sets.withColumns({"b1": parity, "b2": F.when(F.col("n") > LONG, high).otherwise(none)})
+
+
+def _rank_table(sets: DataFrame) -> Column:
+    """For each bucket of words its rank by the number of words in it, as the high bits of a sort key."""
+    bucket = F.col("h").bitwiseAND(F.lit(BUCKETS - 1))
     counts = [0] * BUCKETS
-    for r in seen.collect():  # at most BUCKETS rows, whatever the input
+    for r in sets.select(F.explode("hs").alias("h")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect():  # at most BUCKETS rows, whatever the input
         counts[r["b"]] = r["n"]
     ranks = [0] * BUCKETS
     for rank, b in enumerate(sorted(range(BUCKETS), key=lambda b: (counts[b], b))):
-        ranks[b] = (rank - BUCKETS // 2) << (64 - _LOW)
-    texts = docs.select("doc_id", row_key(F.col("text")).alias("text_key"), F.split(F.col("text"), "\n").alias("ls"))
-    at = texts.select("doc_id", "text_key", F.posexplode_outer("ls").alias("line_no", "line"))
-    table = _constant(ranks)
-    keys = F.transform(_hashes(F.col("line")), lambda h: F.get(table, _bucket(h)).bitwiseOR(F.shiftrightunsigned(h, _LOW)))
-    ordered = at.select("doc_id", "text_key", "line_no", F.sort_array(keys).alias("order"))
-    return ordered.select("doc_id", "text_key", "line_no", F.size("order").alias("n"), F.xxhash64("order").alias("cid"), _bitmap(F.col("order")).alias("bm"), "order")
+        ranks[b] = rank << 31
+    return _constant(ranks)
 
 
-def _hashes(line: Column) -> Column:
-    return F.transform(F.array_distinct(words(line)), lambda w: F.xxhash64(w))
+def line_classes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(cid, place, n, b1, b2, prefix, k1, k2): each class with its first place. A set too small to match any but its equal has no prefix."""
+    table = _rank_table(sets)
+    keys = F.transform("hs", lambda h: F.coalesce(F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1))), F.lit(0).cast("bigint")).bitwiseOR(h.cast("bigint")))
+    size = F.when(F.col("n") >= _least(F.col("n") + 1, threshold), F.col("n") - _least(F.col("n"), threshold) + 1).otherwise(0)
+    prefix = F.transform(F.slice(F.sort_array(keys), 1, size), lambda x: x.bitwiseAND(F.lit(_WORD)).cast("int"))
+    rows = sets.select(
+        "cid", F.struct("doc_id", "line_no", "text_key").alias("place"), "n", "b1", "b2", prefix.alias("prefix"),
+        F.xxhash64(F.slice("hs", 1, 3)).alias("k1"), F.xxhash64(F.slice("hs", -3, 3)).alias("k2"),
+    )
+    same = [F.first(c).alias(c) for c in ("n", "b1", "b2", "prefix", "k1", "k2")]  # functions of the set, so equal in a class
+    return rows.groupBy("cid").agg(F.min("place").alias("place"), *same)
+
+
+def _differing(a: str, b: str) -> Column:
+    """At most so many words differ in both sets together."""
+    whole = F.col(f"{a}b1").bitwiseXOR(F.col(f"{b}b1"))
+    high = F.col(f"{a}b2").bitwiseXOR(F.col(f"{b}b2"))
+    return F.when((F.col(f"{a}n") > LONG) & (F.col(f"{b}n") > LONG), F.bit_count(high) + F.bit_count(whole.bitwiseXOR(high))).otherwise(F.bit_count(whole))
+
+
+def _need(a: str, b: str, threshold: float) -> Column:
+    return _least(F.col(f"{a}n") + F.col(f"{b}n"), threshold / (1 + threshold))
+
+
+def _alike(a: str, b: str, threshold: float) -> Column:
+    """The length filter and the parities."""
+    long_enough = (F.col(f"{a}n") >= F.col(f"{b}n") * (threshold - 1e-9)) & (F.col(f"{b}n") >= F.col(f"{a}n") * (threshold - 1e-9))
+    return long_enough & (_differing(a, b) <= F.col(f"{a}n") + F.col(f"{b}n") - 2 * _need(a, b, threshold))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -122,48 +159,49 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return both.withColumn("shared", shared).select("cid", "shared", (F.size("ha") + F.size("hb") - F.col("shared")).alias("of")).where(F.col("shared") >= _least(F.col("of"), threshold)).select("cid").distinct()
 
 
-def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_key, line_no) of every line that an earlier line matches.
+def _of_crowds(classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(cid): classes that match the earliest of a crowd."""
+    rows = classes.where(F.size("prefix") > 0).select(F.explode(F.array("k1", "k2")).alias("k"), "cid", "place", "n", "b1", "b2")
+    heads = rows.groupBy("k").agg(F.min(F.struct("place", "cid", "n", "b1", "b2")).alias("head"), F.count("*").alias("g")).where(F.col("g") >= CROWD).drop("g")
+    near = F.min(F.struct(_differing("", "head.").alias("d"), F.col("head.place").alias("theirs")))
+    met = rows.join(heads, "k").where((F.col("cid") != F.col("head.cid")) & _alike("", "head.", threshold))
+    nearest = met.groupBy("cid").agg(F.min("place").alias("mine"), near.alias("near"))
+    return _verified(nearest.select("cid", "mine", "near.theirs"), docs, threshold)
+
+
+def _by_prefix(classes: DataFrame, matched: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(cid): classes, matched ones left out, that match an earlier one."""
+    known = classes.join(matched.withColumn("late", F.lit(True)), "cid", "left").withColumn("late", F.col("late").isNotNull())
+    tokens = known.select("cid", "n", "b1", "b2", "late", F.posexplode("prefix").alias("i", "x"))
+    a, b = (tokens.select("x", *[F.col(c).alias(f"{side}{c}") for c in ("cid", "n", "b1", "b2", "late", "i")]) for side in ("a_", "b_"))
+    left = F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i"))
+    fits = (F.col("a_cid") < F.col("b_cid")) & ~(F.col("a_late") & F.col("b_late")) & (left >= _need("a_", "b_", threshold)) & _alike("a_", "b_", threshold)
+    pairs = a.join(b, "x").where(fits).select("a_cid", "a_late", "b_cid", "b_late").distinct()
+    places = classes.select("cid", "place")
+    for side in ("a", "b"):
+        pairs = pairs.join(places.select(F.col("cid").alias(f"{side}_cid"), F.col("place").alias(f"{side}_place")), f"{side}_cid")
+    a_first = F.col("a_place") < F.col("b_place")
+    turned = pairs.select(
+        F.when(a_first, F.col("b_cid")).otherwise(F.col("a_cid")).alias("cid"), F.when(a_first, F.col("b_late")).otherwise(F.col("a_late")).alias("late"),
+        F.greatest("a_place", "b_place").alias("mine"), F.least("a_place", "b_place").alias("theirs"),
+    )
+    return _verified(turned.where("NOT late").drop("late"), docs, threshold)
 
-    Within the lines that share a prefix word, everyone is first compared with the earliest only, as near copies of one
-    line mostly match it; just those that this leaves unmatched meet all earlier ones. So a large group of near copies
-    costs a step a member, not all its pairs.
-    """
-    sets = line_sets(docs)
-    place = F.struct("doc_id", "line_no", "text_key")
-    prefix = F.slice("order", 1, F.col("n") - _least(F.col("n"), threshold) + 1)
-    own = stored(sets.select("cid", place.alias("place"), "n", "bm", prefix.alias("prefix"))).where(F.col("n") >= min_words)
-    classes = own.groupBy("cid").agg(F.min(F.struct("place", "n", "bm", "prefix")).alias("v")).select("cid", "v.place", "v.n", "v.bm", "v.prefix")
-    # A set matches at most one of a word more, so the smallest sets match only their equals: these need no pairs.
-    tokens = classes.where(F.col("n") >= _least(F.col("n") + 1, threshold)).select("cid", "place", "n", "bm", F.posexplode_outer("prefix").alias("i", "x"))
-    # Aggregates and a join, not a window: a word that very many lines share is dealt over many tasks.
-    heads = tokens.groupBy("x").agg(F.min(F.struct("place", "cid", "n", "bm", "i")).alias("head"), F.count("*").alias("g")).where("g > 1").drop("g")
-    groups = stored(tokens.join(heads, "x"))
-
-    def fits(a: str, b: str):
-        """Length, bitmap and positional filters for two rows that share a prefix word."""
-        need = _least(F.col(f"{a}n") + F.col(f"{b}n"), threshold / (1 + threshold))
-        return (
-            (F.col(f"{a}n") >= _least(F.col(f"{b}n"), threshold)) & (F.col(f"{b}n") >= _least(F.col(f"{a}n"), threshold))
-            & (_differing(F.col(f"{a}bm"), F.col(f"{b}bm")) <= F.col(f"{a}n") + F.col(f"{b}n") - 2 * need)
-            & (F.least(F.col(f"{a}n") - F.col(f"{a}i"), F.col(f"{b}n") - F.col(f"{b}i")) >= need)
-        )
-
-    near = F.struct(_differing(F.col("bm"), F.col("head.bm")).alias("d"), F.col("head.place").alias("theirs"))
-    nearest = groups.where((F.col("cid") != F.col("head.cid")) & fits("", "head.")).groupBy("cid").agg(F.min("place").alias("mine"), F.min(near).alias("near"))
-    matched = stored(_verified(nearest.select("cid", "mine", "near.theirs"), docs, threshold))
-
-    left = groups.drop("head").join(matched, "cid", "left_anti").select("x", *[F.col(c).alias(f"b_{c}") for c in ("cid", "place", "n", "bm", "i")])
-    all_of = groups.select("x", *[F.col(c).alias(f"a_{c}") for c in ("cid", "place", "n", "bm", "i")])
-    pairs = left.join(all_of, "x").where((F.col("a_place") < F.col("b_place")) & fits("a_", "b_"))
-    pairs = pairs.select(F.col("b_cid").alias("cid"), F.col("b_place").alias("mine"), F.col("a_place").alias("theirs")).distinct()
-    late = stored(_verified(pairs, docs, threshold)).unionByName(matched)
 
+def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, text_key, line_no) of every line that an earlier line matches."""
+    sets = stored(line_sets(docs))
+    own = sets.where(F.col("n") >= max(min_words, 1))
+    classes = stored(line_classes(own, threshold))
+    at = stored(own.select("cid", F.struct("doc_id", "line_no", "text_key").alias("place")))
+    discard(sets)
+    crowded = stored(_of_crowds(classes, docs, threshold))
+    late = crowded.unionByName(stored(_by_prefix(classes, crowded, docs, threshold))).withColumn("late", F.lit(True))
     # A line goes if its class has an earlier line, or if its class has an earlier match.
-    firsts = own.groupBy("cid").agg(F.min("place").alias("first"))
-    judged = firsts.join(late.withColumn("late", F.lit(True)), "cid", "left")
-    at = own.select("cid", "place").join(judged, "cid").where(F.col("late") | (F.col("place") > F.col("first")))
-    return at.select("place.doc_id", "place.text_key", "place.line_no").distinct()
+    judged = classes.select("cid", F.col("place").alias("first")).join(late, "cid", "left")
+    gone = stored(at.join(judged, "cid").where(F.col("late") | (F.col("place") > F.col("first"))).select("place.*").distinct())
+    discard(at, classes)
+    return gone.select("doc_id", "text_key", "line_no")
 
 
 def dedup_lines(docs: DataFrame, *, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, removed: str | None = None) -> DataFrame:
@@ -171,8 +209,9 @@ def dedup_lines(docs: DataFrame, *, threshold: float = THRESHOLD, min_words: int
     gone = removed_lines(docs, threshold=threshold, min_words=min_words).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias("_gone"))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_gone")
     met = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (row_key(docs["text"]) == gone["_key"]), "left")
-    stays = F.filter(F.split(docs["text"], "\n"), lambda line, i: ~F.array_contains(F.col("_gone"), i))
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(F.array_join(stays, "\n"))
+    ls = F.split(docs["text"], "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_gone"))
+    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(F.array_join(F.transform(stay, lambda i: F.get(ls, i)), "\n"))
     out = met.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], F.coalesce("_gone", F.array().cast("array<int>")).alias("_gone"))
     return out.withColumnRenamed("_gone", removed) if removed else out.drop("_gone")
 
@@ -186,7 +225,7 @@ def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, unnest(range(0, len(string_split(text, chr(10))))) line_no FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, line_no, line, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) w FROM l),
-c AS (SELECT w, len(w) n, min((doc_id, line_no)) first, row_number() OVER () cid FROM s WHERE len(w) >= 3 GROUP BY w),
+c AS (SELECT w, len(w) n, min((doc_id, line_no)) first, row_number() OVER () cid FROM s WHERE len(w) >= 1 GROUP BY w),
 t AS (SELECT cid, n, unnest(w) x FROM c),
 f AS (SELECT x, count(*) k FROM t GROUP BY x),
 o AS (SELECT cid, n, x, row_number() OVER (PARTITION BY cid ORDER BY k, x) r FROM t JOIN f USING (x)),
