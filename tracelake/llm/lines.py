@@ -16,7 +16,7 @@ Crowds of near copies are thinned out first: classes that agree in a sketch (the
 with at least ``CROWD`` others meet the earliest of these alone. Whoever matches it has no need of other partners. All the rest
 meet in the prefix join, whose hot words Spark can split, as both sides are shuffled for the join alone.
 
-A class is told by a 64-bit hash of its words' 64-bit hashes, which also decide a match; in the prefix join words are told by 31 bits,
+Words are told by 64-bit hashes, which decide a match, and a class by a 64-bit hash of these; in the prefix join words are told by 31 bits,
 where an accidental equality only makes a candidate more. Lines of fewer than ``min_words`` different words have no match and stay;
 lines without words always stay.
 
@@ -34,12 +34,18 @@ from .common import GAP, discard, read, row_key, stored, words
 
 THRESHOLD = 0.8
 MIN_WORDS = 1
-BUCKETS = 65_536
+BUCKETS = 131_072
+#: 64-bit numbers of the table of named lines.
+NAMED = 65_536
 #: Sketches that fewer classes share are left to the prefix join.
 CROWD = 16
 #: Sets of more words have 128 bits of parity.
 LONG = 60
 _WORD = 0x7FFFFFFF
+#: Bits of a word's hash that stand after its rank in a sort key.
+_KEPT = 64 - BUCKETS.bit_length() + 1
+#: Words repeat, so a large dictionary makes their stored hashes short.
+_DICTIONARY = {"parquet.dictionary.page.size": 16 << 20}
 
 
 def _constant(numbers: list[int]) -> Column:
@@ -71,36 +77,40 @@ def _hashes(line: Column) -> Column:
 
 
 def line_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line_no, n, cid, hs, b1, b2) of every line: its size, class, 31 bits of each word and parities.
+    """(doc_id, text_key, line_no, n, cid, hs, b1, b2) of every line: its size, class, the hashes of its words and parities.
 
-    b1 has the parity of all words, b2 of long sets that of the words with the highest bit set.
+    b1 has the parity of all words by the low six bits of their hashes, b2 of long sets that of the words with the bit above.
     """
     texts = docs.select("doc_id", row_key(F.col("text")).alias("text_key"), F.split(F.col("text"), "\n").alias("ls"))
     at = texts.select("doc_id", "text_key", F.posexplode_outer("ls").alias("line_no", "line"))
-    ordered = at.select("doc_id", "text_key", "line_no", F.sort_array(_hashes(F.col("line"))).alias("s"))
-    sets = ordered.select("doc_id", "text_key", "line_no", F.size("s").alias("n"), F.xxhash64("s").alias("cid"), F.transform("s", lambda h: h.bitwiseAND(F.lit(_WORD)).cast("int")).alias("hs"))
+    sets = at.select("doc_id", "text_key", "line_no", F.sort_array(_hashes(F.col("line"))).alias("hs"))
     none = F.lit(0).cast("bigint")
-    parity = F.aggregate("hs", none, lambda a, h: a.bitwiseXOR(_shifted(F.lit(1).cast("bigint"), h)))
-    high = F.aggregate("hs", none, lambda a, h: a.bitwiseXOR(_shifted(F.shiftright(h, 30).cast("bigint"), h)))
-    return sets.withColumns({"b1": parity, "b2": F.when(F.col("n") > LONG, high).otherwise(none)})
+    low = lambda h: h.bitwiseAND(F.lit(63)).cast("int")
+    parity = F.aggregate("hs", none, lambda a, h: a.bitwiseXOR(_shifted(F.lit(1).cast("bigint"), low(h))))
+    above = F.aggregate("hs", none, lambda a, h: a.bitwiseXOR(_shifted(F.shiftright(h, 6).bitwiseAND(F.lit(1)), low(h))))
+    return sets.select("*", F.size("hs").alias("n"), F.xxhash64("hs").alias("cid"), parity.alias("b1"), F.when(F.size("hs") > LONG, above).otherwise(none).alias("b2"))
+
+
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def _rank_table(sets: DataFrame) -> Column:
-    """For each bucket of words its rank by the number of words in it, as the high bits of a sort key."""
-    bucket = F.col("h").bitwiseAND(F.lit(BUCKETS - 1))
+    """For each bucket of words its rank by the number of words in it."""
+    seen = sets.select(F.explode("hs").alias("h")).groupBy(_bucket(F.col("h")).alias("b")).agg(F.count("*").alias("n")).toArrow()  # at most BUCKETS rows, whatever the input
     counts = [0] * BUCKETS
-    for r in sets.select(F.explode("hs").alias("h")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect():  # at most BUCKETS rows, whatever the input
-        counts[r["b"]] = r["n"]
+    for b, n in zip(seen["b"].to_pylist(), seen["n"].to_pylist(), strict=True):
+        counts[b] = n
     ranks = [0] * BUCKETS
     for rank, b in enumerate(sorted(range(BUCKETS), key=lambda b: (counts[b], b))):
-        ranks[b] = rank << 31
+        ranks[b] = rank - BUCKETS // 2
     return _constant(ranks)
 
 
 def line_classes(sets: DataFrame, threshold: float) -> DataFrame:
     """(cid, place, n, b1, b2, prefix, k1, k2): each class with its first place. A set too small to match any but its equal has no prefix."""
     table = _rank_table(sets)
-    keys = F.transform("hs", lambda h: F.coalesce(F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1))), F.lit(0).cast("bigint")).bitwiseOR(h.cast("bigint")))
+    keys = F.transform("hs", lambda h: _shifted(F.coalesce(F.get(table, _bucket(h)), F.lit(0).cast("bigint")), F.lit(_KEPT)).bitwiseOR(F.shiftrightunsigned(h, 64 - _KEPT)))
     size = F.when(F.col("n") >= _least(F.col("n") + 1, threshold), F.col("n") - _least(F.col("n"), threshold) + 1).otherwise(0)
     prefix = F.transform(F.slice(F.sort_array(keys), 1, size), lambda x: x.bitwiseAND(F.lit(_WORD)).cast("int"))
     rows = sets.select(
@@ -111,72 +121,72 @@ def line_classes(sets: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("cid").agg(F.min("place").alias("place"), *same)
 
 
-def _differing(a: str, b: str) -> Column:
-    """At most so many words differ in both sets together."""
-    whole = F.col(f"{a}b1").bitwiseXOR(F.col(f"{b}b1"))
-    high = F.col(f"{a}b2").bitwiseXOR(F.col(f"{b}b2"))
-    return F.when((F.col(f"{a}n") > LONG) & (F.col(f"{b}n") > LONG), F.bit_count(high) + F.bit_count(whole.bitwiseXOR(high))).otherwise(F.bit_count(whole))
+def _need(a_n: Column, b_n: Column, threshold: float) -> Column:
+    return _least(a_n + b_n, threshold / (1 + threshold))
 
 
-def _need(a: str, b: str, threshold: float) -> Column:
-    return _least(F.col(f"{a}n") + F.col(f"{b}n"), threshold / (1 + threshold))
+def _differing(a_n: Column, a_b1: Column, a_b2: Column, b_n: Column, b_b1: Column, b_b2: Column) -> Column:
+    """Both sets together have at least so many words that the other lacks."""
+    whole, above = a_b1.bitwiseXOR(b_b1), a_b2.bitwiseXOR(b_b2)
+    return F.when((a_n > LONG) & (b_n > LONG), F.bit_count(above) + F.bit_count(whole.bitwiseXOR(above))).otherwise(F.bit_count(whole))
 
 
-def _alike(a: str, b: str, threshold: float) -> Column:
-    """The length filter and the parities."""
-    long_enough = (F.col(f"{a}n") >= F.col(f"{b}n") * (threshold - 1e-9)) & (F.col(f"{b}n") >= F.col(f"{a}n") * (threshold - 1e-9))
-    return long_enough & (_differing(a, b) <= F.col(f"{a}n") + F.col(f"{b}n") - 2 * _need(a, b, threshold))
+def _alike(a_n: Column, a_b1: Column, a_b2: Column, b_n: Column, b_b1: Column, b_b2: Column, threshold: float) -> Column:
+    """The length filter, then the parities."""
+    long_enough = (a_n >= b_n * (threshold - 1e-9)) & (b_n >= a_n * (threshold - 1e-9))
+    return long_enough & (_differing(a_n, a_b1, a_b2, b_n, b_b1, b_b2) <= (a_n + b_n) * ((1 - threshold) / (1 + threshold) + 1e-9))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The cids of pairs (cid, mine, theirs) whose lines match, compared by their whole sets.
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The cids of pairs (cid, mine, theirs) whose lines match, compared by their whole sets. A stored table.
 
     A table of a fixed number of bits says which lines no pair names; those are not shuffled. When it fills up, the joins decide.
     """
     pairs = stored(pairs)
-    places = pairs.select(F.explode(F.array("mine", "theirs")).alias("p"))
 
     def spot(key: str, no: str) -> Column:
-        return F.xxhash64(key, no).bitwiseAND(F.lit(BUCKETS * 64 - 1))
+        return F.xxhash64(key, no).bitwiseAND(F.lit(NAMED * 64 - 1))
 
-    named = places.select(spot("p.text_key", "p.line_no").alias("s"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))
-    bits = [0] * BUCKETS
-    for r in named.groupBy(F.shiftright("s", 6).cast("int").alias("b")).agg(F.bit_or(bit).alias("v")).collect():  # at most BUCKETS rows
+    named = pairs.select(spot("mine.text_key", "mine.line_no").alias("s")).unionAll(pairs.select(spot("theirs.text_key", "theirs.line_no")))
+    bit = _shifted(F.lit(1).cast("bigint"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))
+    bits = [0] * NAMED
+    for r in named.groupBy(F.shiftright("s", 6).cast("int").alias("b")).agg(F.bit_or(bit).alias("v")).collect():  # at most NAMED rows
         bits[r["b"]] = r["v"]
-    texts = docs.select(F.col("doc_id").alias("_id"), row_key(F.col("text")).alias("_key"), F.split(F.col("text"), "\n").alias("_ls"))
-    lines = texts.select("_id", "_key", F.posexplode_outer("_ls").alias("_no", "_line")).withColumn("_s", spot("_key", "_no"))
-    word_of = F.get(_constant(bits), F.shiftright("_s", 6).cast("int"))
-    lines = lines.where(F.call_function("shiftright", word_of, F.col("_s").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    lines = lines.select("_id", "_key", "_no", _hashes(F.col("_line")).alias("_h"))
+    s = spot("text_key", "line_no")
+    is_named = F.call_function("shiftright", F.get(_constant(bits), F.shiftright(s, 6).cast("int")), s.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    lines = sets.where(is_named).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("line_no").alias("_no"), F.col("hs").alias("_h"))
 
     def hashes(df: DataFrame, place: str, out: str) -> DataFrame:
         met = df.join(lines, F.col(f"{place}.doc_id").eqNullSafe(F.col("_id")) & (F.col(f"{place}.text_key") == F.col("_key")) & (F.col(f"{place}.line_no") == F.col("_no")))
         return met.withColumnRenamed("_h", out).drop("_id", "_key", "_no")
 
-    both = hashes(hashes(pairs, "theirs", "ha"), "mine", "hb")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    return both.withColumn("shared", shared).select("cid", "shared", (F.size("ha") + F.size("hb") - F.col("shared")).alias("of")).where(F.col("shared") >= _least(F.col("of"), threshold)).select("cid").distinct()
+    both = hashes(hashes(pairs, "theirs", "ha"), "mine", "hb").select("cid", F.size(F.array_intersect("ha", "hb")).alias("shared"), (F.size("ha") + F.size("hb")).alias("of"))
+    out = stored(both.where(F.col("shared") >= _least(F.col("of") - F.col("shared"), threshold)).select("cid").distinct())
+    discard(pairs)
+    return out
 
 
-def _of_crowds(classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def _of_crowds(classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(cid): classes that match the earliest of a crowd."""
     rows = classes.where(F.size("prefix") > 0).select(F.explode(F.array("k1", "k2")).alias("k"), "cid", "place", "n", "b1", "b2")
     heads = rows.groupBy("k").agg(F.min(F.struct("place", "cid", "n", "b1", "b2")).alias("head"), F.count("*").alias("g")).where(F.col("g") >= CROWD).drop("g")
-    near = F.min(F.struct(_differing("", "head.").alias("d"), F.col("head.place").alias("theirs")))
-    met = rows.join(heads, "k").where((F.col("cid") != F.col("head.cid")) & _alike("", "head.", threshold))
+    both = [F.col(f"{side}{c}") for side in ("", "head.") for c in ("n", "b1", "b2")]
+    near = F.min(F.struct(_differing(*both).alias("d"), F.col("head.place").alias("theirs")))
+    met = rows.join(heads, "k").where((F.col("cid") != F.col("head.cid")) & _alike(*both, threshold))
     nearest = met.groupBy("cid").agg(F.min("place").alias("mine"), near.alias("near"))
-    return _verified(nearest.select("cid", "mine", "near.theirs"), docs, threshold)
+    return _verified(nearest.select("cid", "mine", "near.theirs"), sets, threshold)
 
 
-def _by_prefix(classes: DataFrame, matched: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def _by_prefix(classes: DataFrame, matched: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(cid): classes, matched ones left out, that match an earlier one."""
-    known = classes.join(matched.withColumn("late", F.lit(True)), "cid", "left").withColumn("late", F.col("late").isNotNull())
-    tokens = known.select("cid", "n", "b1", "b2", "late", F.posexplode("prefix").alias("i", "x"))
-    a, b = (tokens.select("x", *[F.col(c).alias(f"{side}{c}") for c in ("cid", "n", "b1", "b2", "late", "i")]) for side in ("a_", "b_"))
-    left = F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i"))
-    fits = (F.col("a_cid") < F.col("b_cid")) & ~(F.col("a_late") & F.col("b_late")) & (left >= _need("a_", "b_", threshold)) & _alike("a_", "b_", threshold)
-    pairs = a.join(b, "x").where(fits).select("a_cid", "a_late", "b_cid", "b_late").distinct()
+    late = classes.join(matched.withColumn("late", F.lit(1)), "cid", "left").withColumn("late", F.coalesce("late", F.lit(0)))
+    tokens = late.select("cid", "n", "late", "b1", "b2", F.posexplode("prefix").alias("i", "x"))
+    # Narrow rows: n, i and late in one number.
+    packed = tokens.select("x", "cid", (_shifted(F.col("n").cast("bigint"), F.lit(32)) + 2 * F.col("i") + F.col("late")).alias("m"), "b1", "b2")
+    a, b = (packed.select("x", *[F.col(c).alias(f"{side}{c}") for c in ("cid", "m", "b1", "b2")]) for side in ("a_", "b_"))
+    met = a.join(b, (a["x"] == b["x"]) & (F.col("a_cid") < F.col("b_cid")) & _fits(threshold))
+    is_late = lambda side: F.col(f"{side}m").bitwiseAND(F.lit(1)) == 1
+    pairs = met.select("a_cid", is_late("a_").alias("a_late"), "b_cid", is_late("b_").alias("b_late")).distinct()
     places = classes.select("cid", "place")
     for side in ("a", "b"):
         pairs = pairs.join(places.select(F.col("cid").alias(f"{side}_cid"), F.col("place").alias(f"{side}_place")), f"{side}_cid")
@@ -185,22 +195,31 @@ def _by_prefix(classes: DataFrame, matched: DataFrame, docs: DataFrame, threshol
         F.when(a_first, F.col("b_cid")).otherwise(F.col("a_cid")).alias("cid"), F.when(a_first, F.col("b_late")).otherwise(F.col("a_late")).alias("late"),
         F.greatest("a_place", "b_place").alias("mine"), F.least("a_place", "b_place").alias("theirs"),
     )
-    return _verified(turned.where("NOT late").drop("late"), docs, threshold)
+    return _verified(turned.where("NOT late").drop("late"), sets, threshold)
+
+
+def _fits(threshold: float) -> Column:
+    """All filters for two packed rows that share a prefix word; pairs of which both are matched already are out."""
+    unpacked = {f"{s}{c}": v for s in ("a_", "b_") for c, v in (
+        ("n", F.shiftright(f"{s}m", 32).cast("int")), ("i", F.shiftright(F.col(f"{s}m").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")), ("late", F.col(f"{s}m").bitwiseAND(F.lit(1)) == 1), ("b1", F.col(f"{s}b1")), ("b2", F.col(f"{s}b2")),
+    )}
+    u = unpacked.__getitem__
+    left = F.least(u("a_n") - u("a_i"), u("b_n") - u("b_i"))
+    return _alike(*[u(f"{s}{c}") for s in ("a_", "b_") for c in ("n", "b1", "b2")], threshold) & (left >= _need(u("a_n"), u("b_n"), threshold)) & ~(u("a_late") & u("b_late"))
 
 
 def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_key, line_no) of every line that an earlier line matches."""
-    sets = stored(line_sets(docs))
+    sets = stored(line_sets(docs), **_DICTIONARY)
     own = sets.where(F.col("n") >= max(min_words, 1))
     classes = stored(line_classes(own, threshold))
-    at = stored(own.select("cid", F.struct("doc_id", "line_no", "text_key").alias("place")))
-    discard(sets)
-    crowded = stored(_of_crowds(classes, docs, threshold))
-    late = crowded.unionByName(stored(_by_prefix(classes, crowded, docs, threshold))).withColumn("late", F.lit(True))
+    crowded = _of_crowds(classes, sets, threshold)
+    late = crowded.unionByName(_by_prefix(classes, crowded, sets, threshold)).withColumn("late", F.lit(True))
     # A line goes if its class has an earlier line, or if its class has an earlier match.
     judged = classes.select("cid", F.col("place").alias("first")).join(late, "cid", "left")
+    at = own.select("cid", F.struct("doc_id", "line_no", "text_key").alias("place"))
     gone = stored(at.join(judged, "cid").where(F.col("late") | (F.col("place") > F.col("first"))).select("place.*").distinct())
-    discard(at, classes)
+    discard(sets, classes)
     return gone.select("doc_id", "text_key", "line_no")
 
 
@@ -208,10 +227,13 @@ def dedup_lines(docs: DataFrame, *, threshold: float = THRESHOLD, min_words: int
     """docs with the later matches of earlier lines taken out of text; ``removed`` names a column for their numbers."""
     gone = removed_lines(docs, threshold=threshold, min_words=min_words).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias("_gone"))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_gone")
-    met = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (row_key(docs["text"]) == gone["_key"]), "left")
+    # Hashed, not sorted: whole texts are shuffled, but not ordered.
+    met = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["_id"]) & (row_key(docs["text"]) == gone["_key"]), "left")
     ls = F.split(docs["text"], "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(F.array_join(F.transform(stay, lambda i: F.get(ls, i)), "\n"))
+    parts = F.array(F.struct(ls.alias("ls"), F.col("_gone").alias("gone")))  # named once, as a lambda works out again what it reads from outside
+    numbers = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p["ls"]) - 1), p["gone"])
+    kept = F.transform(parts, lambda p: F.array_join(F.transform(numbers(p), lambda i: F.get(p["ls"], i)), "\n"))
+    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(F.get(kept, F.lit(0)))
     out = met.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], F.coalesce("_gone", F.array().cast("array<int>")).alias("_gone"))
     return out.withColumnRenamed("_gone", removed) if removed else out.drop("_gone")
 
