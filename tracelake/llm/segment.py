@@ -11,13 +11,14 @@ are one open node whose bound is a Gumbel draw with their total mass, truncated
 the next to be followed. After k paths the best open bound is the threshold kappa, and the inclusion score of a path is
 1 - exp(-exp(log p - kappa)), the probability to be among the k.
 
-No piece crosses a blank except at its start, so the lattice is a chain of small lattices of a word each; they are built
-once for the distinct words of a run of texts. Characters without a piece are arcs of their bytes. Memory is bounded by
-``RUN`` words, and by the longest single text.
+No piece crosses a blank except at its start, so the lattice is a chain of small lattices of a word each; a task keeps those of
+the words that it has met, up to ``ARCS`` arcs. Characters without a piece are arcs of their bytes, and so is a literal U+2581, which pieces
+use for the blank; so decoding gives back every text exactly. Memory is bounded by ``RUN`` words and ``ARCS`` arcs, and by the longest single text.
+A sample depends on its text, its key and the parameters alone, not on the rows around it.
 
 Defined cases: null and empty texts have one segmentation, the empty one, with inclusion score 1; texts with fewer than k
-segmentations have as many rows; repeated rows give equal samples; a null key is a key; a literal U+2581 in a text is encoded
-by its bytes, so that decoding gives back every text exactly.
+segmentations have as many rows; repeated rows give equal samples; a null key is a key; an empty table gives an empty one; columns named like
+an added one are replaced.
 """
 
 from __future__ import annotations
@@ -43,10 +44,10 @@ ALPHA = 1.0
 SEED = 17
 RUN = 25_000
 ROWS = 256
+#: Arcs of kept lattices; about 24 bytes each.
+ARCS = 3_000_000
 BLANK = "▁"
-#: Stands for a literal U+2581 of the text while it is cut into words.
-_LITERAL = "\U0010fffe"
-_UNIT = re.compile(f"{BLANK}*[^{BLANK}\\n]+|{BLANK}+|\\n")
+_UNIT = re.compile(r" *[^ \n]+| +|\n")
 
 
 class Vocabulary:
@@ -125,6 +126,9 @@ class Lattices:
         sizes = np.array([len(u) for u in units], np.int64)
         cp = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         n = len(cp)
+        spelt = cp.astype(np.uint64)  # as pieces spell it: the blank as U+2581, a literal U+2581 as nothing that a piece has
+        spelt[cp == ord(BLANK)] = 1 << 21
+        spelt[cp == ord(" ")] = ord(BLANK)
         # Each word has a node before each character and one at its end.
         first = np.cumsum(sizes + 1) - sizes - 1
         unit = np.repeat(np.arange(len(units)), sizes)
@@ -139,7 +143,7 @@ class Lattices:
             at, h = at[fits], h[fits]
             if not len(at):
                 break
-            h = _next(h, cp[at + size - 1].astype(np.uint64))
+            h = _next(h, spelt[at + size - 1])
             low = (h & _BITS).astype(np.int64)
             may = np.flatnonzero(v.maybe[size][low])
             hit, k = _among(v.whole[size][0], h[may])
@@ -161,8 +165,8 @@ class Lattices:
         w.append(alpha * v.unknown * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
         src, dst, piece, w = (np.concatenate(x) for x in (src, dst, piece, w))
         o = np.argsort(src, kind="stable")
-        src, dst, self.piece, w = src[o], dst[o], piece[o], w[o]
-        self.dst = dst
+        src, dst, self.piece, w = src[o], dst[o], piece[o].astype(np.int32), w[o]
+        self.dst = dst.astype(np.int32)
         self.begin = np.searchsorted(src, np.arange(nodes + 1))  # the arcs of node x are begin[x] .. begin[x + 1]
         # Backwards: the log of the mass of all ways from a node to its word's end.
         beta = np.zeros(nodes)
@@ -188,10 +192,55 @@ class Lattices:
         likely = likely[np.r_[True, src[likely][1:] != src[likely][:-1]]]
         for x in (self.dst, self.piece, self.logp):
             x[lead], x[likely] = x[likely], x[lead]
-        run = np.cumsum(np.exp(self.logp))
-        self.upto = run - np.r_[0.0, run][self.begin[src]]
-        self.upto[self.begin[1:][self.begin[1:] > self.begin[:-1]] - 1] = 2.0  # the last arc takes what rounding leaves
-        self.first, self.end = first, first + sizes
+        # Summed node by node, arc after arc, so that it does not depend on the other words.
+        self.upto = np.exp(self.logp)
+        stop = self.begin[has + 1]
+        at = lead + 1
+        while len(at):
+            go = at < stop
+            at, stop = at[go], stop[go]
+            self.upto[at] += self.upto[at - 1]
+            at = at + 1
+        self.upto[self.begin[has + 1] - 1] = 2.0  # the last arc takes what rounding leaves
+        self.first, self.end, self.nodes = first, first + sizes, nodes
+        self.room: dict[str, np.ndarray] = {}
+
+    def extend(self, more: Lattices) -> None:
+        arcs = len(self.dst)
+        self.begin = self.begin[:-1]
+        for name, shift in (("begin", arcs), ("dst", self.nodes), ("first", self.nodes), ("end", self.nodes), ("piece", 0), ("logp", 0), ("upto", 0)):
+            old, new = getattr(self, name), getattr(more, name)
+            n, room = len(old), self.room.get(name)
+            if room is None or n + len(new) > len(room):  # twice as much each time, so that each number is moved a few times only
+                room = self.room[name] = np.empty(2 * (n + len(new)), old.dtype)
+                room[:n] = old
+            room[n : n + len(new)] = new
+            room[n : n + len(new)] += old.dtype.type(shift)
+            setattr(self, name, room[: n + len(new)])
+        self.nodes += more.nodes
+
+
+class Words:
+    """The lattices of the words met so far. With more than ``ARCS`` arcs it starts anew."""
+
+    def __init__(self, v: Vocabulary, alpha: float):
+        self.v, self.alpha = v, alpha
+        self.index: dict[str, int] = {}
+        self.lat: Lattices | None = None
+
+    def numbers(self, lists: list[list[str]], total: int) -> np.ndarray:
+        """The number of each word of lists, whose lattices are then in ``lat``."""
+        if self.lat is not None and len(self.lat.dst) > ARCS:
+            self.index, self.lat = {}, None
+        fresh = [u for u in dict.fromkeys(chain.from_iterable(lists)) if u not in self.index]
+        if fresh:
+            self.index.update(zip(fresh, count(len(self.index))))
+            new = Lattices(fresh, self.v, self.alpha)
+            if self.lat is None:
+                self.lat = new
+            else:
+                self.lat.extend(new)
+        return np.fromiter(map(self.index.__getitem__, chain.from_iterable(lists)), np.int64, total)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -241,29 +290,31 @@ def _rest(logp: np.ndarray) -> np.ndarray:
         return np.where(logp > -1e-13, -np.inf, np.log(-np.expm1(np.minimum(logp, -1e-300))))
 
 
-def sample_runs(texts: list[str | None], keys: np.ndarray, v: Vocabulary, *, k: int, alpha: float) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
-    """(text's number, rank from 1, piece ids, log-probability, perturbed value, inclusion score), by text, then rank."""
+def sample_runs(texts: list[str | None], keys: np.ndarray, v: Vocabulary, *, k: int, alpha: float, words: Words | None = None) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
+    """(text's number, rank from 1, piece ids, log-probability, perturbed value, inclusion score), by text, then rank.
+
+    ``words`` may be handed from call to call; it saves work.
+    """
+    words = words or Words(v, alpha)
     at = 0
     while at < len(texts):
         lists: list[list[str]] = []
         first, total = at, 0
         while at < len(texts) and total < RUN:
-            t = texts[at] or ""
-            lists.append(_UNIT.findall(BLANK + t.replace(BLANK, _LITERAL).replace(" ", BLANK)) if t else [])
+            t = texts[at]
+            lists.append(_UNIT.findall(" " + t) if t else [])
             total += len(lists[-1])
             at += 1
-        index = dict(zip(dict.fromkeys(chain.from_iterable(lists)), count()))
-        numbers = np.fromiter(map(index.__getitem__, chain.from_iterable(lists)), np.int64, total)
-        yield from _sample(list(index), numbers, np.array([len(x) for x in lists], np.int64), keys[first:at], v, k, alpha, first)
+        numbers = words.numbers(lists, total)
+        yield from _sample(words.lat, numbers, np.array([len(x) for x in lists], np.int64), keys[first:at], v, k, first)
 
 
-def _sample(units, numbers, sizes, keys, v, k, alpha, first):
+def _sample(lat, numbers, sizes, keys, v, k, first):
     n = len(sizes)
     root = -np.log(-np.log(_uniform(keys)))  # the perturbed maximum of all paths of a text
-    if not units:
+    if not len(numbers):
         yield from ((first + t, 1, np.empty(0, np.int32), 0.0, float(root[t]), 1.0) for t in range(n))
         return
-    lat = Lattices(units, v, alpha)
     ends = np.cumsum(sizes)
     begins = ends - sizes
     place = np.arange(len(numbers)) - np.repeat(begins, sizes)
@@ -292,7 +343,7 @@ def _sample(units, numbers, sizes, keys, v, k, alpha, first):
         noise = _uniform(_mix(seed[np.repeat(np.arange(len(occ)), per_occ)] ^ np.uint64(0x5851F42D4C957F2D)) + np.arange(len(arcs), dtype=np.uint64) - cut[np.repeat(which, per_occ)].astype(np.uint64))
         logp = lat.logp[arcs]
         # The log-probability up to each arc is summed text by text, so that it does not depend on the run.
-        bases = np.array([float(lat.logp[prefix[t][0]].sum()) if prefix[t] else 0.0 for t in begin_text])
+        bases = np.array([prefix[t][2] if prefix[t] else 0.0 for t in begin_text])
         before = np.empty(len(arcs))
         for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             np.cumsum(logp[i:j], out=before[i:j])
@@ -332,7 +383,8 @@ def _sample(units, numbers, sizes, keys, v, k, alpha, first):
             u2 = _uniform(keys[t : t + 1] ^ _mix(np.array([opened[t] + (1 << 32)], np.uint64)))
             best["bound"][i] = _below(np.array([mu]), np.array([top]), u2)[0]
             un = int(best["units"][best["skip"] + i])
-            prefix[t] = np.r_[best["arcs"][: best["skip"] + i], arc], np.r_[best["units"][: best["skip"] + i], un]
+            upto = best["skip"] + i
+            prefix[t] = np.append(best["arcs"][:upto], arc), np.append(best["units"][:upto], un), float(best["before"][i] + lat.logp[arc])
             texts_on.append(t)
             units_on.append(un)
             nodes_on.append(lat.dst[arc])
@@ -350,7 +402,7 @@ def _ids(pieces: np.ndarray, v: Vocabulary) -> np.ndarray:
     parts, last = [], 0
     for i in odd:
         c = chr(-1 - int(pieces[i]))
-        parts += [pieces[last:i], v.byte_id[np.frombuffer((BLANK if c == _LITERAL else c).encode("utf-8", "surrogatepass"), np.uint8)]]
+        parts += [pieces[last:i], v.byte_id[np.frombuffer(c.encode("utf-8", "surrogatepass"), np.uint8)]]
         last = i + 1
     return np.concatenate([*parts, pieces[last:]]).astype(np.int32)
 
@@ -366,24 +418,29 @@ def vocabulary(model: str) -> Vocabulary:
 
 
 def encode_samples(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = K, alpha: float = ALPHA, seed: int = SEED, model: str = MODEL) -> DataFrame:
-    """Up to k rows for each row of docs: its columns but text, and rank, ids, log_prob, perturbed, inclusion."""
-    added = ["rank", "ids", "log_prob", "perturbed", "inclusion"]
+    """Up to k rows for each row of docs: its columns but text, and rank, ids, log_prob, perturbed, inclusion, round_trip.
+
+    round_trip: the ids decode to the text exactly, which is checked where they are made.
+    """
+    added = ["rank", "ids", "log_prob", "perturbed", "inclusion", "round_trip"]
     keep = [c for c in docs.columns if c != text and c not in added]
     schema = T.StructType([docs.schema[c] for c in keep])
-    for name, kind in zip(added, (T.IntegerType(), T.ArrayType(T.IntegerType()), T.DoubleType(), T.DoubleType(), T.DoubleType()), strict=True):
+    for name, kind in zip(added, (T.IntegerType(), T.ArrayType(T.IntegerType()), T.DoubleType(), T.DoubleType(), T.DoubleType(), T.BooleanType()), strict=True):
         schema = schema.add(name, kind)
     carried = docs.select(*keep, F.col(text).alias("_text"), F.col(key).cast("string").alias("_key"))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
+        words = Words(v, alpha)
         for whole in parts:
             for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
                 own = np.array([xxhash.xxh64_intdigest(x or "\0", seed=seed) for x in b.column("_key").to_pylist()], np.uint64)
+                texts = b.column("_text").to_pylist()
                 # A few rows at a time, so that what is held does not grow with the batch.
                 held: list[tuple] = []
                 weight = 0
-                for got in sample_runs(b.column("_text").to_pylist(), own, v, k=k, alpha=alpha):
-                    held.append(got)
+                for got in sample_runs(texts, own, v, k=k, alpha=alpha, words=words):
+                    held.append((*got, decode_ids(got[2].tolist(), v) == (texts[got[0]] or "")))
                     weight += len(got[2])
                     if weight > 100_000:
                         yield _batch(b, keep, held)
@@ -398,8 +455,8 @@ def _batch(b: pa.RecordBatch, keep: list[str], held: list[tuple]) -> pa.RecordBa
     rows = pa.array([x[0] for x in held])
     ends = np.r_[0, np.cumsum([len(x[2]) for x in held])].astype(np.int32)
     ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[2] for x in held]).astype(np.int32)))
-    more = [pa.array([x[1] for x in held], pa.int32()), ids, *(pa.array([x[i] for x in held], pa.float64()) for i in (3, 4, 5))]
-    return pa.RecordBatch.from_arrays([b.column(c).take(rows) for c in keep] + more, names=[*keep, "rank", "ids", "log_prob", "perturbed", "inclusion"])
+    more = [pa.array([x[1] for x in held], pa.int32()), ids, *(pa.array([x[i] for x in held], pa.float64()) for i in (3, 4, 5)), pa.array([x[6] for x in held])]
+    return pa.RecordBatch.from_arrays([b.column(c).take(rows) for c in keep] + more, names=[*keep, "rank", "ids", "log_prob", "perturbed", "inclusion", "round_trip"])
 
 
 def decode_ids(ids, v: Vocabulary) -> str:
@@ -420,19 +477,15 @@ def decode(ids: Column, model: str = MODEL) -> Column:
 
 
 def segmented(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, rank, ids, log_prob, inclusion, round_trip): what the pipeline returns; the ids decode to the text where round_trip holds."""
-    marked = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
-    got = encode_samples(marked, **options)
-    return got.select("doc_id", "rank", "ids", "log_prob", "inclusion", (F.xxhash64(decode(F.col("ids"), options.get("model", MODEL))) == F.col("_h")).alias("round_trip"))
+    """(doc_id, rank, ids, log_prob, inclusion, round_trip): what the pipeline returns."""
+    return encode_samples(docs.select("doc_id", "text"), **options).select("doc_id", "rank", "ids", "log_prob", "inclusion", "round_trip")
 
 
 def encoded(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, rank, n_pieces, ids_hash, log_prob, inclusion, round_trip): what the query returns."""
-    marked = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
-    got = encode_samples(marked, **options)
+    got = encode_samples(docs.select("doc_id", "text"), **options)
     return got.select(
-        "doc_id", "rank", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.round("log_prob", 6).alias("log_prob"), F.round("inclusion", 6).alias("inclusion"),
-        (F.xxhash64(decode(F.col("ids"), options.get("model", MODEL))) == F.col("_h")).alias("round_trip"),
+        "doc_id", "rank", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.round("log_prob", 6).alias("log_prob"), F.round("inclusion", 6).alias("inclusion"), "round_trip"
     )
 
 
