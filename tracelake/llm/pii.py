@@ -7,7 +7,10 @@ From each anchor a small deterministic parser expands to both sides and validate
 * ip: four dotted numbers, each at most 255; card: 16 to 19 digits that pass Luhn, single blanks or hyphens between;
 * phone: plus sign, then 8 to 15 digits with blanks, dots, hyphens and brackets;
 * url: ``http://``, ``https://`` or ``ftp://`` and what follows without white space, quotes and angle brackets;
-* secret: ``AKIA`` and 16 upper-case letters or digits, or ``password=`` and the non-blank run after it.
+* secret: ``AKIA`` and 16 upper-case letters or digits; or the value that is assigned to an identifier with a cue such as token, secret, key or password:
+  the cue begins a word or a part of one (``api_key``, ``accessToken``), an ``=`` or ``:`` follows, then a value in quotes or a run of other characters than
+  white space, commas, semicolons and quotes. A value has at most ``LONGEST`` characters, none of them blank, and either ``LEAST`` of them with a letter and a digit or, after a
+  password's cue, four. The span is the value without its quotes.
 
 Per kind the matches are leftmost and do not overlap; a match that fails validation is dropped and its text isn't tried
 again. Positions are code points, ends exclusive.
@@ -35,6 +38,13 @@ PHONE = frozenset(" ().0123456789-")
 KEY = frozenset(_UPPER + "0123456789")
 CARD_GAP = frozenset(" -")
 BLANK = frozenset(" \t\n\r\x0b\x0c")
+NAME = frozenset(_ALNUM + "_")
+LEAST, LONGEST = 8, 512
+#: What names a secret. Each is looked for in lower case, in upper case and with a capital.
+SECRET_CUES = ("token", "secret", "key", "apikey", "password", "passwd", "pwd")
+SPACE, SIGN = frozenset(" \t"), frozenset("=:>")
+LETTERS = frozenset(_UPPER + _UPPER.lower())
+VALUE_END = BLANK | frozenset("\"',;")
 URL_END = BLANK | frozenset("\"'<>")
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
@@ -118,18 +128,48 @@ def _url(text, at, least):
     return (at, end, True) if at >= least and end > text.index("://", at) + 3 else None
 
 
-def _secret(text, at, least):
-    if text.startswith("AKIA", at):
-        end = _run(text, at + 4, KEY)
-        return (at, at + 20, True) if at >= least and end >= at + 20 else None
-    end = at + len("password=")
-    while end < len(text) and text[end] not in BLANK:
+def _key(text, at, least):
+    end = _run(text, at + 4, KEY)
+    return (at, at + 20, True) if at >= least and end >= at + 20 else None
+
+
+def _skip(text: str, at: int, allowed: frozenset, most: int = 64) -> int:
+    stop = min(len(text), at + most)
+    while at < stop and text[at] in allowed:
+        at += 1
+    return at
+
+
+def _secret(text, at, cue, least):
+    """The value that the identifier with this cue is given."""
+    if at < least or at and text[at - 1] in NAME and text[at - 1] != "_" and not (text[at].isupper() and text[at - 1].islower()):
+        return None
+    end = at + len(cue)
+    if end < len(text) and text[end] == "_":
+        end = _skip(text, end, NAME)
+    if end < len(text) and text[end] in "\"'":
         end += 1
-    return (at, end, True) if at >= least and end > at + len("password=") else None
+    end = _skip(text, end, SPACE)
+    if end >= len(text) or text[end] not in "=:":
+        return None
+    start = _skip(text, _skip(text, end, SIGN, 2), SPACE)
+    quote = text[start] if start < len(text) and text[start] in "\"'" else ""
+    start += len(quote)
+    stop, most = start, min(len(text), start + LONGEST + 1)
+    while stop < most and text[stop] not in VALUE_END:
+        stop += 1
+    if stop == start or stop == start + LONGEST + 1:
+        return None
+    value = text[start:stop]
+    if quote and (stop >= len(text) or text[stop] != quote):
+        return None
+    known = any(c in DIGITS for c in value) and any(c in LETTERS for c in value) and len(value) >= LEAST
+    return start, stop, known or len(value) >= 4 and cue.lower() in ("password", "passwd", "pwd")
 
 
 #: What each anchor starts.
-ANCHORS = {"@": ("@",), "+": ("+",), "http://": ("url",), "https://": ("url",), "ftp://": ("url",), "AKIA": ("secret",), "password=": ("secret",)} | {d: ("digit",) for d in "0123456789"}
+ANCHORS = {"@": ("@",), "+": ("+",), "http://": ("url",), "https://": ("url",), "ftp://": ("url",), "AKIA": ("key",)} | {d: ("digit",) for d in "0123456789"}
+ANCHORS |= {form: ("secret",) for cue in SECRET_CUES for form in (cue, cue.upper(), cue.capitalize())}
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -165,7 +205,12 @@ def spans_of(text: str, cues: ahocorasick.Automaton) -> list[tuple[str, int, int
         elif what == "+":
             take("phone", _phone, at)
         else:
-            take(what, _url if what == "url" else _secret, at)
+            if what == "url":
+                take("url", _url, at)
+            elif what == "key":
+                take("secret", _key, at)
+            else:
+                take("secret", lambda t, a, least, n=n: _secret(t, a, t[a : a + n], least), at)
     return [(k, s, e) for k in KINDS for s, e in found[k]]
 
 
