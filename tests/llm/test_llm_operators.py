@@ -59,7 +59,7 @@ def test_lines_judge_the_input(spark):
     assert got == {1: f"{a}\nshort", 2: "other words stand here", 3: "", None: None}
 
 
-@pytest.mark.parametrize("options", [{}, {"blocks": 1, "vantages": 2}, {"blocks": 2, "vantages": 3}, {"chunk": 3}])
+@pytest.mark.parametrize("options", [{}, {"blocks": 1, "leaf": 10}, {"blocks": 2, "leaf": 4}, {"chunk": 3}, {"blocks": 5, "leaf": 3}, {"leaf": 2, "sample": 9}])
 def test_simhash_search_is_exact(spark, options):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**62, 30, dtype=np.int64)

@@ -7,18 +7,21 @@ The search has two levels, both vantage-point:
 
 * A forest splits the distinct fingerprints into shards. The 64 bits are cut into ``blocks`` blocks, one tree each, and a
   tree measures the Hamming distance within its block, which never exceeds the distance over all bits. Of ``radius``
-  differing bits at least one block gets no more than ``radius // blocks``: that is the query radius in a tree. Each
-  vantage point of a tree divides the points into rings by distance. By the triangle bound a query whose ring is r can
-  only have partners in the rings r - rho .. r + rho, so a shard is a list of rings, and a query visits its own shard and
-  those that overlap its ball. With the default of 5 blocks rho is 0 and the ball lies within one ring, so nothing
-  is copied across a boundary; with fewer blocks (1 is one plain tree over all bits) boundary shards are visited too. The
-  default is what scales: over all 64 bits the distances crowd around 32 +- 4, a radius of 4 overlaps both sides of a
-  median split for two points in three, and every level would copy them.
+  differing bits at least one block gets no more than ``rho = radius // blocks``: that is the query radius in a tree. A node of a tree has a vantage
+  point and a bound: points nearer than that are inside, the others outside. By the triangle inequality a query at distance d from the vantage point can have no partner
+  inside if d - rho is over the bound, and none outside if d + rho isn't: that branch is pruned. Else the query visits both, so it
+  reaches its own shard and those beyond whose boundary its ball extends; of two shards only one is visited from the other, as a pair needs to meet once.
 * Inside a shard, points are sorted by distance to the shard's first point; a query compares only those whose
-  distance differs by at most ``radius`` and that come later, over all 64 bits.
+  distance differs by at most ``radius``, over all 64 bits.
+
+The trees are grown on the driver from at most ``sample`` fingerprints, the least by a hash, until a shard has about ``leaf`` of all points or its part of the sample can't be
+split; vantage points are those of the node's points that spread the others most. The sample only shapes the trees: every point is placed and searched, and any trees give the same links.
+
+With the default of 3 blocks rho is 1, and a ball holds 22 or 23 values of its block, so a point lies in that many shards of a tree at most, whatever their number. One tree
+over all 64 bits (``blocks=1``) is exact too, but prunes little: distances crowd around 32 +- 4, and a radius of 4 reaches over a median bound for two points in three.
 
 A shard of more than ``chunk`` points is cut into chunks by a hash, and every pair of chunks is a group of its own, so a
-group never holds more than 2 * chunk points however many fall into one shard. A group returns a spanning forest of
+group never holds more than about 2 * chunk points however many fall into one shard. A group returns a spanning forest of
 its links, not all pairs. Components are found by Spark joins over those edges: every point takes the smallest label
 around it, then its label's label, until nothing changes.
 
@@ -31,6 +34,7 @@ an empty table gives an empty one. Other columns are not read.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +48,14 @@ from .common import read, stored
 
 SHINGLE = 4
 RADIUS = 4
-BLOCKS = 5
-VANTAGES = 4
-CHUNK = 4096
+BLOCKS = 3
+LEAF = 512
+SAMPLE = 1 << 17
+CHUNK = 8192
+#: Candidates for a node's vantage point, and points that they are tried on.
+TRIED = (8, 256)
+#: Home points that are compared at once.
+ROWS = 64
 _LANES = np.array([1 << k for k in range(64)], dtype=np.uint64)
 
 
@@ -75,41 +84,73 @@ def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {id_type}, fp bigint")
 
 
-def _trees(blocks: int, vantages: int) -> list[list[tuple[np.uint64, np.uint64]]]:
-    """For each block its vantage points: (mask of the bits that count, point). Each covers a part of the block."""
+@dataclasses.dataclass
+class Tree:
+    """Nodes by number, 0 the root: vantage point, bound, and the nodes inside and outside. A leaf has no nodes; its number is that of the shard."""
+
+    mask: np.uint64
+    point: list[int]
+    bound: list[int]
+    inside: list[int]
+    outside: list[int]
+
+    def place(self, fp: np.ndarray, rho: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, shard) for all shards that the balls of radius rho around the points reach."""
+        todo = [(0, np.arange(len(fp)))]
+        while todo:
+            node, rows = todo.pop()
+            if not self.inside[node]:
+                yield rows, np.full(len(rows), node, np.int64)
+                continue
+            d = np.bitwise_count((fp[rows] ^ np.uint64(self.point[node])) & self.mask).astype(np.int64)
+            for to, go in ((self.inside[node], d - rho <= self.bound[node]), (self.outside[node], d + rho > self.bound[node])):
+                if go.any():
+                    todo.append((to, rows[go]))
+
+
+def grow(points: np.ndarray, mask: np.uint64, least: int) -> Tree:
+    """A tree whose leaves have fewer than ``least`` of the given points, as far as these can be told apart under the mask."""
+    tree = Tree(mask, [], [], [], [])
+
+    def add() -> int:
+        for x in (tree.point, tree.bound, tree.inside, tree.outside):
+            x.append(0)
+        return len(tree.point) - 1
+
+    rng = np.random.default_rng(1)
+    todo = [(add(), points & mask)]
+    while todo:
+        node, own = todo.pop()
+        if len(own) < max(least, 2):
+            continue
+        tried, on = own[rng.integers(0, len(own), TRIED[0])], own[rng.integers(0, len(own), TRIED[1])]
+        spread = np.bitwise_count(tried[:, None] ^ on).astype(float).var(axis=1)
+        point = tried[spread.argmax()]
+        d = np.bitwise_count(own ^ point)
+        bound = min(int(np.median(d)), int(d.max()) - 1)
+        if bound < d.min():
+            continue
+        tree.point[node], tree.bound[node], tree.inside[node], tree.outside[node] = int(point), bound, add(), add()
+        todo += [(tree.inside[node], own[d <= bound]), (tree.outside[node], own[d > bound])]
+    return tree
+
+
+def forest(sample: np.ndarray, blocks: int, least: int) -> list[Tree]:
+    """A tree for each block of bits."""
     edges = np.linspace(0, 64, blocks + 1).round().astype(int)
-    point = np.random.default_rng(1).integers(0, 2**63, blocks * vantages, dtype=np.uint64)
-    out = []
-    for b in range(blocks):
-        cut = np.linspace(edges[b], edges[b + 1], vantages + 1).round().astype(int)
-        out.append([(np.uint64(sum(1 << int(k) for k in range(cut[v], cut[v + 1]))), point[b * vantages + v]) for v in range(vantages)])
-    return out
+    return [grow(sample, np.uint64(sum(1 << int(k) for k in range(edges[b], edges[b + 1]))), least) for b in range(blocks)]
 
 
-def shards_of(fp: np.ndarray, radius: int, blocks: int, vantages: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, shard, home) for every shard that a row lies in (home) or that its ball reaches (not home).
-
-    Vantage points that measure disjoint bits add up: the sum of ring offsets is at most rho.
-    A visit is kept only for shards with a larger number than the home, since a pair needs to meet once.
-    """
-    rho = radius // blocks
-    for b, tree in enumerate(_trees(blocks, vantages)):
-        rings = np.stack([np.bitwise_count((fp ^ p) & m).astype(np.int64) for m, p in tree], axis=1)
-        home = np.full(len(fp), b, np.int64)
-        for v in range(len(tree)):
-            home = home * 65 + rings[:, v]
-        moves: list[tuple[tuple[int, ...], int]] = [((), 0)]
-        for _ in tree:
-            moves = [((*m, d), c + abs(d)) for m, c in moves for d in range(-rho, rho + 1) if c + abs(d) <= rho]
-        for move, cost in moves:
-            at = rings + np.array(move)
-            ok = (at >= 0).all(1) & (at <= 64).all(1)
-            to = np.full(len(fp), b, np.int64)
-            for v in range(len(tree)):
-                to = to * 65 + at[:, v]
-            ok &= (to > home) if cost else True
-            rows = np.flatnonzero(ok)
-            yield rows, to[rows], np.full(len(rows), cost == 0)
+def shards_of(fp: np.ndarray, trees: list[Tree], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, shard, home) for every shard that a row lies in (home) or that its ball reaches (not home) and that has a larger number than its home."""
+    rho = radius // len(trees)
+    for t, tree in enumerate(trees):
+        own = np.zeros(len(fp), np.int64)
+        for rows, shard in tree.place(fp, 0):
+            own[rows] = shard
+        for rows, shard in tree.place(fp, rho):
+            go = shard >= own[rows]
+            yield rows[go], (shard[go] << 8) + t, (shard == own[rows])[go]
 
 
 def _forest(fp: np.ndarray, home: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -117,26 +158,33 @@ def _forest(fp: np.ndarray, home: np.ndarray, radius: int) -> list[tuple[int, in
     d = np.bitwise_count(fp ^ fp.min()).astype(np.int64)
     by_ring = np.lexsort((fp, d))
     ring, pts, at_home = d[by_ring], fp[by_ring], home[by_ring]
-    ends = np.searchsorted(ring, ring + radius, side="right")
     label = np.arange(len(pts))
-    for i in range(len(pts)):
-        near = np.flatnonzero(np.bitwise_count(pts[i + 1 : ends[i]] ^ pts[i]) <= radius) + i + 1
-        if not at_home[i]:
-            near = near[at_home[near]]
-        for other in np.unique(label[near]):  # a label for each component so far, so a dense group costs one step a point
-            if other != label[i]:
-                label[label == max(other, label[i])] = min(other, label[i])
+    owners = np.flatnonzero(at_home)
+    for s in range(0, len(owners), ROWS):
+        own = owners[s : s + ROWS]
+        lo, hi = np.searchsorted(ring, [ring[own[0]] - radius, ring[own[-1]] + radius + 1])
+        near = np.bitwise_count(pts[lo:hi] ^ pts[own][:, None]) <= radius
+        for r in np.flatnonzero(near.sum(1) > 1):  # others than the point itself
+            i = own[r]
+            for other in np.unique(label[np.flatnonzero(near[r]) + lo]):  # a label for each component so far, so a dense group costs one step a point
+                if other != label[i]:
+                    label[label == max(other, label[i])] = min(other, label[i])
     later = np.flatnonzero(label != np.arange(len(pts)))
     return [(int(pts[x]), int(pts[label[x]])) for x in later]
 
 
-def links(points: DataFrame, *, radius: int = RADIUS, blocks: int = BLOCKS, vantages: int = VANTAGES, chunk: int = CHUNK) -> DataFrame:
+def links(points: DataFrame, *, radius: int = RADIUS, blocks: int = BLOCKS, leaf: int = LEAF, sample: int = SAMPLE, chunk: int = CHUNK) -> DataFrame:
     """(a, b): edges that connect all distinct fingerprints within ``radius`` of each other, few enough to store."""
+    order = F.xxhash64("fp", F.lit(3))
+    chosen = points.select("fp", order.alias("o")).orderBy("o").limit(sample).select("fp").toArrow()  # at most ``sample`` numbers
+    chosen = chosen["fp"].to_numpy().view(np.uint64)
+    # A shard's part of the sample that stands for ``leaf`` of all points.
+    trees = points.sparkSession.sparkContext.broadcast(forest(chosen, blocks, max(2, leaf * len(chosen) // max(points.count(), 1))))
 
     def place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for rows, shard, home in shards_of(fp, radius, blocks, vantages):
+            for rows, shard, home in shards_of(fp, trees.value, radius):
                 yield pa.RecordBatch.from_arrays([pa.array(fp[rows].view(np.int64)), pa.array(shard), pa.array(home)], names=["fp", "shard", "home"])
 
     placed = points.select("fp").mapInArrow(place, "fp bigint, shard bigint, home boolean")
@@ -170,11 +218,11 @@ def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
             return label
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, vantages: int = VANTAGES, chunk: int = CHUNK) -> DataFrame:
-    """One row per row of docs: doc_id, fp, component_id (the smallest doc_id of its component)."""
+def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, **options) -> DataFrame:
+    """One row per row of docs: doc_id, fp, component_id (the smallest doc_id of its component). ``options`` are those of ``links``."""
     fps = stored(fingerprints(docs, shingle=shingle))
     points = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    comp = components(stored(links(points, radius=radius, blocks=blocks, vantages=vantages, chunk=chunk)))
+    comp = components(stored(links(points, **options)))
     labelled = points.join(comp, points["fp"] == comp["node"], "left").select(points["fp"], "first_id", F.coalesce("label", "fp").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_fp = labelled.select("fp", "label").join(smallest, "label").select(F.col("fp").alias("p"), "component_id")
