@@ -20,7 +20,7 @@ def nfc(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def language(text: Column) -> Column:
@@ -30,19 +30,34 @@ def language(text: Column) -> Column:
     return F.when((ko + en) == 0, "unknown").when(share >= 0.7, "ko").when(share <= 0.3, "en").otherwise("mixed")
 
 
+def normalize(text: Column) -> Column:
+    """Normal form C, white space of any kind as single blanks, none at the ends (FN-1)."""
+    return collapse(nfc(text))
+
+
 def reference(text: Column, kind: str) -> Column:
-    """The first reference of a kind, such as ticket-217, in lower case (FN-3)."""
-    return F.lower(F.nullif(F.regexp_extract(text, rf"(?iU)\b{kind}-\w+\b", 0), F.lit("")))
+    """The first reference of a kind, such as ticket-217, in lower case; a gate may also be written H1 gate (FN-3)."""
+    pattern = rf"\b{kind}-\w+\b"
+    if kind == "gate":
+        pattern = rf"\b[Hh]\d+\s*gate\b|{pattern}"
+    return F.lower(F.nullif(F.regexp_extract(text, f"(?iU){pattern}", 0), F.lit("")))
 
 
 #: Pattern of a reference and its concepts, first match wins.
-CONCEPTS = [(r"^ticket-.+$", ["TicketEvent", "FailedTicket"]), (r"^gate-.+$", ["RunContext", "HITLGateContext"]), (r"^run-.+$", ["RunContext"])]
+CONCEPTS = [
+    (r"^ticket-\d+$", ["TicketEvent"]),
+    (r"^run-\w+$", ["RunContext"]),
+    (r"^wf-\w+$", ["WorkflowEntity"]),
+    (r"^gate-\w+$", ["RunContext", "HITLGateContext"]),
+    (r"^manifest-\w+$", ["RunManifest"]),
+]
 
 
 def concepts(ref: Column) -> Column:
+    """The concepts of the first pattern that a reference matches, none if it matches none (FN-5)."""
     out = F.array().cast("array<string>")
     for pattern, names in reversed(CONCEPTS):
-        out = F.when(F.lower(ref).rlike(pattern), F.array(*map(F.lit, names))).otherwise(out)
+        out = F.when(ref.rlike(f"(?iU){pattern}"), F.array(*map(F.lit, names))).otherwise(out)
     return out
 
 
