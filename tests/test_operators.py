@@ -52,13 +52,13 @@ def test_graph_loops_and_levels(spark):
 
 
 def test_release_state(spark):
-    rows = [("UD-1", "user-decision", "1", [("invalidated-by", "RN-2")]), ("RN-1", "release-note", "1", []), ("RN-2", "release-note", "2", []), ("RN-3", "release-note", "3", [("rolls-back", "RN-2")])]
-    e = spark.createDataFrame(rows, "id string, type string, created_at string, relations array<struct<type:string,target:string>>")
+    rows = [("UD-1", "user-decision", "1", [("invalidated-by", "RN-2")], None), ("RN-1", "release-note", "1", [], {"released_at": ""}), ("RN-2", "release-note", "2", [], {"kind": "release"}), ("RN-3", "release-note", "3", [("rolls-back", "RN-2")], {"kind": "rollback"})]
+    e = spark.createDataFrame(rows, "id string, type string, created_at string, relations array<struct<type:string,target:string>>, metadata map<string,string>")
     assert [r.id for r in memory.current_release(e).collect()] == ["RN-1"]
-    assert [tuple(r) for r in memory.validity(e).collect()] == [("UD-1", "RN-2", "suspended")]
+    assert [tuple(r) for r in memory.validity(e).collect()] == [("UD-1", "invalidated-by", "RN-2", "suspended")]
     e = e.where("id <> 'RN-3'")
     assert [r.id for r in memory.current_release(e).collect()] == ["RN-2"]
-    assert [tuple(r) for r in memory.validity(e).collect()] == [("UD-1", "RN-2", "active")]
+    assert [tuple(r) for r in memory.validity(e).collect()] == [("UD-1", "invalidated-by", "RN-2", "active")]
 
 
 def test_text_functions(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -33,10 +33,14 @@ def evidence(streams: DataFrame, explicit: DataFrame | None = None) -> DataFrame
     return found if explicit is None else found.join(explicit.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
+#: What counts as declared provenance.
+PROVENANCE = ("author", "version", "timestamp", "validation", "coverage", "confidence")
+
+
 def own_trust(artifacts: DataFrame) -> DataFrame:
     """(id, trust): 0.4 confidence, 0.2 validated, 0.2 coverage, 0.2 declared provenance (GRF-2)."""
     clamp = lambda c: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c.cast("double"))), F.lit(0.5))
-    declared = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in ("method", "author", "validation", "coverage", "confidence")), F.lit(0))
+    declared = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in PROVENANCE), F.lit(0))
     t = 0.4 * clamp(F.col("confidence")) + F.when(F.col("validation").isNotNull(), 0.2).otherwise(0.0) + 0.2 * clamp(F.col("coverage")) + 0.2 * declared / 6
     return artifacts.select("id", t.alias("trust"))
 
@@ -80,8 +84,11 @@ def workflow_trust(streams: DataFrame, membership: DataFrame, trust: DataFrame,
     return parts.select("workflow", F.when(w[0] + w[1] + w[2] > 0, top / (w[0] + w[1] + w[2])).alias("trust"))
 
 
-def decisions(trust: DataFrame, *, threshold: float = 0.5) -> DataFrame:
-    return trust.select("workflow", F.when(F.col("trust").isNull(), "insufficient-signal").when(F.col("trust") >= threshold, "pass").otherwise("fail").alias("decision"))
+def decisions(measures: DataFrame, workflow_trust: DataFrame, *, threshold: float = 0.7) -> DataFrame:
+    """(node, workflow, trust, decision) of each measuring edge (node, workflow): pass, fail, or insufficient-signal without a trust (GRF-6)."""
+    met = measures.select("node", "workflow").join(workflow_trust.select("workflow", "trust"), "workflow", "left")
+    verdict = F.when(F.col("trust").isNull(), "insufficient-signal").when(F.col("trust") >= threshold, "pass").otherwise("fail")
+    return met.select("node", "workflow", "trust", verdict.alias("decision"))
 
 
 def supply(streams: DataFrame, membership: DataFrame) -> DataFrame:
@@ -190,4 +197,79 @@ def successors(nodes: DataFrame, *, by: str, order: tuple[str, ...], node: str =
 
 def uncovered(artifacts: DataFrame) -> DataFrame:
     """Artifacts without any provenance (GRF-16)."""
-    return artifacts.where("coalesce(method, author, validation, cast(coverage AS string), cast(confidence AS string)) IS NULL").select("id")
+    return artifacts.where(F.coalesce(*[F.col(c).cast("string") for c in PROVENANCE]).isNull()).select("id")
+
+
+def without_method(executions: DataFrame) -> DataFrame:
+    """Executions that declare no method (GRF-16)."""
+    return executions.where("method IS NULL").select("node")
+
+
+def shapeless(directories: DataFrame) -> DataFrame:
+    """(id, missing): directories without a path or a role (GRF-17)."""
+    empty = lambda c: F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(c))
+    return directories.select("id", F.explode(F.array_compact(F.array(empty("path"), empty("role")))).alias("missing"))
+
+
+def nodes_of(triples: DataFrame) -> DataFrame:
+    """(node, types): typed subjects that are no edges, and all their types, sorted (SRC-9, FLT-9)."""
+    typed = triples.where("p = 'type'").groupBy(F.col("s").alias("node")).agg(F.array_sort(F.collect_set("o")).alias("types"))
+    return typed.where(~F.arrays_overlap("types", F.array(*map(F.lit, EDGE_CLASSES))))
+
+
+#: The classes of reified edges.
+EDGE_CLASSES = ("Rail", "Stream")
+
+
+def edges_of(triples: DataFrame) -> DataFrame:
+    """(edge, class, src, dst, kind, on, criteria, derived): reified edges both of whose ends are nodes (SRC-9). Of several values of one property the least counts (FLT-11)."""
+    value = lambda *names: F.min(F.when(F.col("p").isin(*names), F.col("o")))
+    found = triples.groupBy(F.col("s").alias("edge")).agg(
+        F.min(F.when((F.col("p") == "type") & F.col("o").isin(*EDGE_CLASSES), F.col("o"))).alias("class"), value("from").alias("src"), value("to").alias("dst"),
+        value("railType", "streamType").alias("kind"), value("on").alias("on"), value("criteria").alias("criteria"), value("derived").alias("derived"),
+    ).where("class IS NOT NULL")
+    nodes = nodes_of(triples).select("node")
+    for end in ("src", "dst"):
+        found = found.join(nodes, found[end] == nodes["node"], "left_semi")
+    return found
+
+
+def of_classes(nodes: DataFrame, *classes: str) -> DataFrame:
+    """Nodes of any of the classes, by name (FLT-9, SET-5)."""
+    return nodes.where(F.arrays_overlap("types", F.array(*map(F.lit, classes)))).orderBy("node")
+
+
+def scope_of(node: Column) -> Column:
+    """The segment after workflow/, phase/ or node/ where another one follows, else null (FLT-10)."""
+    return F.nullif(F.regexp_extract(node, r"(?:^|#)(?:workflow|phase|node)/([^/]+)/[^/]+", 1), F.lit(""))
+
+
+def display_id(node: Column) -> Column:
+    """The last segment (FLT-10, FN-17)."""
+    return F.element_at(F.split(node, "[/#]"), -1)
+
+
+def label_of(triples: DataFrame, predicates: tuple[str, ...] = ("label", "prefLabel", "title")) -> DataFrame:
+    """(node, label): the first label there is in the order of the predicates, on one line, else the last segment of the id (FN-17)."""
+    first = F.coalesce(*[F.min(F.when(F.col("p") == p, F.nullif(F.trim(F.regexp_replace("o", r"\n", " ")), F.lit("")))) for p in predicates])
+    return triples.groupBy(F.col("s").alias("node")).agg(F.coalesce(first, display_id(F.first("s"))).alias("label"))
+
+
+def legacy_refs(triples: DataFrame) -> DataFrame:
+    """(ref): documents that ref literals point at, distinct and sorted (FLT-12)."""
+    ref = F.substring_index(F.trim("o"), "#", 1)
+    return triples.where("p = 'ref'").select(ref.alias("ref")).where(F.col("ref").rlike(r"\.ya?ml$")).distinct().orderBy("ref")
+
+
+def subject_of(subject: Column) -> Column:
+    """Who executes: ``self`` where none or an unknown one is given (FN-13)."""
+    return F.coalesce(F.when(subject.isin(*SUBJECTS), subject), F.lit("self"))
+
+
+#: Older names of subjects.
+LEGACY_SUBJECTS = {"user": "human", "agent": "self", "metric": "system"}
+
+
+def legacy_subject(subject: Column) -> Column:
+    """An older subject by its present name; others stay (FN-14)."""
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in LEGACY_SUBJECTS.items() for x in pair])[subject], subject)

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 #: The words that mark a failure.
 FAILURE = "fail|failed|error|blocked|timeout|exception"
-#: Where a value may stand, first match wins.
+#: Where a value may stand, first match wins.
 PATHS = {
     "status": ["status", "result.status", "metadata.status"],
     "event": ["event_type", "type", "entry_type", "kind"],
     "workflow": ["workflow", "workflow_id", "metadata.workflow", "metadata.workflow_id"],
     "phase": ["phase", "phase_id", "metadata.phase", "metadata.phase_id"],
     "node": ["node", "node_id", "metadata.node", "metadata.node_id"],
-    "tool": ["tool", "tool_name", "tool.name", "command", "metadata.tool", "metadata.tool_name"],
+    "tool": ["tool", "tool_name", "tool.name", "metadata.tool", "command"],
     "intent": ["intent_id", "intent.id", "metadata.intent_id"],
-    "id": ["id"],
+    "id": ["id", "entry_id", "metadata.id", "run_id", "ticket_id", "intent_id"],
+    "error": ["error", "exception", "failure", "metadata.severity"],
 }
 HOTSPOTS = ("workflow", "phase", "node", "tool", "intent")
 
@@ -33,7 +34,7 @@ def failure_like(*fields: Column) -> Column:
 def parsed(lines: DataFrame) -> DataFrame:
     """(scope, line, one column for each of PATHS) of the lines that are JSON objects; one pass, no shuffle."""
     v = lines.where(F.trim("value") != "").withColumn("v", F.try_parse_json("value")).where(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT"))
-    return v.select("scope", "line", *[first_of_paths(F.col("v"), p).alias(n) for n, p in PATHS.items()], F.try_variant_get("v", "$.error", "string").alias("error"))
+    return v.select("scope", "line", *[first_of_paths(F.col("v"), p).alias(n) for n, p in PATHS.items()])
 
 
 def counters(lines: DataFrame, dims: tuple[str, ...] = ("status", "event", "workflow", "intent")) -> DataFrame:
@@ -51,7 +52,31 @@ def hotspots(lines: DataFrame) -> DataFrame:
 
 
 def repeated(lines: DataFrame) -> DataFrame:
-    return parsed(lines).where("id IS NOT NULL").groupBy("scope", "id").agg(F.count("*").alias("cnt")).where("cnt > 1")
+    """(scope, id, cnt) of ids that occur more than once, the most frequent first (AGG-12)."""
+    return parsed(lines).where("id IS NOT NULL").groupBy("scope", "id").agg(F.count("*").alias("cnt")).where("cnt > 1").orderBy(F.col("cnt").desc(), "scope", "id")
+
+
+def prefixes(lines: DataFrame) -> DataFrame:
+    """(prefix, cnt): ids by their two capital letters before a dash or underscore (AGG-10)."""
+    p = parsed(lines).select(F.regexp_extract("id", "^([A-Z]{2})[-_]", 1).alias("prefix"))
+    return p.where("prefix <> ''").groupBy("prefix").agg(F.count("*").alias("cnt"))
+
+
+def scope_counts(lines: DataFrame) -> DataFrame:
+    """(scope, records, bad) by scope: lines with text, and how many of them are no JSON object (SRC-6, AGG-10)."""
+    bad = F.coalesce(~F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(True))
+    return lines.where(F.trim("value") != "").groupBy("scope").agg(F.count("*").alias("records"), F.count_if(bad).alias("bad"))
+
+
+def normalized(value: Column) -> Column:
+    """A JSON value as a short text: the first three of an array, an object cut at 120, a scalar trimmed; null for what is empty (FLT-7).
+
+    ``value`` is a VARIANT. Spark keeps an object's keys sorted.
+    """
+    kind = F.schema_of_variant(value)
+    items = F.transform(F.slice(F.try_variant_get(value, "$", "array<string>"), 1, 3), lambda x: F.coalesce(x, F.lit("None")))
+    text = F.when(kind.startswith("ARRAY"), F.array_join(items, ", ")).when(kind.startswith("OBJECT"), F.substring(F.to_json(value), 1, 120))
+    return text.when(kind != "VOID", F.nullif(F.trim(F.try_variant_get(value, "$", "string")), F.lit("")))
 
 
 def top(df: DataFrame, count: str, *keys: str, k: int = 10) -> DataFrame:

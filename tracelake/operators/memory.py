@@ -44,23 +44,26 @@ def rolled_back(entries: DataFrame) -> DataFrame:
 
 
 def current_release(entries: DataFrame) -> DataFrame:
-    """The newest release note that neither is a roll-back nor was rolled back (MEM-7)."""
-    r = relations(entries).where("kind = 'rolls-back'").select(F.col("src").alias("id")).distinct()
-    notes = entries.where("type = 'release-note'").select("id", "created_at")
-    return notes.join(rolled_back(entries), "id", "left_anti").join(r, "id", "left_anti").orderBy(F.col("created_at").desc(), "id").limit(1)
+    """(id, released): the newest release note that is no roll-back by its metadata and was not rolled back (MEM-7, TOP-2).
+
+    Time is metadata.released_at, else created_at.
+    """
+    kind, at = F.try_element_at("metadata", F.lit("kind")), F.nullif(F.try_element_at("metadata", F.lit("released_at")), F.lit(""))
+    notes = entries.where((F.col("type") == "release-note") & (F.coalesce(kind, F.lit("release")) != "rollback")).select("id", F.coalesce(at, F.col("created_at"), F.lit("")).alias("released"))
+    return notes.join(rolled_back(entries), "id", "left_anti").orderBy(F.col("released").desc(), "id").limit(1)
 
 
 def validity(entries: DataFrame) -> DataFrame:
-    """Invalidations and whether a roll-back suspends them (MEM-8)."""
-    inv = relations(entries).where("kind = 'invalidated-by'").select("src", "dst")
+    """(src, kind, dst, status): verified-in and invalidated-by edges, suspended where the target was rolled back (MEM-8)."""
+    edges = relations(entries).where("kind IN ('verified-in', 'invalidated-by')").select("src", "kind", "dst")
     back = rolled_back(entries).select(F.col("id").alias("dst"), F.lit(True).alias("b"))
-    return inv.join(back, "dst", "left").select("src", "dst", F.when(F.col("b"), "suspended").otherwise("active").alias("status"))
+    return edges.join(back, "dst", "left").select("src", "kind", "dst", F.when(F.col("b"), "suspended").otherwise("active").alias("status"))
 
 
 def revalidation(entries: DataFrame) -> DataFrame:
     """Entries whose invalidating release was rolled back, with the release that did it (MEM-10)."""
     by = relations(entries).where("kind = 'rolls-back' AND src_type = 'release-note'").select(F.col("dst"), F.col("src").alias("rollback"))
-    return validity(entries).where("status = 'suspended'").join(by, "dst").select("src", "dst", "rollback")
+    return validity(entries).where("status = 'suspended' AND kind = 'invalidated-by'").join(by, "dst").select("src", "dst", "rollback")
 
 
 def traverse(edges: DataFrame, roots: DataFrame, *, depth: int = 2, direction: str = "out") -> DataFrame:
@@ -89,7 +92,7 @@ def triples(entries: DataFrame) -> DataFrame:
     return out
 
 
-def validate(entries: DataFrame, *, types: tuple[str, ...] = ("release-note", "trouble", "user-decision", "episode"), kinds: tuple[str, ...] = ("references", "invalidated-by", "rolls-back", "resolved-by")) -> DataFrame:
+def validate(entries: DataFrame, *, types: tuple[str, ...] = ("release-note", "trouble", "user-decision", "episode"), kinds: tuple[str, ...] = ("references", "verified-in", "invalidated-by", "rolls-back", "resolved-by")) -> DataFrame:
     """(id, issue): missing fields, unknown types and relations, and ids seen before (MEM-1)."""
     rules: list[Column] = [F.when(F.col(c).isNull() | (F.trim(c) == ""), F.lit(f"missing {c}")) for c in ("id", "type", "created_at", "text")]
     rules.append(F.when(~F.col("type").isin(*types), F.concat(F.lit("unknown type "), "type")))
@@ -139,4 +142,95 @@ def active_invalidations(entries: DataFrame) -> DataFrame:
     """(src, src_type, dst, created_at) of each invalidation whose release stands, with its release's date (MEM-9)."""
     own = entries.select(F.col("id").alias("src"), F.col("type").alias("src_type"))
     release = entries.select(F.col("id").alias("dst"), "created_at")
-    return validity(entries).where("status = 'active'").join(own, "src").join(release, "dst").select("src", "src_type", "dst", "created_at")
+    return validity(entries).where("status = 'active' AND kind = 'invalidated-by'").join(own, "src").join(release, "dst").select("src", "src_type", "dst", "created_at")
+
+
+def digest(entries: DataFrame, *, invalidated: int = 10, candidates: int = 5) -> DataFrame:
+    """(section, position, id, release): the current release, up to 10 active invalidations, how many more there are, up to 5 candidates for
+    revalidation (MEM-11). Nothing where there is no release note; the current release is null where all were rolled back."""
+    notes = entries.where("type = 'release-note'").select(F.lit("current").alias("section")).limit(1)
+    current = notes.join(current_release(entries).withColumn("section", F.lit("current")), "section", "left").select("section", F.lit(1).alias("position"), "id", F.lit(None).cast("string").alias("release"))
+    edges = validity(entries).where("kind = 'invalidated-by'")
+
+    def first(status: str, section: str, k: int) -> DataFrame:
+        top = edges.where(F.col("status") == status).orderBy("src", "dst").limit(k)
+        return top.select(F.lit(section).alias("section"), F.row_number().over(Window.orderBy("src", "dst")).alias("position"), F.col("src").alias("id"), F.col("dst").alias("release"))
+
+    more = edges.where("status = 'active'").agg(F.count("*").alias("n")).where(F.col("n") > invalidated)
+    more = more.select(F.lit("more").alias("section"), (F.col("n") - invalidated).cast("int").alias("position"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("release"))
+    found = current.unionByName(first("active", "invalidated", invalidated)).unionByName(more).unionByName(first("suspended", "candidate", candidates))
+    return found.join(notes.select(F.lit(True).alias("any")), F.lit(True) == F.col("any")).drop("any")
+
+
+def _tokens(*columns: str) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.concat_ws(" ", *columns), F.lit("[A-Za-z0-9_.-]{3,}"), F.lit(0)), F.lower))
+
+
+def context_pack(nodes: DataFrame, entries: DataFrame, edges: DataFrame, *, k: int = 5, depth: int = 1, max_chars: int = 1200) -> DataFrame:
+    """(node, id, depth, score, text): the k entries of each node (see relevance) and what lies within ``depth`` relations of them either way, texts cut (MEM-13).
+
+    The score is that of the entry for the node, -1 if its type is not allowed.
+    """
+    top = relevance(nodes, entries, k=k).select("node", "id")
+    known = entries.select(F.col("id").alias("dst"))
+    between = edges.select("src", "dst").join(known, "dst", "left_semi")
+    steps = between.select("src", "dst").union(between.select("dst", "src")).distinct()
+    seen = top.withColumn("depth", F.lit(0))
+    front = seen
+    for d in range(1, depth + 1):
+        found = front.join(steps, front["id"] == steps["src"]).select("node", F.col("dst").alias("id")).distinct()
+        front = found.join(seen, ["node", "id"], "left_anti").withColumn("depth", F.lit(d))
+        seen = seen.unionByName(front)
+    low = lambda c: F.array_distinct(F.transform(F.array_compact(c), F.lower))
+    n = nodes.select("node", "types", _tokens("text").alias("n_words"), low(F.col("tags")).alias("n_tags"))
+    priority = F.coalesce(F.create_map(*[F.lit(x) for p in TYPE_PRIORITIES.items() for x in p])[F.col("type")], F.lit(0))
+    e = entries.select("id", "type", priority.alias("p"), F.lower("module").alias("module"), _tokens("id", "type", "title", "text", "tags").alias("e_words"), low(F.col("tags")).alias("e_tags"), F.substring("text", 1, max_chars).alias("text"))
+    met = seen.join(n, "node").join(e, "id")
+    in_module = F.coalesce((F.col("module") != "") & F.array_contains("n_tags", F.col("module")), F.lit(False)).cast("int")
+    shared = F.coalesce(F.size(F.array_intersect("n_words", "e_words")), F.lit(0)) + TAG_WEIGHT * F.coalesce(F.size(F.array_intersect("n_tags", "e_tags")), F.lit(0))
+    allowed = F.coalesce((F.size("types") == 0) | F.array_contains("types", F.col("type")), F.col("types").isNull())
+    return met.select("node", "id", "depth", F.when(allowed, F.col("p") + shared + MODULE_WEIGHT * in_module).otherwise(-1).alias("score"), "text")
+
+
+def follow_up(entries: DataFrame, *, trouble: str = "trouble", episode: str = "episode") -> DataFrame:
+    """(module, trouble_at, episode_at): modules whose newest trouble is later than their newest episode, or that have none (MEM-15)."""
+    newest = lambda kind: F.max(F.when(F.col("type") == kind, F.col("created_at")))
+    by = entries.groupBy("module").agg(newest(trouble).alias("trouble_at"), newest(episode).alias("episode_at"))
+    return by.where("trouble_at IS NOT NULL AND (episode_at IS NULL OR trouble_at > episode_at)")
+
+
+def write_back(results: DataFrame, *, allowed: tuple[str, ...] = (), halt_on: tuple[str, ...] = (), requires_review: bool = True) -> DataFrame:
+    """results (type of the item, action of a control event, either may be null) with status, reason, requires_review and halted (MEM-16).
+
+    An item is proposed unless its type is not allowed (no list: all are); a user's decision never is.
+    """
+    user, barred = F.col("type") == "user-decision", ~F.col("type").isin(*allowed) if allowed else F.lit(False)
+    item = F.col("type").isNotNull()
+    reason = F.when(user, "a user's decision is not recorded by an execution").when(barred, "type not allowed")
+    return results.withColumns({
+        "status": F.when(item, F.when(user | barred, "rejected").otherwise("proposed")), "reason": F.when(item, reason),
+        "requires_review": F.when(item, F.lit(requires_review)), "halted": F.coalesce(F.col("action").isin(*halt_on), F.lit(False)) if halt_on else F.lit(False),
+    })
+
+
+def fingerprint(entries: DataFrame, columns: tuple[str, ...] = ("id", "type", "text", "created_at")) -> DataFrame:
+    """(fingerprint): SHA-256 over the entries ordered by id (AGG-21). Each entry is hashed on its own, then ever larger blocks by the id's hash, so no row holds many of them."""
+    row = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+    blocks = entries.select(F.sha2("id", 256).alias("block"), F.concat_ws(":", "id", row).alias("h"))
+    for size in (9, 6, 3, 0):
+        joined = F.array_join(F.array_sort(F.collect_list("h")), ",")
+        blocks = blocks.withColumn("block", F.substring("block", 1, size)).groupBy("block").agg(F.sha2(joined, 256).alias("h")).withColumn("h", F.concat_ws(":", "block", "h"))
+    return blocks.select(F.substring("h", 2, 64).alias("fingerprint"))
+
+
+def overall_status(units: DataFrame, *, by: str = "workflow") -> DataFrame:
+    """(workflow, status): completed if all units are, active if any is, else pending (AGG-19). A unit without status counts as neither."""
+    status = F.coalesce("status", F.lit("unknown"))
+    rolled = F.when(F.bool_and(status == "completed"), "completed").when(F.bool_or(status == "active"), "active").otherwise("pending")
+    return units.groupBy(by).agg(rolled.alias("status"))
+
+
+def harness_manifest(nodes: DataFrame) -> DataFrame:
+    """(node, harness, on_fail, shared): nodes with a harness, on_fail ``block`` where unset, and how many nodes use the same one (AGG-20)."""
+    own = nodes.where("harness IS NOT NULL").select("node", "harness", F.coalesce("on_fail", F.lit("block")).alias("on_fail"))
+    return own.join(own.groupBy("harness").agg(F.count("*").alias("shared")), "harness").select("node", "harness", "on_fail", "shared")

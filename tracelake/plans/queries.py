@@ -11,7 +11,7 @@ from ..operators import logs as L
 from ..operators import memory as M
 from ..operators import rules as R
 from ..operators import turns as T
-from . import grounding, workflows
+from . import grounding, records, workflows
 
 W = f"TIMESTAMP '{S.AS_OF}' - INTERVAL 7 DAYS"
 _T = f"WITH turns AS ({S.TURNS_SQL})"
@@ -27,7 +27,7 @@ _K = """SELECT word, count(*) cnt FROM (SELECT conv_id, turn, unnest(list_distin
 _E, _REL, _LOG = f"WITH e AS ({S.ENTRIES_SQL}), r AS ({S.RELATIONS_SQL})", S.RELATIONS_SQL, f"WITH l AS ({S.LOGS_SQL})"
 _ST = f"WITH s AS ({S.STREAMS_SQL}), m AS (SELECT o_orderpriority workflow, 'run/' || o_orderkey node FROM orders), a AS ({S.ARTIFACTS_SQL})"
 _OWN = """SELECT id, 0.4::DOUBLE * coalesce(greatest(0, least(1, CAST(confidence AS DOUBLE))), 0.5) + CASE WHEN validation IS NOT NULL THEN 0.2::DOUBLE ELSE 0 END + 0.2::DOUBLE * coalesce(greatest(0, least(1, CAST(coverage AS DOUBLE))), 0.5)
-  + 0.2::DOUBLE * ((method IS NOT NULL)::INT + (author IS NOT NULL)::INT + (validation IS NOT NULL)::INT + (coverage IS NOT NULL)::INT + (confidence IS NOT NULL)::INT) / 6 trust FROM a"""
+  + 0.2::DOUBLE * ((version IS NOT NULL)::INT + (timestamp IS NOT NULL)::INT + (author IS NOT NULL)::INT + (validation IS NOT NULL)::INT + (coverage IS NOT NULL)::INT + (confidence IS NOT NULL)::INT) / 6 trust FROM a"""
 _EV = "SELECT c.src, p.dst, min(c.dst) via FROM s c JOIN s p ON c.dst = p.src WHERE c.kind = 'consumed_by' AND p.kind = 'produces_to' AND c.src <> p.dst GROUP BY 1, 2"
 _SUP = """SELECT workflow, artifact, CAST(sum(p) AS BIGINT) producers, CAST(sum(1 - p) AS BIGINT) consumers FROM (SELECT DISTINCT src node, dst artifact, 1 p FROM s WHERE kind = 'produces_to' UNION ALL SELECT DISTINCT dst, src, 0 FROM s WHERE kind = 'consumed_by') JOIN m USING (node) GROUP BY 1, 2"""
 _CL = f"""WITH RECURSIVE e AS ({S.CONTROL_SQL}), c(src, dst) AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src)"""
@@ -66,6 +66,12 @@ def _tagged(spark, d):
     return S.entries(spark, d).select("id", "type", F.lit(None).cast("string").alias("title"), "text", F.array("lang").alias("tags"), F.col("source").alias("module"), "created_at")
 
 
+def _measures(s, d):
+    """Each order status measures the workflows that it occurs in; one edge leads to a workflow without members."""
+    o = S.read(s, d, "orders").select(F.concat(F.lit("eval/"), "o_orderstatus").alias("node"), F.col("o_orderpriority").alias("workflow")).distinct()
+    return o.unionByName(s.createDataFrame([("eval/none", "none")], "node string, workflow string"))
+
+
 def _part_trust(s, d):
     return G.own_trust(S.artifacts(s, d))
 
@@ -101,13 +107,13 @@ QUERIES = {
     "grf2_own_trust": lambda s, d: _part_trust(s, d).select("id", F.round("trust", 4).alias("trust")),
     "grf3_propagate": lambda s, d: G.propagate(G.own_trust(S.artifacts(s, d)).unionByName(S.read(s, d, "customer").select(F.concat(F.lit("customer/"), "c_custkey").alias("id"), F.lit(0.5).alias("trust"))), G.evidence(S.streams(s, d))).select("id", F.round("trust", 4).alias("trust")),
     "grf5_workflow_trust": lambda s, d: G.workflow_trust(S.streams(s, d), S.membership(s, d), _part_trust(s, d)).select("workflow", F.round("trust", 4).alias("trust")),
-    "grf6_decisions": lambda s, d: G.decisions(G.workflow_trust(S.streams(s, d), S.membership(s, d), _part_trust(s, d)), threshold=0.55),
+    "grf6_decisions": lambda s, d: G.decisions(_measures(s, d), G.workflow_trust(S.streams(s, d), S.membership(s, d), _part_trust(s, d)), threshold=0.55).select("node", "workflow", "decision"),
     "grf9_terminals": lambda s, d: G.terminals(S.streams(s, d)),
     "grf10_multi_outgoing": lambda s, d: G.multi_outgoing(S.streams(s, d)),
     "grf11_shared_nodes": lambda s, d: G.shared_nodes(S.read(s, d, "lineitem").select(F.concat(F.lit("part/"), "l_partkey").alias("node"), F.col("l_suppkey").alias("workflow"))),
     "grf12_closure": lambda s, d: G.closure(S.control(s, d)),
     "grf15_loops": lambda s, d: G.loops(S.control(s, d), S.read(s, d, "nation").where("n_nationkey % 10 = 3").select(F.col("n_nationkey").alias("node"))),
-    "grf16_uncovered": lambda s, d: G.uncovered(S.artifacts(s, d).withColumns({"method": F.lit(None).cast("string"), "author": F.lit(None).cast("string")})),
+    "grf16_uncovered": lambda s, d: G.uncovered(S.artifacts(s, d)),
     "agg15_supply": lambda s, d: G.supply(S.streams(s, d), S.membership(s, d)),
     "agg16_gaps": lambda s, d: G.gaps(S.streams(s, d), S.membership(s, d)),
     "agg18_index": lambda s, d: G.index(S.streams(s, d), S.membership(s, d)),
@@ -151,22 +157,23 @@ ORACLE_SQL = {
     "mem5_typed_relations": f"""{_E} SELECT src, a.type src_type, kind, dst, b.type dst_type FROM r JOIN e a ON src = a.id JOIN e b ON dst = b.id
       WHERE (kind = 'invalidated-by' AND b.type <> 'release-note') OR (kind = 'resolved-by' AND b.type <> 'trouble') OR (kind = 'rolls-back' AND (a.type <> 'release-note' OR b.type <> 'release-note'))""",
     "mem6_rolled_back": f"{_E} SELECT DISTINCT dst id FROM r WHERE kind = 'rolls-back'",
-    "mem7_current_release": f"{_E} SELECT id, created_at FROM e WHERE type = 'release-note' AND id NOT IN (SELECT dst FROM r WHERE kind = 'rolls-back') AND id NOT IN (SELECT src FROM r WHERE kind = 'rolls-back') ORDER BY created_at DESC, id LIMIT 1",
-    "mem8_validity": f"{_E} SELECT src, dst, CASE WHEN dst IN (SELECT dst FROM r WHERE kind = 'rolls-back') THEN 'suspended' ELSE 'active' END status FROM r WHERE kind = 'invalidated-by'",
+    "mem7_current_release": f"{_E} SELECT id, coalesce(released_at, created_at) released FROM e WHERE type = 'release-note' AND coalesce(note_kind, 'release') <> 'rollback' AND id NOT IN (SELECT dst FROM r WHERE kind = 'rolls-back') ORDER BY 2 DESC, id LIMIT 1",
+    "mem8_validity": f"{_E} SELECT src, kind, dst, CASE WHEN dst IN (SELECT dst FROM r WHERE kind = 'rolls-back') THEN 'suspended' ELSE 'active' END status FROM r WHERE kind IN ('invalidated-by', 'verified-in')",
     "mem10_revalidation": f"{_E} SELECT i.src, i.dst, b.src rollback FROM r i JOIN r b ON i.dst = b.dst WHERE i.kind = 'invalidated-by' AND b.kind = 'rolls-back'",
     "grf1_evidence": f"{_ST} {_EV}",
     "grf2_own_trust": f"{_ST} SELECT id, round(trust, 4) trust FROM ({_OWN})",
     "grf3_propagate": f"""{_ST}, o AS ({_OWN}), t0 AS (SELECT * FROM o UNION ALL SELECT 'customer/' || c_custkey, 0.5::DOUBLE FROM customer), ev AS ({_EV}), x AS (SELECT dst, avg(trust) m FROM ev JOIN t0 ON src = id GROUP BY 1)
       SELECT id, round(CASE WHEN m IS NULL THEN trust ELSE 0.7::DOUBLE * trust + 0.3::DOUBLE * m END, 4) trust FROM t0 LEFT JOIN x ON id = dst""",
     "grf5_workflow_trust": f"{_ST} SELECT workflow, round(avg(trust), 4) trust FROM s JOIN m ON dst = node JOIN ({_OWN}) o ON src = o.id WHERE kind = 'consumed_by' GROUP BY 1",
-    "grf6_decisions": f"{_ST} SELECT workflow, CASE WHEN avg(trust) >= 0.55 THEN 'pass' ELSE 'fail' END decision FROM s JOIN m ON dst = node JOIN ({_OWN}) o ON src = o.id WHERE kind = 'consumed_by' GROUP BY 1",
+    "grf6_decisions": f"""{_ST}, w AS (SELECT workflow, avg(trust) trust FROM s JOIN m ON dst = node JOIN ({_OWN}) o ON src = o.id WHERE kind = 'consumed_by' GROUP BY 1)
+      SELECT x.node, x.workflow, CASE WHEN trust IS NULL THEN 'insufficient-signal' WHEN trust >= 0.55 THEN 'pass' ELSE 'fail' END decision FROM (SELECT DISTINCT 'eval/' || o_orderstatus node, o_orderpriority workflow FROM orders UNION ALL SELECT 'eval/none', 'none') x LEFT JOIN w USING (workflow)""",
     "grf9_terminals": f"{_ST} SELECT DISTINCT src node, 'entry' AS role FROM s WHERE src NOT IN (SELECT dst FROM s) UNION ALL SELECT DISTINCT dst, 'exit' FROM s WHERE dst NOT IN (SELECT src FROM s)",
     "grf10_multi_outgoing": f"{_ST} SELECT src node, count(DISTINCT dst) targets FROM s GROUP BY 1 HAVING count(DISTINCT dst) >= 2",
     "grf11_shared_nodes": "SELECT 'part/' || l_partkey node, count(DISTINCT l_suppkey) owners FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1",
     "grf12_closure": f"{_CL} SELECT * FROM c",
     "grf15_loops": f"""{_CL}, k AS (SELECT a.src node, min(a.dst) component FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src GROUP BY 1)
       SELECT node, component FROM k WHERE component NOT IN (SELECT component FROM k WHERE node % 10 = 3)""",
-    "grf16_uncovered": "SELECT 'part/' || p_partkey id FROM part WHERE p_size % 2 <> 0 AND p_size % 3 = 0 AND p_size % 4 = 0",
+    "grf16_uncovered": f"{_ST} SELECT id FROM a WHERE coalesce(author, version, timestamp, validation, CAST(coverage AS VARCHAR), CAST(confidence AS VARCHAR)) IS NULL",
     "agg15_supply": f"{_ST} {_SUP}",
     "agg16_gaps": f"{_ST} SELECT workflow, artifact, CASE WHEN consumers = 0 THEN 'unconsumed' ELSE 'external' END gap FROM ({_SUP}) WHERE producers = 0 OR consumers = 0",
     "agg18_index": f"{_ST} SELECT workflow, nodes, artifacts FROM (SELECT workflow, count(DISTINCT node) nodes FROM m GROUP BY 1) JOIN (SELECT workflow, count(*) artifacts FROM ({_SUP}) GROUP BY 1) USING (workflow)",
@@ -183,6 +190,6 @@ ORACLE_SQL = {
     "fn12_tokens": "SELECT item_id, CAST(len(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9_.-]{3,}'), lambda x: lower(x)))) AS INTEGER) n FROM benchmark",
 }
 ORACLE_SQL["top1_top_counters"] = f"SELECT * FROM ({ORACLE_SQL['agg10_counters']}) ORDER BY cnt DESC, scope, dim, value LIMIT 10"
-QUERIES |= workflows.QUERIES | grounding.QUERIES
-ORACLE_SQL |= workflows.ORACLE_SQL | grounding.ORACLE_SQL
+QUERIES |= workflows.QUERIES | grounding.QUERIES | records.QUERIES
+ORACLE_SQL |= workflows.ORACLE_SQL | grounding.ORACLE_SQL | records.ORACLE_SQL
 ORACLE_SQL["grf7_repository_trust"] = f"{_ST} SELECT round(avg(round(trust, 6)), 4) trust, count(*) measured FROM ({_OWN}) WHERE id NOT LIKE '%3'"

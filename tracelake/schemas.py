@@ -42,7 +42,7 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document is an entry. Every 50th is a release note, every 7th points at others by arithmetic on the id."""
+    """Every document is an entry. Every 50th is a release note, a fourth of these a roll-back; relations are by arithmetic on the id."""
     d = read(spark, sf_dir, "documents")
     i = F.col("doc_id")
     kind = F.when(i % 50 == 0, "release-note").when(i % 11 == 0, "trouble").when(i % 3 == 0, "user-decision").otherwise("episode")
@@ -52,15 +52,19 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_compact(F.array(
             F.when(i % 7 == 0, rel("references", i + 1)),
             F.when((i % 3 == 0) & (i % 50 != 0), rel("invalidated-by", F.floor(i / 50) * 50)),
+            F.when((i % 17 == 0) & (i % 50 != 0), rel("verified-in", F.floor(i / 50) * 50)),
             F.when((i % 50 == 0) & (i % 4 == 0) & (i > 0), rel("rolls-back", i - 50)),
             F.when(i % 13 == 0, rel("resolved-by", i + 2)),
         )).alias("relations"),
+        F.when(i % 50 == 0, F.map_from_arrays(F.array(F.lit("kind"), F.lit("released_at")), F.array(F.when(i % 200 == 0, "rollback").when(i % 100 == 50, "release"), F.when(i % 3 == 0, F.lpad((i * 7 % 1000003).cast("string"), 12, "0"))))).alias("metadata"),
     )
 
 
-ENTRIES_SQL = """SELECT 'E-' || doc_id AS id, doc_id AS i, CASE WHEN doc_id % 50 = 0 THEN 'release-note' WHEN doc_id % 11 = 0 THEN 'trouble' WHEN doc_id % 3 = 0 THEN 'user-decision' ELSE 'episode' END AS type, lang, source, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS created_at, text FROM documents"""
+ENTRIES_SQL = """SELECT 'E-' || doc_id AS id, doc_id AS i, CASE WHEN doc_id % 50 = 0 THEN 'release-note' WHEN doc_id % 11 = 0 THEN 'trouble' WHEN doc_id % 3 = 0 THEN 'user-decision' ELSE 'episode' END AS type, lang, source, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS created_at, text,
+  CASE WHEN doc_id % 200 = 0 THEN 'rollback' WHEN doc_id % 100 = 50 THEN 'release' END AS note_kind, CASE WHEN doc_id % 50 = 0 AND doc_id % 3 = 0 THEN lpad(CAST(doc_id * 7 % 1000003 AS VARCHAR), 12, '0') END AS released_at FROM documents"""
 RELATIONS_SQL = """SELECT 'E-' || doc_id AS src, 'references' AS kind, 'E-' || (doc_id + 1) AS dst FROM documents WHERE doc_id % 7 = 0
   UNION ALL SELECT 'E-' || doc_id, 'invalidated-by', 'E-' || (doc_id // 50 * 50) FROM documents WHERE doc_id % 3 = 0 AND doc_id % 50 <> 0
+  UNION ALL SELECT 'E-' || doc_id, 'verified-in', 'E-' || (doc_id // 50 * 50) FROM documents WHERE doc_id % 17 = 0 AND doc_id % 50 <> 0
   UNION ALL SELECT 'E-' || doc_id, 'rolls-back', 'E-' || (doc_id - 50) FROM documents WHERE doc_id % 50 = 0 AND doc_id % 4 = 0 AND doc_id > 0
   UNION ALL SELECT 'E-' || doc_id, 'resolved-by', 'E-' || (doc_id + 2) FROM documents WHERE doc_id % 13 = 0"""
 
@@ -104,12 +108,14 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     confidence = F.when(F.col("p_size") % 4 != 0, F.col("p_retailprice") / 2000)
     return p.select(
         F.concat(F.lit("part/"), "p_partkey").alias("id"), confidence.alias("confidence"), F.when(F.col("p_size") % 3 != 0, F.col("p_size") / 50).alias("coverage"),
-        F.when(F.col("p_size") % 2 == 0, F.lit("ok")).alias("validation"), F.when(F.col("p_size") % 5 != 0, F.lit("m")).alias("method"), F.when(F.col("p_size") % 7 != 0, F.lit("a")).alias("author"),
+        F.when(~(F.col("p_size") % 6).isin(0, 3, 5), F.lit("ok")).alias("validation"), F.when(F.col("p_size") % 5 != 0, F.lit("m")).alias("method"), F.when(F.col("p_size") % 8 != 4, F.lit("a")).alias("author"),
+        F.when(F.col("p_size") % 12 != 0, F.lit("v1")).alias("version"), F.when(F.col("p_size") % 4 != 0, F.lit("2024")).alias("timestamp"),
     )
 
 
 ARTIFACTS_SQL = """SELECT 'part/' || p_partkey AS id, CASE WHEN p_size % 4 <> 0 THEN p_retailprice / 2000 END AS confidence, CASE WHEN p_size % 3 <> 0 THEN p_size / 50 END AS coverage,
-  CASE WHEN p_size % 2 = 0 THEN 'ok' END AS validation, CASE WHEN p_size % 5 <> 0 THEN 'm' END AS method, CASE WHEN p_size % 7 <> 0 THEN 'a' END AS author FROM part"""
+  CASE WHEN p_size % 6 NOT IN (0, 3, 5) THEN 'ok' END AS validation, CASE WHEN p_size % 5 <> 0 THEN 'm' END AS method, CASE WHEN p_size % 8 <> 4 THEN 'a' END AS author,
+  CASE WHEN p_size % 12 <> 0 THEN 'v1' END AS version, CASE WHEN p_size % 4 <> 0 THEN '2024' END AS timestamp FROM part"""
 #: Customers' and suppliers' nations met in one order: a control graph with cycles.
 CONTROL_SQL = """SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE c_nationkey % 5 = s_nationkey % 5 AND (c_nationkey + s_nationkey) % 3 <> 0"""
