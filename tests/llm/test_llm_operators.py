@@ -42,6 +42,10 @@ def test_every_row_stays_and_empty_tables_work(spark, docs):
         assert _count(pii.find_pii(df)) == n
         assert _count(substrings.dedup_substrings(df)) == n
         assert _count(segment.encode_samples(df, k=1)) == n
+    # The joins that are not broadcast give the same.
+    assert sorted(decontamination.find_contamination(docs, items, broadcast_rows=0).collect(), key=str) == sorted(decontamination.find_contamination(docs, items).collect(), key=str)
+    marked = docs.unionByName(docs.withColumn("text", F.lit("x under the MIT license y")))
+    assert sorted(licenses.scan_licenses(marked, broadcast_rows=0).collect(), key=str) == sorted(licenses.scan_licenses(marked).collect(), key=str)
     assert decontamination.find_contamination(docs, items.limit(0)).where(F.size("spans") > 0).count() == 0
 
 
@@ -76,6 +80,10 @@ def test_simhash_search_is_exact(spark, options):
 def test_top_k_handles_bad_vectors(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [float("nan"), 1.0]), (3, None), (4, [None, 1.0]), (50, [0.5, -1.0]), (5, [1.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    v = v.withColumn("score", F.lit("clash"))
+    assert topk.top_k(v.limit(0), v).count() == 0 and topk.top_k(v, v.limit(0)).count() == 0
+    twice = v.where("vec_id = 0").unionAll(v.where("vec_id = 0")).unionAll(spark.createDataFrame([(0, [-1.0, 0.0], "")], v.schema))
+    assert sorted(tuple(r) for r in topk.top_k(twice, v, k=1).collect()) == [(0, 1, 1, 327680), (0, 1, 50, -32768)]
     got = [tuple(r) for r in topk.top_k(v.where("vec_id % 50 = 0"), v, k=2).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 327680), (0, 2, 1, 327680), (50, 1, 0, -98304), (50, 2, 1, -98304)]
 

@@ -6,8 +6,9 @@ if it contains every shingle, so for containment 1 the necessary prefix is the o
 documents. The join is on that shingle. Then the positional bound (the window must start at or after the document's
 first word), the length bound (it must end at or before the last) and a comparison of the words themselves decide.
 
-Both passes over the documents are scans with a hash probe; only counts and hits are shuffled. The window table is
-broadcast if it has at most ``broadcast_rows`` rows, else the same joins are shuffled on the shingle.
+The passes over the documents are scans with a hash probe; only counts, hits and the rows' keys are shuffled. The window table is
+broadcast if it has at most ``broadcast_rows`` rows, else the same joins are shuffled on the shingle, of which Spark can split hot ones, and only places
+that pass the bounds meet their text.
 
 Defined cases: a null text has no words and no hits; a null item text has no window; a null item_id marks words but
 counts as no item; equal rows of ``docs`` give equal rows; rows with one doc_id but other texts are judged each by
@@ -25,8 +26,6 @@ from .common import covered, read, row_key, words
 WINDOW = 10
 SHINGLE = 3
 BROADCAST_ROWS = 500_000
-#: Stands before the shingles of each document.
-OWN = 0
 
 
 def _shingles(of, size: int):
@@ -70,27 +69,24 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDO
     )
     # A shingle that no document has can't lead to a hit.
     prefix = ranked.where(F.col("r.n") > 0).select(F.col("r.h").alias("h"), F.col("r.k").alias("k"), F.col("r.off").alias("off"), "len", "wwords", "items")
-    # One more row meets the entry before the first shingle of every document, so that clean ones stay in the result.
-    own = docs.sparkSession.range(1).select(
-        F.lit(OWN).cast("bigint").alias("h"), F.lit(0).alias("off"), F.lit(0).alias("len"),
-        F.lit(None).cast("array<string>").alias("wwords"), F.lit(None).cast(prefix.schema["items"].dataType).alias("items"),
-    )
-    met = None
+    found = None
     for k in sizes:
         mine = prefix.where(F.col("k") == k).drop("k")
-        mine = mine.unionByName(own) if k == sizes[0] else mine
-        placed = base.withColumn("hs", F.concat(F.array(F.lit(OWN).cast("bigint")), _shingles(F.col("w"), k))).select("doc_id", "text_key", "w", F.size("w").alias("n_words"), F.posexplode_outer("hs").alias("p", "h"))
-        start = F.col("p") - 1 - F.col("off")
-        fits = (start >= 0) & (start + F.col("len") <= F.col("n_words")) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("wwords"))
-        part = placed.join(hint(mine), "h").where(F.when(F.col("wwords").isNull(), F.col("p") == 0).otherwise(fits)).withColumn("start", start)
-        met = part if met is None else met.unionByName(part)
-    start = F.col("start")
-    hit = F.col("wwords").isNotNull()
-    found = met.select("doc_id", "text_key", "n_words", F.when(hit, F.struct(start.alias("s"), (start + F.col("len")).alias("e"))).alias("span"), F.when(hit, F.col("items")).alias("items"))
-    per_doc = found.groupBy("doc_id", "text_key", "n_words").agg(
-        F.count_if(F.col("span").isNull()).alias("copies"), F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
-    )
-    return per_doc.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("copy", "copies")
+        placed = base.select("doc_id", "text_key", *(["w"] if small else []), F.size("w").alias("n_words"), F.posexplode_outer(_shingles(F.col("w"), k)).alias("p", "h"))
+        start = F.col("p") - F.col("off")
+        met = placed.join(hint(mine), "h").withColumn("start", start).where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words")))
+        if not small:  # whole texts don't travel with every shingle: what passes the bounds meets its text again
+            own = base.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "w").dropDuplicates(["_id", "_key"])
+            met = met.join(own, met["doc_id"].eqNullSafe(own["_id"]) & (met["text_key"] == own["_key"]))
+        met = met.where(F.slice("w", F.col("start") + 1, F.col("len")) == F.col("wwords"))
+        part = met.select("doc_id", "text_key", F.struct(F.col("start").alias("s"), (F.col("start") + F.col("len")).alias("e")).alias("span"), "items")
+        found = part if found is None else found.unionByName(part)
+    hits = found.groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    hits = hits.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spans", "items")
+    rows = base.select("doc_id", "text_key", F.size("w").alias("n_words"))
+    met = rows.join(hits, rows["doc_id"].eqNullSafe(hits["_id"]) & (rows["text_key"] == hits["_key"]), "left")
+    none = lambda c: F.coalesce(c, F.array().cast(hits.schema[c].dataType))
+    return met.select("doc_id", "text_key", "n_words", none("spans").alias("spans"), none("items").alias("items"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n. A null id falls into fold 0."""
@@ -13,15 +15,16 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, per_class: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``per_class`` labelled ids of each class, chosen by a hash of the id, not by place.
+    """(doc_id, text, y) of at most ``per_class`` labelled ids of each class, chosen by a hash of the id, not by place. A stored table.
 
-    An id with both labels counts as 1. The chosen ids, at most 2 * per_class of them, are broadcast to the scan of docs.
+    An id with both labels counts as 1, an id in several rows by its least text. The chosen ids, at most 2 * per_class of them, are broadcast to the scan of docs.
     """
     y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     y = y.withColumn("o", F.xxhash64("doc_id"))
     chosen = [y.where(F.col("y") == k).orderBy("o", "doc_id").limit(per_class) for k in (0, 1)]
     ids = chosen[0].unionByName(chosen[1]).drop("o")
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return stored(met.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:

@@ -67,7 +67,8 @@ def scan_licenses(docs: DataFrame, *, base=None, extra=None, threshold: float =
     blocks (array of struct(label, containment, start) of the best block of each template)."""
     spark = docs.sparkSession
     rows = template_rows(base, extra, threshold)
-    hint = F.broadcast if sum(len(r[4]) for r in rows) <= broadcast_rows else (lambda df: df)
+    small = sum(len(r[4]) for r in rows) <= broadcast_rows
+    hint = F.broadcast if small else (lambda df: df)
     templates = spark.createDataFrame(rows, "tid int, label string, is_base boolean, phrase array<string>, tokens array<string>, least int, block int")
     token_rows = templates.select("*", F.explode_outer("tokens").alias("x"))
     text = docs.select("doc_id", row_key(F.col("text")).alias("text_key"), words(F.col("text")).alias("w"))
@@ -81,24 +82,26 @@ def scan_licenses(docs: DataFrame, *, base=None, extra=None, threshold: float =
     prefix = ranked.select("tid", "label", "is_base", "phrase", "tokens", "least", "block", F.posexplode(F.slice("order", 1, F.size("order") - F.col("least") + 1)).alias("rank", "o")).select(
         F.col("o.x").alias("x"), "tid", "label", "is_base", "phrase", "tokens", "least", "block", "rank", (F.array_position("phrase", F.col("o.x")) - 1).cast("int").alias("off")
     )
-    placed = text.withColumn("own", F.concat(F.array(F.lit("")), "w")).select("doc_id", "text_key", "w", F.size("w").alias("n_words"), F.posexplode_outer("own").alias("p", "x")).withColumn("p", F.col("p") - 1)
-    own = spark.range(1).select(F.lit("").alias("x"), *[F.lit(None).cast(prefix.schema[c].dataType).alias(c) for c in prefix.columns[1:]])
+    placed = text.select("doc_id", "text_key", *(["w"] if small else []), F.size("w").alias("n_words"), F.posexplode_outer("w").alias("p", "x"))
+    met = placed.join(hint(prefix), "x")
+    if not small:  # whole texts don't travel with every word: what has a template's word meets its text again
+        of = text.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "w").dropDuplicates(["_id", "_key"])
+        met = met.join(of, met["doc_id"].eqNullSafe(of["_id"]) & (met["text_key"] == of["_key"]))
     near = F.slice("w", F.greatest(F.col("p") - F.col("block") + 1, F.lit(0)) + 1, 2 * F.col("block") - 1)
-    met = placed.join(hint(prefix.unionByName(own)), "x").where(F.when(F.col("tid").isNull(), F.col("p") == -1).otherwise(F.size(F.array_intersect(near, "tokens")) >= F.col("least")))
+    met = met.where(F.size(F.array_intersect(near, "tokens")) >= F.col("least"))
     start = F.col("p") - F.col("off")
     exact = F.col("is_base") & (F.col("rank") == 0) & (start >= 0) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("phrase")) == F.col("phrase"))
     last = F.least("p", F.greatest(F.col("n_words") - F.col("block"), F.lit(0)))
     starts = F.sequence(F.least(F.greatest(F.col("p") - F.col("block") + 1, F.lit(0)), last), last)
     best = F.array_max(F.transform(starts, lambda s: F.struct(F.size(F.array_intersect(F.slice(F.col("w"), s + 1, F.col("block")), F.col("tokens"))).alias("n"), (-s).alias("s"))))
-    found = met.select(
-        "doc_id", "text_key", "n_words", "tid", "label", "least", F.size("tokens").alias("of"),
-        F.when(exact, F.struct(start.alias("start"), F.col("label").alias("label"))).alias("place"), F.when(F.col("tid").isNotNull(), best).alias("best"),
-    )
+    found = met.select("doc_id", "text_key", "label", "least", F.size("tokens").alias("of"), F.when(exact, F.struct(start.alias("start"), F.col("label").alias("label"))).alias("place"), best.alias("best"))
     block = F.when(F.col("best.n") >= F.col("least"), F.struct("label", (F.col("best.n") / F.col("of")).alias("containment"), (-F.col("best.s")).alias("start")))
-    per_doc = found.withColumn("block", block).groupBy("doc_id", "text_key", "n_words").agg(
-        F.count_if(F.col("tid").isNull()).alias("copies"), F.collect_set("place").alias("places"), F.collect_set("block").alias("blocks")
-    )
-    return per_doc.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("copy", "copies")
+    hits = found.withColumn("block", block).groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places"), F.collect_set("block").alias("blocks"))
+    hits = hits.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "places", "blocks")
+    rows = text.select("doc_id", "text_key", F.size("w").alias("n_words"))
+    out = rows.join(hits, rows["doc_id"].eqNullSafe(hits["_id"]) & (rows["text_key"] == hits["_key"]), "left")
+    none = lambda c: F.coalesce(c, F.array().cast(hits.schema[c].dataType)).alias(c)
+    return out.select("doc_id", "text_key", "n_words", none("places"), none("blocks"))
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import stored
+from .common import discard, row_key, stored
 
 WORDS = 5
 THRESHOLD = 0.8
 BUCKETS = 65_536
-#: Bits of the table that says which classes a pair names.
+#: Bits of the table that says which texts pairs need.
 NAMED = 1 << 23
 #: Words whose hash a Python worker keeps.
 _KEPT = 200_000
@@ -86,55 +86,73 @@ def _ranks(docs: DataFrame, shingle: int) -> np.ndarray:
     return ranks
 
 
-def _tokens(docs: DataFrame, ranks: np.ndarray, shingle: int, threshold: float) -> DataFrame:
-    """(x, cid, n, i): the prefix shingles of each class. A set too small to match any but its equal has none."""
+def _rows(docs: DataFrame, ranks: np.ndarray, shingle: int, threshold: float) -> DataFrame:
+    """(doc_id, key, fp, cid, n, prefix) of every row: a hash of its text, its fingerprint, its class, and the prefix shingles of that.
 
-    def prefixes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A set too small to match any but its equal has an empty prefix.
+    """
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for b in parts:
-            for t in b.column("text").to_pylist():
+            texts = b.column("text").to_pylist()
+            fps, cids, sizes, prefixes = [], [], [], []
+            for t in texts:
                 s = shingles(t, shingle, seen)
                 n = len(s)
-                if n / (n + 1) < threshold - 1e-9:
-                    continue
-                k = n - int(np.ceil(threshold * n - 1e-9)) + 1
-                first = s[np.lexsort((s, ranks[(s % np.uint64(BUCKETS)).astype(np.int64)]))[:k]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(first.view(np.int64)), _signed([_class(s)] * k), pa.array(np.full(k, n, np.int32)), pa.array(np.arange(k, dtype=np.int32))], names=["x", "cid", "n", "i"]
-                )
+                k = n - int(np.ceil(threshold * n - 1e-9)) + 1 if n / (n + 1) >= threshold - 1e-9 else 0
+                prefixes.append(s[np.lexsort((s, ranks[(s % np.uint64(BUCKETS)).astype(np.int64)]))[:k]].view(np.int64))
+                fps.append(simhash.fingerprint(t))
+                cids.append(_class(s))
+                sizes.append(n)
+            ends = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes])))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), _signed(fps), _signed(cids), pa.array(sizes, pa.int32()), prefix], names=["doc_id", "key", "fp", "cid", "n", "prefix"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", row_key(F.col("text")).alias("key"), "text").mapInArrow(work, f"doc_id {id_type}, key bigint, fp bigint, cid bigint, n int, prefix array<bigint>")
 
-    return docs.select("text").mapInArrow(prefixes, "x bigint, cid bigint, n int, i int").distinct()
 
+def _verified(pairs: DataFrame, keys: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sets match, as a stored table. keys: (cid, key), a text for each class.
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets match. A table of a fixed number of bits says which sets no pair names; those are not shuffled."""
+    A table of a fixed number of bits says which texts no pair needs; their shingles are not worked out. When it fills up, the joins decide.
+    """
     pairs = stored(pairs)
-    names = pairs.select(F.explode(F.array("a", "b")).alias("c")).select(F.col("c").bitwiseAND(F.lit(NAMED - 1)).alias("s"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))
+    named = stored(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(keys, "cid"))
+    spot = F.col("key").bitwiseAND(F.lit(NAMED - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), spot.bitwiseAND(F.lit(63)).cast("int"))
     table = np.zeros(NAMED // 64, np.int64)
-    for r in names.groupBy(F.shiftright("s", 6).alias("k")).agg(F.bit_or(bit).alias("v")).collect():  # at most NAMED / 64 rows
-        table[r["k"]] = r["v"]
-    bits = table.view(np.uint64)
+    got = named.groupBy(F.shiftright(spot, 6).alias("k")).agg(F.bit_or(bit).alias("v")).toArrow()  # at most NAMED / 64 rows
+    table[got["k"].to_numpy()] = got["v"].to_numpy()
+    bits = docs.sparkSession.sparkContext.broadcast(table.view(np.uint64))
 
-    def named(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for b in parts:
-            for t in b.column("text").to_pylist():
+            k = b.column("key").to_numpy().view(np.uint64)
+            low = k & np.uint64(NAMED - 1)
+            wanted = (bits.value[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
+            b = b.filter(pa.array(wanted))
+            for key, t in zip(b.column("key"), b.column("text").to_pylist(), strict=True):
                 s = shingles(t, shingle, seen)
-                c = _class(s)
-                if int(bits[(c % NAMED) >> 6]) >> (c & 63) & 1:
-                    yield pa.RecordBatch.from_arrays([_signed([c]), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], names=["cid", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()]), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], names=["key", "h"])
 
-    # Equal sets have equal arrays; one of each class is enough.
-    sets = stored(docs.select("text").mapInArrow(named, "cid bigint, h array<bigint>")).groupBy("cid").agg(F.first("h").alias("h"))
-    met = pairs.join(sets.select(F.col("cid").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("cid").alias("b"), F.col("h").alias("hb")), "b")
+    # Equal texts have equal sets; one of each is enough.
+    found = docs.select(row_key(F.col("text")).alias("key"), "text").mapInArrow(sets, "key bigint, h array<bigint>")
+    of = stored(named.join(found.groupBy("key").agg(F.first("h").alias("h")), "key").select("cid", "h"))
+    met = pairs.join(of.select(F.col("cid").alias("a"), F.col("h").alias("ha")), "a").join(of.select(F.col("cid").alias("b"), F.col("h").alias("hb")), "b")
     both = met.select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("shared"), (F.size("ha") + F.size("hb")).alias("of"))
-    return both.where(F.col("shared") >= _least(F.col("of") - F.col("shared"), threshold)).select("a", "b")
+    out = stored(both.where(F.col("shared") >= _least(F.col("of") - F.col("shared"), threshold)).select("a", "b"))
+    discard(pairs, named, of)
+    return out
 
 
-def set_links(docs: DataFrame, *, shingle: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): edges that connect all classes whose sets match, directly or through others. docs has the column text."""
-    tokens = stored(_tokens(docs, _ranks(docs, shingle), shingle, threshold))
+def set_links(rows: DataFrame, docs: DataFrame, *, shingle: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): edges that connect all classes whose sets match, directly or through others. rows are those of docs."""
+    classes = stored(rows.groupBy("cid").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    keys = classes.select("cid", "key")
+    tokens = classes.select("cid", "n", F.posexplode("prefix").alias("i", "x"))
     heads = tokens.groupBy("x").agg(F.min(F.struct("cid", "n", "i")).alias("head"), F.count("*").alias("g")).where("g > 1").drop("g")
     groups = stored(tokens.join(heads, "x"))
 
@@ -147,40 +165,36 @@ def set_links(docs: DataFrame, *, shingle: int = WORDS, threshold: float = THRES
         )
 
     near = groups.where((F.col("cid") != F.col("head.cid")) & fits("", "head.")).select(F.col("cid").alias("a"), F.col("head.cid").alias("b")).distinct()
-    matched = stored(_verified(near, docs, shingle, threshold))
+    matched = _verified(near, keys, docs, shingle, threshold)
     label = simhash.components(matched).withColumnRenamed("node", "cid")
 
     # What a component holds is connected already: only pairs across components are left, and one of such a pair lies outside the largest.
-    rows = stored(groups.drop("head").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid")))
-    sizes = rows.groupBy("x", "label").agg(F.count("*").alias("k"))
+    labelled = stored(groups.drop("head").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid")))
+    discard(groups)
+    sizes = labelled.groupBy("x", "label").agg(F.count("*").alias("k"))
     main = sizes.groupBy("x").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    mixed = stored(rows.join(main.drop("labels"), "x"))
+    mixed = stored(labelled.join(main.drop("labels"), "x"))
+    discard(labelled)
     left = mixed.where("label <> main").select("x", *[F.col(c).alias(f"b_{c}") for c in ("cid", "n", "i", "label")])
     rest = mixed.select("x", *[F.col(c).alias(f"a_{c}") for c in ("cid", "n", "i", "label")])
     pairs = left.join(rest, "x").where((F.col("a_label") != F.col("b_label")) & fits("a_", "b_"))
     pairs = pairs.select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).distinct()
-    return _verified(pairs, docs, shingle, threshold).unionByName(matched)
+    out = _verified(pairs, keys, docs, shingle, threshold).unionByName(matched)
+    discard(mixed)
+    return out
 
 
 def near_groups(docs: DataFrame, *, shingle: int = WORDS, threshold: float = THRESHOLD, **options) -> DataFrame:
     """One row per row of docs: doc_id, component_id (the smallest doc_id of its component). ``options`` are those of SimHash."""
-
-    def keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
-        for b in parts:
-            texts = b.column("text").to_pylist()
-            fps = [simhash.fingerprint(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _signed(fps), _signed([_class(shingles(t, shingle, seen)) for t in texts])], names=["doc_id", "fp", "cid"])
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = stored(docs.select("doc_id", "text").mapInArrow(keys, f"doc_id {id_type}, fp bigint, cid bigint"))
+    rows = stored(_rows(docs, _ranks(docs, shingle), shingle, threshold))
     # Every fingerprint is stood for by the smallest class that has it, so all links are links of classes.
     reps = stored(rows.groupBy("fp").agg(F.min("cid").alias("rep")))
-    alike = rows.join(reps, "fp").where("cid <> rep").select(F.col("cid").alias("a"), F.col("rep").alias("b")).distinct()
+    alike = rows.select("fp", "cid").join(reps, "fp").where("cid <> rep").select(F.col("cid").alias("a"), F.col("rep").alias("b")).distinct()
     by_fp = simhash.links(reps, **options).join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-    edges = set_links(docs, shingle=shingle, threshold=threshold).unionByName(alike).unionByName(by_fp.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    edges = set_links(rows, docs, shingle=shingle, threshold=threshold).unionByName(alike).unionByName(by_fp.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     label = simhash.components(stored(edges)).withColumnRenamed("node", "cid")
     labelled = stored(rows.select("doc_id", "cid").join(label, "cid", "left").select("doc_id", F.coalesce("label", "cid").alias("label")))
+    discard(rows, reps)
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(smallest, "label").select("doc_id", "component_id")
 

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import discard, read
 from .fitting import fold, labelled_sample, logistic, probability
 
 PER_CLASS = 1500
@@ -57,7 +57,9 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", *, per_class: int = PER_CLASS, max_text: int = MAX_TEXT, dict_size: int = DICT_SIZE) -> QualityModel:
-    rows = labelled_sample(docs, labels, label, per_class=per_class).where(F.octet_length("text") <= max_text).select("doc_id", "text", "y").collect()
+    sample = labelled_sample(docs, labels, label, per_class=per_class)
+    rows = sample.where(F.octet_length("text") <= max_text).select("text", "y").collect()  # at most 2 * per_class
+    discard(sample)
     texts = sorted({(r["text"].encode(), r["y"]) for r in rows})
     y = np.array([v for _, v in texts], float)
     if len(set(y)) < 2:

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import discard, read, stored
 
 SHINGLE = 4
 RADIUS = 4
@@ -208,14 +208,17 @@ def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
     both = stored(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(b, a)).distinct())
     label = stored(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")))
     while True:
-        near = both.join(label, both["y"] == label["node"]).groupBy("x").agg(F.min("label").alias("m"))
-        step = label.join(near, label["node"] == near["x"], "left").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        up = label.select(F.col("node").alias("u"), F.col("label").alias("up"))
+        now = label.select("node", "label")
+        near = both.join(now, both["y"] == now["node"]).groupBy("x").agg(F.min("label").alias("m"))
+        step = now.join(near, now["node"] == near["x"], "left").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        up = now.select(F.col("node").alias("u"), F.col("label").alias("up"))
         new = stored(step.join(up, step["label"] == up["u"], "left").select("node", "old", F.least("label", "up").alias("label")))
         moved = new.where("label <> old").limit(1).count()
-        label = new.select("node", "label")
+        discard(label)
+        label = new
         if not moved:
-            return label
+            discard(both)
+            return label.select("node", "label")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, **options) -> DataFrame:

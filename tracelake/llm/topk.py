@@ -7,12 +7,12 @@ evaluates candidates in the order of their bounds and stops when the next bound
 
 Candidates and queries are packed into blocks; each pair of a query block and a candidate block is a row of an
 equi-join on the candidate block's number, searched on its own and returning k rows a query; the k best of those are
-taken per query. A task holds one block of each, whatever the size of the table; the pivots are a bounded sample
+taken per query. Numbers are packed as narrow as they fit. A task holds one block of each, whatever the size of the table; the pivots are a bounded sample
 (``pivots`` vectors in hash order) and the only thing that goes through the driver.
 
 Defined cases: a vector that is null, empty or holds null or non-finite components takes no part, nor does a null vec_id;
 only vectors of one length are compared; equal scores go to the smaller vec_id; a query has no row for itself, but rows
-that repeat its vec_id are left out with it; repeated rows are candidates each; with fewer than k candidates all are returned.
+that repeat its vec_id are left out with it; repeated rows are candidates each, as queries equal rows are one, while rows that share a vec_id but not a vector are queries each; with fewer than k candidates all are returned.
 Scores are exact as long as they fit 64 bits.
 """
 
@@ -41,7 +41,7 @@ def scaled(vectors: DataFrame, *, vec_id: str, embedding: str, scale: int) -> Da
     v = F.col(embedding)
     fine = v.isNotNull() & (F.size(v) > 0) & F.col(vec_id).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     whole = F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    return vectors.where(fine).select(F.col(vec_id).cast("long").alias("id"), whole.alias("v"), F.size(v).alias("dim"))
+    return vectors.where(fine).select(F.col(vec_id).cast("long").alias("id"), whole.alias("v"), F.size(v).alias("dim")).withColumn("key", F.xxhash64("v"))
 
 
 def _packed(rows: DataFrame, block: str, pivots: dict[int, np.ndarray]) -> DataFrame:
@@ -52,13 +52,22 @@ def _packed(rows: DataFrame, block: str, pivots: dict[int, np.ndarray]) -> DataF
         v = np.stack(g["v"].to_numpy()).astype(np.int64)
         p = pivots[int(g["dim"].iloc[0])]
         d = np.sqrt(np.maximum(0, ((v[:, None, :] - p[None]) ** 2).sum(2) if len(v) * p.size < 4e6 else np.stack([((v - x) ** 2).sum(1) for x in p], 1)).astype(float))
-        return pd.DataFrame({"dim": [int(g["dim"].iloc[0])], block: [int(g[block].iloc[0])], "ids": [g["id"].to_numpy(np.int64).tobytes()], "vs": [v.tobytes()], "ds": [d.tobytes()]})
+        v = v.astype(np.min_scalar_type(-int(np.abs(v).max()) - 1))
+        return pd.DataFrame({
+            "dim": [int(g["dim"].iloc[0])], block: [int(g[block].iloc[0])], "ids": [g["id"].to_numpy(np.int64).tobytes()], "keys": [g["key"].to_numpy(np.int64).tobytes()],
+            "width": [v.itemsize], "vs": [v.tobytes()], "ds": [d.astype(np.float32).tobytes()],
+        })
 
-    return rows.groupBy("dim", block).applyInPandas(pack, f"dim int, {block} int, ids binary, vs binary, ds binary")
+    return rows.groupBy("dim", block).applyInPandas(pack, f"dim int, {block} int, ids binary, keys binary, width int, vs binary, ds binary")
+
+
+def _unpacked(ids: bytes, width: int, vs: bytes, ds: bytes, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    i = np.frombuffer(ids, np.int64)
+    return i, np.frombuffer(vs, f"i{width}").astype(np.int64).reshape(-1, dim), np.frombuffer(ds, np.float32).astype(float).reshape(len(i), -1)
 
 
 def best_of_block(q_ids, q, q_d, c_ids, c, c_d, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query, candidate, score) of the k best of each query in one block, and how many products were worked out."""
+    """(number of the query, candidate, score) of the k best of each query in one block, and how many products were worked out."""
     q_norm, c_norm = (q * q).sum(1).astype(float), (c * c).sum(1).astype(float)
     exact = float(max(np.abs(q).max(), 1)) * float(max(np.abs(c).max(), 1)) * q.shape[1] < 2**52
     c_f = c.astype(float) if exact else c
@@ -67,7 +76,7 @@ def best_of_block(q_ids, q, q_d, c_ids, c, c_d, k: int) -> tuple[np.ndarray, np.
         low = np.zeros(len(c_ids))
         for p in range(c_d.shape[1]):
             np.maximum(low, np.abs(c_d[:, p] - q_d[i, p]), out=low)
-        low = np.maximum(low * (1 - 1e-9) - 1e-6, 0)  # for the roots' rounding
+        low = np.maximum(low - 1e-6 * (1 + q_d[i].max()) - 1e-6 * low, 0)  # for the rounding of roots and of the stored distances
         bound = (q_norm[i] + c_norm - low * low) / 2 + 1e-6 * (1 + q_norm[i])
         order = np.argsort(-bound, kind="stable")
         ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -81,13 +90,13 @@ def best_of_block(q_ids, q, q_d, c_ids, c, c_d, k: int) -> tuple[np.ndarray, np.
             ids, scores = np.concatenate([ids, c_ids[at]]), np.concatenate([scores, got])
             keep = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[keep], scores[keep]
-        out.append((np.full(len(ids), q_ids[i]), ids, scores))
+        out.append((np.full(len(ids), i), ids, scores))
     return *(np.concatenate(x) for x in zip(*out, strict=True)), worked
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, *, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = SCALE, pivots: int = PIVOTS, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each query, its own id left out."""
-    own, all_c = scaled(queries, vec_id=vec_id, embedding=embedding, scale=scale), scaled(candidates, vec_id=vec_id, embedding=embedding, scale=scale)
+    own, all_c = scaled(queries, vec_id=vec_id, embedding=embedding, scale=scale).dropDuplicates(["id", "key"]), scaled(candidates, vec_id=vec_id, embedding=embedding, scale=scale)
     counts = {r["dim"]: r for r in all_c.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     chosen: dict[int, np.ndarray] = {}
     for dim in counts:
@@ -101,23 +110,20 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, k: int = K, vec_id: str
     in_play = own.where(F.col("dim").isin(list(chosen)))
     q_blocks = _packed(in_play.withColumn("qb", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n_q)).cast("int")), "qb", chosen)
     pairs = (
-        q_blocks.select("dim", "qb", *[F.col(c).alias(f"q_{c}") for c in ("ids", "vs", "ds")], F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"))
+        q_blocks.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("ids", "keys", "width", "vs", "ds")], F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"))
         .join(c_blocks, ["dim", "cb"])
-        .repartition(F.col("qb"), F.col("cb"))
     )
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for r in batch.to_pylist():
                 dim = r["dim"]
-                q_ids, c_ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, c = np.frombuffer(r["q_vs"], np.int64).reshape(-1, dim), np.frombuffer(r["vs"], np.int64).reshape(-1, dim)
-                q_d, c_d = np.frombuffer(r["q_ds"]).reshape(len(q_ids), -1), np.frombuffer(r["ds"]).reshape(len(c_ids), -1)
-                a, b, s, _ = best_of_block(q_ids, q, q_d, c_ids, c, c_d, k)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+                q_ids, q, q_d = _unpacked(r["q_ids"], r["q_width"], r["q_vs"], r["q_ds"], dim)
+                a, b, s, _ = best_of_block(q_ids, q, q_d, *_unpacked(r["ids"], r["width"], r["vs"], r["ds"], dim), k)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(np.frombuffer(r["q_keys"], np.int64)[a]), pa.array(b), pa.array(s)], names=["query_id", "key", "vec_id", "score"])
+
+    found = pairs.mapInArrow(search, "query_id bigint, key bigint, vec_id bigint, score bigint")
+    rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

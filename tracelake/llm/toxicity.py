@@ -25,11 +25,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import discard, read
 from .fitting import fold, labelled_sample, logistic, probability
 
 PER_CLASS = 6000
-ENTRIES = 400
+ENTRIES = 5000
 #: A word beginning has so many letters.
 STEMS = (4, 5, 6, 7, 8)
 LEAST_DOCS = 5
@@ -97,14 +97,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, pe
     sizes = dict(sample.groupBy("y").agg(F.count("*").alias("n")).collect())
     t, c = sizes.get(1, 0), sizes.get(0, 0)
     if not t or not c:
+        discard(sample)
         return ToxicityModel({}, [], np.zeros(5), 1.0 if t else 0.0)
     weight = F.log((F.col("bad") + 0.5) / (t + 1)) - F.log((F.col("good") + 0.5) / (c + 1))
     scored = counted.withColumn("w", weight)
-    top = scored.where((F.col("bad") >= LEAST_DOCS) & (F.col("w") >= LEAST_LOG_ODDS)).orderBy((F.col("w") * F.sqrt("bad")).desc(), "g").limit(entries).collect()
+    top = scored.where((F.col("bad") >= LEAST_DOCS) & (F.col("w") >= LEAST_LOG_ODDS)).orderBy((F.col("w") * F.sqrt("bad")).desc(), "g").limit(10 * entries).collect()
     chosen: dict[str, float] = {}
-    for r in top:  # the strongest first; what only extends or shortens a chosen entry adds nothing
-        if not any(r["g"].startswith(x) or x.startswith(r["g"]) for x in chosen):
+    begun: set[str] = set()  # all beginnings of chosen entries
+    for r in top:  # the strongest first; what only extends or shortens a chosen entry adds nothing, so variants are merged before the list is cut
+        starts = {r["g"][:n] for n in range(1, len(r["g"]) + 1)}
+        if len(chosen) < entries and r["g"] not in begun and not starts & chosen.keys():
             chosen[r["g"]] = float(r["w"])
+            begun |= starts
     heads = [x for x in chosen if not x.endswith(" ")]
     learned = []
     if heads:
@@ -114,6 +118,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, pe
         learned = [r["g"].strip() for r in scored.where(F.col("g").endswith(" ") & (F.col("good") >= 2) & (F.col("w") <= 0) & begins).orderBy(F.col("good").desc(), "g").limit(entries).collect()]
     model = ToxicityModel(chosen, sorted({*learned, *(fold_text(x).strip() for x in exceptions)} - {""}), np.zeros(5))
     rows = score_features(sample, model).select("y", "f").collect()
+    discard(sample)
     model.weights = logistic(np.array([r["f"] for r in rows]), np.array([r["y"] for r in rows], float), ridge=0.1)
     return model
 
