@@ -29,7 +29,7 @@ from .common import discard, read
 from .fitting import fold, labelled_sample, logistic, probability
 
 PER_CLASS = 6000
-ENTRIES = 5000
+ENTRIES = 400
 #: A word beginning has so many letters.
 STEMS = (4, 5, 6, 7, 8)
 LEAST_DOCS = 5
@@ -113,8 +113,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, pe
     learned = []
     if heads:
         begins = F.lit(False)
-        for x in heads:
-            begins = begins | F.col("g").startswith(x)
+        for k in sorted({len(x) for x in heads}):
+            begins = begins | F.substring("g", 1, k).isin([x for x in heads if len(x) == k])
         learned = [r["g"].strip() for r in scored.where(F.col("g").endswith(" ") & (F.col("good") >= 2) & (F.col("w") <= 0) & begins).orderBy(F.col("good").desc(), "g").limit(entries).collect()]
     model = ToxicityModel(chosen, sorted({*learned, *(fold_text(x).strip() for x in exceptions)} - {""}), np.zeros(5))
     rows = score_features(sample, model).select("y", "f").collect()
