@@ -34,7 +34,7 @@ def typed_violations(entries: DataFrame) -> DataFrame:
     spark = entries.sparkSession
     rules = spark.createDataFrame(TYPED, "kind string, from_types array<string>, to_types array<string>")
     dst = entries.select(F.col("id").alias("dst"), F.col("type").alias("dst_type"))
-    r = relations(entries).join(F.broadcast(rules), "kind").join(dst, "dst")
+    r = relations(entries).join(rules, "kind").join(dst, "dst")
     bad_from = (F.size("from_types") > 0) & ~F.array_contains("from_types", F.col("src_type"))
     return r.where(bad_from | ((F.size("to_types") > 0) & ~F.array_contains("to_types", F.col("dst_type")))).select("src", "src_type", "kind", "dst", "dst_type")
 
