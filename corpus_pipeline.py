@@ -2,6 +2,9 @@
 
 Toxic documents go, later matches of lines go, one document of each near-duplicate group stays, documents with benchmark
 passages go, and what is left is segmented. Each stage works on all that the one before kept.
+
+Defined cases: a null or empty text is kept by every stage but near dedup, where all texts without words are copies of each other; rows that share a doc_id stay or go
+together there; rows with a null doc_id stay; every stage of an empty table gives an empty one; further columns are kept, whatever their names, but by the last stage, which returns its own.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ from tracelake.llm.toxicity import fit_toxicity, score_toxicity
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go. Labels are learned from the folds that op8 learns from."""
     labels = read(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
-    return score_toxicity(docs, fit_toxicity(docs, labels), out="_score").where("_score < 0.5").drop("_score")
+    score = max(docs.columns, key=len) + "_score"  # a name that no column has
+    return score_toxicity(docs, fit_toxicity(docs, labels), out=score).where(F.col(score) < 0.5).drop(score)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
