@@ -45,3 +45,21 @@ def test_shared_artifacts(spark):
     uses = spark.createDataFrame(rows, "unit string, scope string, artifact string, type string, produces boolean, consumes boolean")
     got = {tuple(r) for r in graph.shared_artifacts(uses).collect()}
     assert got == {("u", "f", True, True), ("v", "f", False, True), ("u", "g", False, True)}
+
+
+def test_strong_sets_equal_mutual_reach(spark):
+    import random
+
+    from tracelake.operators import graph
+
+    r = random.Random(3)
+    edges = list({(r.randrange(40), r.randrange(40)) for _ in range(70)})
+    reach = {(a, b) for a, b in edges}
+    while True:
+        more = reach | {(a, d) for a, b in reach for c, d in edges if b == c}
+        if more == reach:
+            break
+        reach = more
+    want = {(n, min(m for m in range(40) if (n, m) in reach and (m, n) in reach)) for n in range(40) if (n, n) in reach}
+    got = graph.strong_sets(spark.createDataFrame(edges, "src int, dst int")).collect()
+    assert {tuple(x) for x in got} == want

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from .graph import EDGE_CLASSES, display_id, stored
+from ..tables import stored
+from .graph import EDGE_CLASSES, display_id
 
 DOCUMENT = (
     "project string, module string, workflows array<struct<id:string,nodes:array<struct<id:string,type:string,label:string,"

@@ -2,25 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a loop by a table in the folder of spark.checkpoint.dir."""
-    spark = df.sparkSession
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        given = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-    path = f"{given}/graph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..tables import discard, stored
 
 def evidence(streams: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
     """(src, dst, via): what was consumed is evidence of what the same run produced (GRF-1, JOIN-4, JOIN-5, SET-2).
@@ -156,11 +141,55 @@ def closure(edges: DataFrame) -> DataFrame:
         seen = stored(seen.unionByName(new))
 
 
+def strong_sets(edges: DataFrame) -> DataFrame:
+    """(node, component): nodes on cycles by their strongly connected set, named by its least node.
+
+    Nodes that no cycle passes are trimmed off by degree. Then every node takes the least node that reaches it as its colour; the nodes of a colour that lead back to
+    its least node are one set, which is taken out, and the rest goes round again. What is stored grows with the edges, never with the pairs of nodes.
+    """
+    left, out = stored(edges.select("src", "dst").distinct()), None
+    while True:
+        while True:
+            fed, fed_by = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
+            kept = stored(left.join(fed, "src", "left_semi").join(fed_by, "dst", "left_semi").select("src", "dst"))
+            done = kept.count() == left.count()
+            discard(left)
+            left = kept
+            if done:
+                break
+        if left.isEmpty():
+            none = left.select(F.col("src").alias("node"), F.col("src").alias("component"))
+            return out if out is not None else none
+        colour = stored(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("c", F.col("node")))
+        while True:
+            least = left.join(colour, left["src"] == colour["node"]).groupBy("dst").agg(F.min("c").alias("m"))
+            new = stored(colour.join(least, colour["node"] == least["dst"], "left").select("node", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("moved")))
+            discard(colour)
+            colour = new
+            if colour.where("moved").isEmpty():
+                break
+        by = colour.select("node", "c")
+        inside = left.join(by.select(F.col("node").alias("src"), F.col("c").alias("a")), "src").join(by.select(F.col("node").alias("dst"), F.col("c").alias("b")), "dst").where("a = b")
+        inside = stored(inside.select("src", "dst"))
+        found = stored(by.where("node = c").select("node"))
+        front = found
+        while not front.isEmpty():
+            back = inside.join(front.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+            front = stored(back.join(found, "node", "left_anti"))
+            found = stored(found.unionByName(front))
+        sets = stored(found.join(by, "node").select("node", F.col("c").alias("component")))
+        lone = sets.groupBy("component").agg(F.count("*").alias("n"), F.first("node").alias("src")).where("n = 1").join(left.where("src = dst").select("src").distinct(), "src", "left_anti").select("component")
+        cyclic = stored(sets.join(lone, "component", "left_anti").select("node", "component"))
+        out = cyclic if out is None else out.unionByName(cyclic)
+        taken = sets.select("node")
+        rest = stored(left.join(taken.withColumnRenamed("node", "src"), "src", "left_anti").join(taken.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        discard(left, inside, colour)
+        left = rest
+
+
 def loops(edges: DataFrame, gates: DataFrame) -> DataFrame:
     """(node, component): nodes on a cycle of a strongly connected set without a gate (GRF-15)."""
-    c = closure(edges)
-    both = c.join(c.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    component = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
+    component = strong_sets(edges)
     gated = component.join(gates, "node").select("component").distinct()
     return component.join(gated, "component", "left_anti").select("node", "component")
 

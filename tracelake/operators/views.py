@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import stored
+from ..tables import stored
 from .joins import produced
 
 #: Fixed: the number of rows of a property listing.
