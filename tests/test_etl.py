@@ -48,3 +48,12 @@ def test_roles_and_execution_edges(spark):
     edges, warnings = etl.execution_edges(nodes, spark.createDataFrame([("c", "a"), ("c", "gone")], "node string, on_node string"), spark.createDataFrame([("b", "a"), ("b", "lost")], "node string, goto string"))
     assert sorted(tuple(x) for x in edges.collect()) == [("a", "b", "lexical_next"), ("a", "c", "depends_on"), ("b", "a", "branch"), ("p", "a", "phase_entry")]
     assert [tuple(x) for x in warnings.collect()] == [("b", "lost")]
+
+
+def test_typed_entries_json_and_similar(spark):
+    e = spark.createDataFrame([("a", "t", [("r", "b"), (None, "c"), ("r", None)], ["x"], "red green blue"), (None, "t", None, None, "red"), ("c", "t", None, ["y"], "green green sky"), ("d", "", None, None, "")], "id string, type string, relations array<struct<type:string,target:string>>, tags array<string>, text string")
+    assert [(r.id, len(r.relations)) for r in etl.typed_entries(e).orderBy("id").collect()] == [("a", 1), ("c", 0)]
+    assert spark.range(1).select(etl.sorted_json(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2)))).first()[0] == '{"a":2,"b":1}'
+    q = spark.createDataFrame([(1, None, "green sky"), (2, ["x"], "green"), (3, None, "none of it")], "query int, tags array<string>, text string")
+    got = [(r.query, r.id, r.rank) for r in etl.similar(q, e.where("id IS NOT NULL")).orderBy("query", "rank").collect()]
+    assert got == [(1, "c", 1), (1, "a", 2), (2, "a", 1)]

@@ -185,3 +185,60 @@ def execution_edges(nodes: DataFrame, depends: DataFrame, branches: DataFrame) -
     taken = has(goes, "goto")
     edges = needs.unionByName(entry).unionByName(after.select(F.col("node").alias("src"), "dst", F.lit("lexical_next").alias("kind"))).unionByName(taken.select(F.col("node").alias("src"), F.col("goto").alias("dst"), F.lit("branch").alias("kind")))
     return edges, goes.join(known.withColumnRenamed("node", "goto"), "goto", "left_anti").select("node", "goto")
+
+
+INDEX = (
+    "data_registry array<struct<id:string,data_type:string,type:string,locator:string,location:string,path:string,endpoint:string,resource:string,role:string>>,"
+    "modules array<struct<id:string,path:string,status:string,data_type:string,role:string,subdirs:array<struct<id:string,path:string,data_type:string,role:string>>>>"
+)
+
+
+def registry_rows(documents: DataFrame) -> DataFrame:
+    """(id, data_type, locator, source, role) of index documents in a column ``value``: registered data, active modules and their folders (SRC-7).
+
+    The first of locator, location, path, endpoint and resource counts; a folder without an id is named by its module and path; rows without an id or a locator are left out.
+    """
+    d = documents.select(F.from_json("value", INDEX).alias("d")).where("d IS NOT NULL")
+    given = lambda *cs: F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in cs])
+    kind = lambda *cs: F.coalesce(given(*cs), F.lit("local_file"))
+    row = lambda df, i, t, where, source, role: df.select(i.alias("id"), t.alias("data_type"), fn.locator(where).alias("locator"), F.lit(source).alias("source"), F.coalesce(F.trim(role), F.lit("")).alias("role"))
+    data = d.select(F.explode("d.data_registry").alias("x"))
+    out = row(data, given("x.id"), kind("x.data_type", "x.type"), given("x.locator", "x.location", "x.path", "x.endpoint", "x.resource"), "data_registry", F.col("x.role"))
+    m = d.select(F.explode("d.modules").alias("m")).where(F.lower(F.coalesce(given("m.status"), F.lit("active"))) == "active")
+    out = out.unionByName(row(m, given("m.id"), kind("m.data_type"), F.trim("m.path"), "module", F.col("m.role")))
+    s = m.select("m.id", "m.path", F.explode("m.subdirs").alias("s"))
+    slug = F.replace(F.regexp_replace(fn.locator(F.col("s.path")), "^/+|/+$", ""), F.lit("/"), F.lit("."))
+    made = F.when(slug == "", F.col("id")).otherwise(F.concat_ws(".", "id", slug))
+    out = out.unionByName(row(s, F.coalesce(given("s.id"), made), kind("s.data_type"), F.concat(F.trim("path"), F.trim("s.path")), "subdir", F.col("s.role")))
+    return out.where("id <> '' AND locator <> ''")
+
+
+def typed_entries(entries: DataFrame) -> DataFrame:
+    """Entries with an id and a type, of their relations those with a type and a target (SRC-10)."""
+    kept = F.filter(F.coalesce("relations", F.array().cast(entries.schema["relations"].dataType)), lambda r: r["type"].isNotNull() & r["target"].isNotNull())
+    return entries.where("id <> '' AND type <> ''").withColumn("relations", kept)
+
+
+def sorted_json(values: Column) -> Column:
+    """A map as JSON with its keys in order (FN-15)."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(values))))
+
+
+def similar(queries: DataFrame, entries: DataFrame, *, k: int = 5, dimensions: int = 384) -> DataFrame:
+    """(query, id, score, rank): the k entries whose words are most like each query's, by the cosine of counts in ``dimensions`` buckets (MEM-14).
+
+    queries (query, tags, text), entries (id, tags, text); with tags only entries that share one are looked at. Buckets join by equality, so entries without a common one
+    never meet; a text without words has no like.
+    """
+    bucket = lambda t: F.explode(F.transform(F.regexp_extract_all(F.lower(t), F.lit("[A-Za-z0-9_.-]{3,}"), F.lit(0)), lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int")))
+
+    def vector(df: DataFrame, key: str) -> DataFrame:
+        n = df.select(key, bucket(F.col("text")).alias("b")).groupBy(key, "b").agg(F.count("*").alias("n"))
+        norm = n.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+        return n.join(norm, key).select(key, "b", (F.col("n") / F.col("norm")).alias(f"{key}_w"))
+
+    met = vector(queries, "query").join(vector(entries, "id"), "b").groupBy("query", "id").agg(F.sum(F.col("query_w") * F.col("id_w")).alias("score"))
+    met = met.join(queries.select("query", F.col("tags").alias("_q")), "query").join(entries.select("id", F.col("tags").alias("_e")), "id")
+    met = met.where(F.coalesce(F.size("_q"), F.lit(0)) <= 0).unionByName(met.where(F.arrays_overlap("_q", "_e")))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "id"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "id", "score", "rank")

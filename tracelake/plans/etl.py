@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import etl as E
+from ..operators import graph as G
 from ..operators import rules as R
-from ..schemas import read
+from ..schemas import CONTROL_SQL, control, read
 
 #: SQL that Spark and DuckDB both run: every line item is an edge of a kind by its number; a node's class goes by its number.
 EDGES_SQL = """SELECT 'e' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS edge, CASE WHEN l_linenumber IN (5, 6) THEN 'Stream' ELSE 'Rail' END AS class, 'n/' || (l_orderkey % 1000) AS src, 'n/' || (l_partkey % 1000) AS dst,
@@ -92,7 +93,31 @@ def _evaluation(spark, d):
     return R.evaluation(n, edges(spark, d), n.select("workflow", "node"), w)
 
 
+def _index(spark, d):
+    """Each supplier as an index document of one registered item and one module."""
+    s = read(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    item = F.struct(F.concat(F.lit("d"), k).alias("id"), F.when(k % 2 == 0, F.concat(F.lit("./x//"), k)).alias("location"), F.when(k % 3 != 0, F.concat(F.lit("y/"), k)).alias("path"), F.when(k % 5 == 0, "table").alias("type"))
+    subs = F.array(F.struct(F.lit(None).cast("string").alias("id"), F.lit("data/in/").alias("path")), F.struct(F.concat(F.lit("o"), k).alias("id"), F.lit("out").alias("path")))
+    module = F.struct(F.concat(F.lit("m"), k).alias("id"), F.concat(F.lit("m"), k, F.lit("/")).alias("path"), F.when(k % 4 == 0, "planned").when(k % 4 == 1, "Active").alias("status"), subs.alias("subdirs"))
+    return s.select(F.to_json(F.struct(F.array(item).alias("data_registry"), F.array(module).alias("modules"))).alias("value"))
+
+
+def _uses(spark, d):
+    """Suppliers use the parts that they ship, in the scope of their nation; a sixth of the parts are deliverables, some are tables."""
+    li, s = read(spark, d, "lineitem"), read(spark, d, "supplier")
+    met = li.join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    return met.select(F.col("s_suppkey").alias("unit"), F.concat(F.when(F.col("l_partkey") % 6 == 0, "deliverable:").otherwise(""), F.col("l_partkey")).alias("artifact"), F.col("s_nationkey").alias("scope"), F.when(F.col("l_partkey") % 7 == 0, "table").otherwise("document").alias("type"), (F.col("l_linenumber") == 1).alias("produces"), (F.col("l_linenumber") > 1).alias("consumes"))
+
+
+def _uncontrolled(spark, d):
+    return G.uncontrolled(control(spark, d), read(spark, d, "nation").where("n_regionkey = 3").select(F.col("n_nationkey").alias("node")))
+
+
 QUERIES = {
+    "src7_registry": lambda s, d: E.registry_rows(_index(s, d)).select("id", "data_type", "locator", "source"),
+    "agg17_shared": lambda s, d: G.shared_artifacts(_uses(s, d)),
+    "grf14_uncontrolled": _uncontrolled,
     "etl1_nodes": lambda s, d: E.flatten(documents(s, d))[0],
     "etl1_edges": lambda s, d: E.flatten(documents(s, d))[1],
     "etl1_directories": lambda s, d: E.flatten(documents(s, d))[2],
@@ -114,6 +139,13 @@ _TREE = """WITH RECURSIVE refs AS (SELECT DISTINCT o_custkey % 300 doc, (o_custk
  walk(root, doc, depth) AS (SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey AS BIGINT), 0 FROM nation UNION SELECT root, sub, depth + 1 FROM walk JOIN refs USING (doc) WHERE depth < 3 AND sub IN (SELECT doc FROM known)),
  docs AS (SELECT root, doc, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY 1, 2)"""
 ORACLE_SQL = {
+    "src7_registry": """SELECT 'd' || s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN 'table' ELSE 'local_file' END data_type, CASE WHEN s_suppkey % 2 = 0 THEN 'x/' || s_suppkey ELSE 'y/' || s_suppkey END locator, 'data_registry' AS source FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 <> 0
+  UNION ALL SELECT 'm' || s_suppkey, 'local_file', 'm' || s_suppkey || '/', 'module' FROM supplier WHERE s_suppkey % 4 <> 0 UNION ALL SELECT 'm' || s_suppkey || '.data.in', 'local_file', 'm' || s_suppkey || '/data/in/', 'subdir' FROM supplier WHERE s_suppkey % 4 <> 0
+  UNION ALL SELECT 'o' || s_suppkey, 'local_file', 'm' || s_suppkey || '/out', 'subdir' FROM supplier WHERE s_suppkey % 4 <> 0""",
+    "agg17_shared": """WITH u AS (SELECT l_suppkey AS unit, CAST(l_partkey AS VARCHAR) artifact, s_nationkey AS scope, l_partkey % 7 = 0 nat, l_linenumber FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey % 6 <> 0),
+  w AS (SELECT artifact FROM u GROUP BY 1 HAVING count(DISTINCT scope) > 1 OR bool_or(nat)) SELECT unit, artifact, bool_or(l_linenumber = 1) produces, bool_or(l_linenumber > 1) consumes FROM u JOIN w USING (artifact) GROUP BY 1, 2""",
+    "grf14_uncontrolled": f"""WITH RECURSIVE e AS (SELECT * FROM ({CONTROL_SQL}) WHERE src NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 3) AND dst NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 3)),
+  c(src, dst) AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT a.src node, min(a.dst) component FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src GROUP BY 1""",
     "etl1_nodes": _D + " SELECT 'node/' || scope || '/t' || turn AS id, role AS type, CASE WHEN turn % 2 = 0 THEN 'Turn ' || turn ELSE 't' || turn END AS label, 'workflow/' || scope || '/w' || conv_id workflow FROM c",
     "etl1_edges": _D + """ SELECT 'node/' || scope || '/t' || turn src, CASE WHEN turn < 5 THEN 'node/' || scope || '/t' || (turn + 1) END dst, 'ok' AS "on" FROM c WHERE role = 'assistant'
   UNION ALL SELECT src, dst, NULL FROM (SELECT role, 'node/' || scope || '/t' || turn src, 'node/' || scope || '/t' || lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) dst FROM c) WHERE dst IS NOT NULL AND role <> 'assistant'""",
