@@ -57,3 +57,16 @@ def test_typed_entries_json_and_similar(spark):
     q = spark.createDataFrame([(1, None, "green sky"), (2, ["x"], "green"), (3, None, "none of it")], "query int, tags array<string>, text string")
     got = [(r.query, r.id, r.rank) for r in etl.similar(q, e.where("id IS NOT NULL")).orderBy("query", "rank").collect()]
     assert got == [(1, "c", 1), (1, "a", 2), (2, "a", 1)]
+
+
+def test_delegates_types_and_classes(spark):
+    from tracelake.operators import graph
+
+    e = spark.createDataFrame([("t", "x", "delegates_to"), ("x", "a", "produces_to"), ("t", "a", "evolves_to"), ("a", "t", "reads")], "src string, dst string, kind string")
+    m = spark.createDataFrame([("w", "t")], "workflow string, node string")
+    none = spark.createDataFrame([], "src string, dst string")
+    assert [tuple(r) for r in graph.improvement_issues(e, m, spark.createDataFrame([("a",)], "node string"), none).collect()] == [("t", "evolves_to", "a", "w", "self-produced")]
+    a = spark.createDataFrame([("document", "file", "-", "table"), ("media", "file", "Human", "odd"), ("media", "file", "Human", None)], "artifact_type string, resource_kind string, primary_consumer string, explicit_type string")
+    assert [tuple(r)[:3] for r in graph.with_explicit_type(a).collect()] == [("table", "data", "Tool + Agent"), ("media", "file", "Human"), ("media", "file", "Human")]
+    t = spark.createDataFrame([("b", "type", "Class"), ("b", "subClassOf", "a"), ("c", "subClassOf", "a")], "s string, p string, o string")
+    assert [tuple(r) for r in graph.class_edges(t).collect()] == [("a", "b")]

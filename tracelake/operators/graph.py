@@ -302,3 +302,59 @@ LEGACY_SUBJECTS = {"user": "human", "agent": "self", "metric": "system"}
 def legacy_subject(subject: Column) -> Column:
     """An older subject by its present name; others stay (FN-14)."""
     return F.coalesce(F.create_map(*[F.lit(x) for pair in LEGACY_SUBJECTS.items() for x in pair])[subject], subject)
+
+
+def owner_produced(edges: DataFrame, membership: DataFrame) -> DataFrame:
+    """(workflow, artifact): what members of a workflow, or those that they delegate to, produce (JOIN-11)."""
+    members = membership.select("workflow", "node")
+    handed = members.join(edges.where("kind = 'delegates_to'").select(F.col("src").alias("node"), "dst"), "node").select("workflow", F.col("dst").alias("node"))
+    made = edges.where("kind = 'produces_to'").select(F.col("src").alias("node"), F.col("dst").alias("artifact"))
+    return members.unionByName(handed).distinct().join(made, "node").select("workflow", "artifact").distinct()
+
+
+def improvement_issues(edges: DataFrame, membership: DataFrame, artifacts: DataFrame, sub_workflows: DataFrame) -> DataFrame:
+    """(node, kind, target, workflow, issue) of evolves_to and tests_to edges, by the workflow that owns the node (GRF-12, GRF-13).
+
+    An artifact (node) as target must not be produced by the owner (self-produced) and should be consumed or read somewhere (unconsumed, a warning); a workflow as target must
+    not be the owner, nor above or below it (not disjoint). sub_workflows (src, dst): parent and child.
+    """
+    aimed = edges.where("kind IN ('evolves_to', 'tests_to')").select(F.col("src").alias("node"), "kind", F.col("dst").alias("target")).distinct().join(membership.select("workflow", "node").distinct(), "node")
+    marked = aimed.join(artifacts.select(F.col("node").alias("target"), F.lit(True).alias("is_artifact")).distinct(), "target", "left")
+    at = marked.where("is_artifact").drop("is_artifact")
+    own = at.join(owner_produced(edges, membership).withColumnRenamed("artifact", "target"), ["workflow", "target"], "left_semi").withColumn("issue", F.lit("self-produced"))
+    used = edges.where("kind IN ('consumed_by', 'reads')").select(F.col("src").alias("target")).distinct()
+    idle = at.join(used, "target", "left_anti").withColumn("issue", F.lit("unconsumed"))
+    below = closure(sub_workflows)
+    kin = below.unionByName(below.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().withColumnsRenamed({"src": "workflow", "dst": "target"})
+    others = marked.where("is_artifact IS NULL").drop("is_artifact")
+    near = others.where("workflow = target").unionByName(others.where("workflow <> target").join(kin, ["workflow", "target"], "left_semi").select(others.columns)).withColumn("issue", F.lit("not disjoint"))
+    columns = ["node", "kind", "target", "workflow", "issue"]
+    return own.select(columns).unionByName(idle.select(columns)).unionByName(near.select(columns))
+
+
+def class_edges(triples: DataFrame) -> DataFrame:
+    """(parent, child) of classes (GRF-21)."""
+    classes = triples.where("p = 'type' AND o = 'Class'").select("s").distinct()
+    return triples.where("p = 'subClassOf'").join(classes, "s", "left_semi").select(F.col("o").alias("parent"), F.col("s").alias("child")).distinct()
+
+
+#: Types of artifacts, who mainly consumes them, and whether they are data or files.
+CONSUMERS = {
+    "knowledge_store": ("Agent", "data"),
+    "event_store": ("Agent", "data"),
+    "local_database": ("Agent", "data"),
+    "document": ("Human + Agent", "file"),
+    "media": ("Human", "file"),
+    "tool": ("Agent + Eval", "file"),
+    "table": ("Tool + Agent", "data"),
+}
+
+
+def with_explicit_type(artifacts: DataFrame) -> DataFrame:
+    """artifacts (artifact_type, resource_kind, primary_consumer, explicit_type): a valid explicit type overrides all three (FN-8)."""
+    known = F.col("explicit_type").isin(*CONSUMERS)
+    of = F.create_map(*[x for t, pair in CONSUMERS.items() for x in (F.lit(t), F.struct(F.lit(pair[0]).alias("who"), F.lit(pair[1]).alias("kind")))])[F.col("explicit_type")]
+    return artifacts.withColumns({
+        "artifact_type": F.when(known, F.col("explicit_type")).otherwise(F.col("artifact_type")), "resource_kind": F.when(known, of["kind"]).otherwise(F.col("resource_kind")),
+        "primary_consumer": F.when(known, of["who"]).otherwise(F.col("primary_consumer")),
+    })

@@ -112,3 +112,10 @@ def fields(nodes: DataFrame, values: DataFrame, schema: DataFrame) -> DataFrame:
     asked = typed.select("node", "class", F.col("property").alias("when_field"), "value").join(when, ["class", "when_field"]).where(F.array_contains("when_values", F.col("value"))).select("node", "property").distinct()
     absent = asked.join(n.where("n > 0"), ["node", "property"], "left_anti").select("node", "property", F.lit("required here").alias("issue"))
     return lacking.unionByName(odd).unionByName(wrong).unionByName(absent).withColumnRenamed("property", "field").distinct()
+
+
+def range_classes(triples: DataFrame, classes: DataFrame, rules: DataFrame) -> DataFrame:
+    """(s, p, o) of predicates with a rule (p, class) whose object is of another class or none; classes (node, class) may have several rows for a node (CON-5)."""
+    met = triples.join(rules, "p")
+    of = classes.select(F.col("node").alias("o"), "class").distinct()
+    return met.join(of, ["o", "class"], "left_anti").select("s", "p", "o").distinct()

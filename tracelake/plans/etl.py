@@ -114,7 +114,24 @@ def _uncontrolled(spark, d):
     return G.uncontrolled(control(spark, d), read(spark, d, "nation").where("n_regionkey = 3").select(F.col("n_nationkey").alias("node")))
 
 
+def _improvements(spark, d):
+    """Nodes live in workflows of the edge model, which evolve and test each other's artifacts; three workflows stand under another."""
+    n = classes(spark, d)
+    e = edges(spark, d)
+    to_flows = e.where("kind = 'measures'").select("edge", "class", "src", F.concat(F.lit("w"), F.substring("dst", -1, 1)).alias("dst"), F.lit("tests_to").alias("kind"), "on", "criteria")
+    subs = n.where("workflow IN ('w1', 'w2', 'w3')").select(F.concat(F.lit("w"), F.substring("workflow", 2, 1).cast("int") + 1).alias("src"), F.col("workflow").alias("dst")).distinct()
+    return G.improvement_issues(e.unionByName(to_flows), n.select("workflow", "node"), n.where("class = 'Artifact'").select("node"), subs)
+
+
+def _ranges(spark, d):
+    t = _older(spark, d).where("p IN ('next', 'consumes')")
+    rules = spark.createDataFrame([("next", "Task"), ("consumes", "Artifact")], "p string, class string")
+    return R.range_classes(t, classes(spark, d), rules)
+
+
 QUERIES = {
+    "grf13_improvements": _improvements,
+    "con5_ranges": _ranges,
     "src7_registry": lambda s, d: E.registry_rows(_index(s, d)).select("id", "data_type", "locator", "source"),
     "agg17_shared": lambda s, d: G.shared_artifacts(_uses(s, d)),
     "grf14_uncontrolled": _uncontrolled,
@@ -139,6 +156,13 @@ _TREE = """WITH RECURSIVE refs AS (SELECT DISTINCT o_custkey % 300 doc, (o_custk
  walk(root, doc, depth) AS (SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey AS BIGINT), 0 FROM nation UNION SELECT root, sub, depth + 1 FROM walk JOIN refs USING (doc) WHERE depth < 3 AND sub IN (SELECT doc FROM known)),
  docs AS (SELECT root, doc, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY 1, 2)"""
 ORACLE_SQL = {
+    "grf13_improvements": _C + """, x AS (SELECT src, dst, kind FROM e UNION ALL SELECT src, 'w' || right(dst, 1), 'tests_to' FROM e WHERE kind = 'measures'),
+  m AS (SELECT DISTINCT x.src node, kind, dst target, k.workflow FROM x JOIN k ON src = k.node WHERE kind IN ('evolves_to', 'tests_to')), a AS (SELECT node FROM k WHERE class = 'Artifact'),
+  kin AS (SELECT 'w' || g.i w, 'w' || h.i t FROM range(1, 5) g(i), range(1, 5) h(i))
+  SELECT *, 'self-produced' issue FROM m WHERE target IN (FROM a) AND EXISTS (SELECT 1 FROM e JOIN k ON e.src = k.node WHERE e.kind = 'produces_to' AND e.dst = m.target AND k.workflow = m.workflow)
+  UNION ALL SELECT *, 'unconsumed' FROM m WHERE target IN (FROM a) AND target NOT IN (SELECT src FROM e WHERE kind = 'consumed_by')
+  UNION ALL SELECT *, 'not disjoint' FROM m WHERE target NOT IN (FROM a) AND (workflow = target OR (workflow, target) IN (FROM kin))""",
+    "con5_ranges": _C + """ SELECT DISTINCT src s, 'next' p, dst o FROM e JOIN k ON dst = node WHERE kind = 'default' AND on_case IS NULL AND k.class <> 'Task' UNION ALL SELECT DISTINCT src, 'consumes', dst FROM e JOIN k ON dst = node WHERE kind = 'consumed_by' AND k.class <> 'Artifact'""",
     "src7_registry": """SELECT 'd' || s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN 'table' ELSE 'local_file' END data_type, CASE WHEN s_suppkey % 2 = 0 THEN 'x/' || s_suppkey ELSE 'y/' || s_suppkey END locator, 'data_registry' AS source FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 <> 0
   UNION ALL SELECT 'm' || s_suppkey, 'local_file', 'm' || s_suppkey || '/', 'module' FROM supplier WHERE s_suppkey % 4 <> 0 UNION ALL SELECT 'm' || s_suppkey || '.data.in', 'local_file', 'm' || s_suppkey || '/data/in/', 'subdir' FROM supplier WHERE s_suppkey % 4 <> 0
   UNION ALL SELECT 'o' || s_suppkey, 'local_file', 'm' || s_suppkey || '/out', 'subdir' FROM supplier WHERE s_suppkey % 4 <> 0""",
