@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import GAP, discard, read, row_key, stored, words
 
@@ -180,10 +181,13 @@ def _of_crowds(classes: DataFrame, sets: DataFrame, threshold: float) -> DataFra
 def _by_prefix(classes: DataFrame, matched: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(cid): classes, matched ones left out, that match an earlier one."""
     late = classes.join(matched.withColumn("late", F.lit(1)), "cid", "left").withColumn("late", F.coalesce("late", F.lit(0)))
-    tokens = late.select("cid", "n", "late", "b1", "b2", F.posexplode("prefix").alias("i", "x"))
+    # Where ids are numbers they tell which of two is earlier: an earlier one has no use for a later one that is matched already, as the head of a crowd for its members.
+    kind = classes.schema["place"].dataType["doc_id"].dataType
+    order = F.coalesce(F.col("place.doc_id").cast("bigint"), F.lit(-(2**63))) if isinstance(kind, T.IntegralType) else F.lit(0).cast("bigint")
+    tokens = late.select("cid", "n", "late", "b1", "b2", order.alias("d"), F.posexplode("prefix").alias("i", "x"))
     # Narrow rows: n, i and late in one number.
-    packed = tokens.select("x", "cid", (_shifted(F.col("n").cast("bigint"), F.lit(32)) + 2 * F.col("i") + F.col("late")).alias("m"), "b1", "b2")
-    a, b = (packed.select("x", *[F.col(c).alias(f"{side}{c}") for c in ("cid", "m", "b1", "b2")]) for side in ("a_", "b_"))
+    packed = tokens.select("x", "cid", (_shifted(F.col("n").cast("bigint"), F.lit(32)) + 2 * F.col("i") + F.col("late")).alias("m"), "b1", "b2", "d")
+    a, b = (packed.select("x", *[F.col(c).alias(f"{side}{c}") for c in ("cid", "m", "b1", "b2", "d")]) for side in ("a_", "b_"))
     met = a.join(b, (a["x"] == b["x"]) & (F.col("a_cid") < F.col("b_cid")) & _fits(threshold))
     is_late = lambda side: F.col(f"{side}m").bitwiseAND(F.lit(1)) == 1
     pairs = met.select("a_cid", is_late("a_").alias("a_late"), "b_cid", is_late("b_").alias("b_late")).distinct()
@@ -199,13 +203,13 @@ def _by_prefix(classes: DataFrame, matched: DataFrame, sets: DataFrame, threshol
 
 
 def _fits(threshold: float) -> Column:
-    """All filters for two packed rows that share a prefix word; pairs of which both are matched already are out."""
+    """All filters for two packed rows that share a prefix word; pairs whose later one is surely matched already are out."""
     unpacked = {f"{s}{c}": v for s in ("a_", "b_") for c, v in (
         ("n", F.shiftright(f"{s}m", 32).cast("int")), ("i", F.shiftright(F.col(f"{s}m").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")), ("late", F.col(f"{s}m").bitwiseAND(F.lit(1)) == 1), ("b1", F.col(f"{s}b1")), ("b2", F.col(f"{s}b2")),
     )}
     u = unpacked.__getitem__
     left = F.least(u("a_n") - u("a_i"), u("b_n") - u("b_i"))
-    return _alike(*[u(f"{s}{c}") for s in ("a_", "b_") for c in ("n", "b1", "b2")], threshold) & (left >= _need(u("a_n"), u("b_n"), threshold)) & ~(u("a_late") & u("b_late"))
+    return _alike(*[u(f"{s}{c}") for s in ("a_", "b_") for c in ("n", "b1", "b2")], threshold) & (left >= _need(u("a_n"), u("b_n"), threshold)) & (~u("a_late") | (F.col("b_d") >= F.col("a_d"))) & (~u("b_late") | (F.col("a_d") >= F.col("b_d"))) & ~(u("a_late") & u("b_late"))
 
 
 def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
