@@ -32,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 import sentencepiece
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -411,7 +411,7 @@ _vocabularies: dict[str, Vocabulary] = {}
 
 
 def vocabulary(model: str) -> Vocabulary:
-    """Loaded once in each Python worker."""
+    """Read on the driver, which hands it to the tasks: they need no file."""
     if model not in _vocabularies:
         _vocabularies[model] = Vocabulary(model)
     return _vocabularies[model]
@@ -427,10 +427,11 @@ def encode_samples(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     schema = T.StructType([docs.schema[c] for c in keep])
     for name, kind in zip(added, (T.IntegerType(), T.ArrayType(T.IntegerType()), T.DoubleType(), T.DoubleType(), T.DoubleType(), T.BooleanType()), strict=True):
         schema = schema.add(name, kind)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(model))
     carried = docs.select(*keep, F.col(text).alias("_text"), F.col(key).cast("string").alias("_key"))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model)
+        v = shared.value
         words = Words(v, alpha)
         for whole in parts:
             for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
@@ -467,10 +468,11 @@ def decode_ids(ids, v: Vocabulary) -> str:
 
 def decode(ids: Column, model: str = MODEL) -> Column:
     """The text of an array of piece ids; null for null."""
+    shared = SparkSession.active().sparkContext.broadcast(vocabulary(model))
 
     @F.pandas_udf("string")
     def texts(arrays: pd.Series) -> pd.Series:
-        v = vocabulary(model)
+        v = shared.value
         return arrays.map(lambda a: None if a is None else decode_ids(a.tolist() if hasattr(a, "tolist") else a, v))
 
     return texts(ids)
