@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import discard, shared_dir, stored  # noqa: F401 - for the modules of this package
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: What stands between words of lower-case letters, digits and everything outside ASCII.
@@ -20,47 +18,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which the driver and all executors share. Where it is unset: an error, but in local mode a temporary one."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        given = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", given)
-    return given.rstrip("/")
-
-
-#: Lets Spark remove the shuffle files of a finished write; else they stay as long as the driver holds the plan.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame, **options) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: its lineage ends here. It goes with ``discard`` or with the session. ``options`` are the writer's."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.options(**options).parquet(path)
-    finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    _files(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``stored`` wrote and that nothing reads any more."""
-    for t in tables:
-        _files(t.sparkSession, t.stored_at).delete(t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at), True)
-
-
-def _files(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else unchanged; null becomes the empty string."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
