@@ -13,7 +13,6 @@ LOWER = UPPER.lower()
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
