@@ -1,6 +1,6 @@
 """The queries of this package and, where SQL can express them, their SQL."""
 
-from . import decontamination, licenses, lines, pii, quality, runs, segment, simhash, substrings, topk, toxicity
+from . import decontamination, licenses, lines, pii, quality, runs, segment, simhash, substrings, tokens, topk, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_segment": segment.op10_segment,
     "op11_runs": runs.op11_runs,
+    "op12_token_counts": tokens.op12_token_counts,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontamination.OP1_SQL,
