@@ -1,6 +1,6 @@
 """The queries of this package and, where SQL can express them, their SQL."""
 
-from . import decontamination, licenses, lines, pii, quality, runs, segment, simhash, substrings, tokens, topk, toxicity
+from . import decontamination, licenses, lines, pii, quality, runs, search, segment, simhash, substrings, tokens, topk, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_segment": segment.op10_segment,
     "op11_runs": runs.op11_runs,
     "op12_token_counts": tokens.op12_token_counts,
+    "op13_search": search.op13_search,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontamination.OP1_SQL,
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op3_line_dedup": lines.OP3_SQL,
     "op6_top_k": topk.OP6_SQL,
     "op9_substring_dedup": substrings.OP9_SQL,
+    "op13_search": search.OP13_SQL,
 }
