@@ -5,7 +5,7 @@ An utterance row has session_id, turn_id, utterance, intent_id, and of its sessi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
@@ -18,7 +18,7 @@ KINDS = {"ticket_ref": "ticket", "run_ref": "run", "workflow_ref": "wf", "gate_r
 
 
 def registry(rows: DataFrame) -> DataFrame:
-    """The intents, sorted: absent arrays are empty, required is false and fill_policy ``ask`` where unset, an empty default is none (SRC-8)."""
+    """The intents, sorted: absent arrays are empty, required is false and fill_policy ``ask`` where unset, an empty default is none (SRC-8). Of rows that share an intent_id the least counts."""
     specs = F.transform(
         F.coalesce(F.col("slot_specs").cast(SPECS), F.array().cast(SPECS)),
         lambda s: F.struct(
@@ -27,7 +27,14 @@ def registry(rows: DataFrame) -> DataFrame:
         ),
     )
     none = F.array().cast("array<string>")
-    return rows.withColumns({"slot_specs": specs} | {c: F.coalesce(F.col(c), none) for c in ("trigger_keywords", "example_utterances")}).orderBy("intent_id")
+    full = rows.withColumns({"slot_specs": specs} | {c: F.coalesce(F.col(c), none) for c in ("trigger_keywords", "example_utterances")})
+    return once(full).orderBy("intent_id")
+
+
+def once(intents: DataFrame) -> DataFrame:
+    """One row for each intent_id, so that no utterance is multiplied by a registry that names an intent twice."""
+    rank = F.row_number().over(Window.partitionBy("intent_id").orderBy(F.to_json(F.struct("slot_specs"))))
+    return intents.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def lookup(ids: DataFrame, intents: DataFrame) -> DataFrame:
@@ -47,7 +54,7 @@ def cells(matrix: DataFrame, status: str = "filled") -> DataFrame:
 
 def with_intent(utterances: DataFrame, intents: DataFrame) -> DataFrame:
     """Utterances with ``norm``, their intent's slot_specs and ``known`` (JOIN-3). An unknown intent has no slots."""
-    found = intents.select("intent_id", "slot_specs", F.lit(True).alias("known"))
+    found = once(intents).select("intent_id", "slot_specs", F.lit(True).alias("known"))
     met = utterances.join(found, "intent_id", "left")
     return met.withColumns({"norm": fn.normalize(F.col("utterance")), "known": F.coalesce("known", F.lit(False)), "slot_specs": F.coalesce("slot_specs", F.array().cast(SPECS))})
 
@@ -99,13 +106,14 @@ def violations(filled: DataFrame) -> DataFrame:
 def ground(utterances: DataFrame, intents: DataFrame, *, tier: str = "registry") -> DataFrame:
     """Commands: utterances with target_id, target_concepts, slots (map), confidence, tier, reprompt_needed and reprompt_slots (GRD-5).
 
-    Slots named in a violation's message are asked for again, too. An unknown intent gives an empty command of confidence 0.
+    Slots named in a violation's message are asked for again, too. An unknown intent gives an empty command of confidence 0. Of a slot declared twice the last value counts.
     """
     judged = violations(resolve_target(fill_slots(with_intent(utterances, intents))))
     named = F.flatten(F.transform("violations", lambda v: F.transform(F.filter("slot_specs", lambda s: F.contains(v, s["slot_name"])), lambda s: s["slot_name"])))
     again = F.array_distinct(F.concat("missing", named))
+    last = F.filter("slots", lambda x, i: ~F.exists(F.slice("slots", i + 2, F.size("slots")), lambda y: y["name"] == x["name"]))
     return judged.select(
-        *utterances.columns, "target_id", "target_concepts", F.map_from_entries("slots").alias("slots"), F.when(F.col("known"), 1.0).otherwise(0.0).alias("confidence"),
+        *utterances.columns, "target_id", "target_concepts", F.map_from_entries(last).alias("slots"), F.when(F.col("known"), 1.0).otherwise(0.0).alias("confidence"),
         F.lit(tier).alias("tier"), (F.size("missing") + F.size("violations") > 0).alias("reprompt_needed"), again.alias("reprompt_slots"),
     )
 
