@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..tables import stored
+from . import matching
 from .graph import EDGE_CLASSES, display_id
 
 DOCUMENT = (
@@ -224,21 +227,29 @@ def sorted_json(values: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(values))))
 
 
-def similar(queries: DataFrame, entries: DataFrame, *, k: int = 5, dimensions: int = 384) -> DataFrame:
-    """(query, id, score, rank): the k entries whose words are most like each query's, by the cosine of counts in ``dimensions`` buckets (MEM-14).
+def similar(queries: DataFrame, entries: DataFrame, *, k: int = 5, dimensions: int = 1 << 18) -> DataFrame:
+    """(query, id, score, rank): the k entries whose words are most like each query's, by the cosine of hashed word counts, each weighted by ln(1 + entries / entries with that bucket) (MEM-14).
 
-    queries (query, tags, text), entries (id, tags, text); with tags only entries that share one are looked at. Buckets join by equality, so entries without a common one
-    never meet; a text without words has no like.
+    queries (query, tags, text), entries (id, tags, text), each id once; with tags only entries that share one are looked at. Buckets that can't decide are left unread (see matching.top_k), for
+    which there must be many: with few ``dimensions``, such as 384, each holds words that all texts have. A text without words has no like, nor does any match score 0.
     """
-    bucket = lambda t: F.explode(F.transform(F.regexp_extract_all(F.lower(t), F.lit("[A-Za-z0-9_.-]{3,}"), F.lit(0)), lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int")))
-
-    def vector(df: DataFrame, key: str) -> DataFrame:
-        n = df.select(key, bucket(F.col("text")).alias("b")).groupBy(key, "b").agg(F.count("*").alias("n"))
-        norm = n.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-        return n.join(norm, key).select(key, "b", (F.col("n") / F.col("norm")).alias(f"{key}_w"))
-
-    met = vector(queries, "query").join(vector(entries, "id"), "b").groupBy("query", "id").agg(F.sum(F.col("query_w") * F.col("id_w")).alias("score"))
-    met = met.join(queries.select("query", F.col("tags").alias("_q")), "query").join(entries.select("id", F.col("tags").alias("_e")), "id")
-    met = met.where(F.coalesce(F.size("_q"), F.lit(0)) <= 0).unionByName(met.where(F.arrays_overlap("_q", "_e")))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "id", "score", "rank")
+    bucket = lambda t: F.explode(F.transform(F.regexp_extract_all(F.lower(t), F.lit("[A-Za-z0-9_.-]{3,}"), F.lit(0)), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dimensions).cast("int")))
+
+    counts = lambda df, key: df.select(key, bucket(F.col("text")).alias("t")).groupBy(key, "t").agg(F.count("*").alias("n"))
+    own = stored(counts(entries, "id"))
+    many = entries.count()
+    rare = own.groupBy("t").agg(F.log(1 + many / F.count("*")).alias("idf"))
+
+    def vector(n: DataFrame, key: str) -> DataFrame:
+        w = n.join(rare, "t", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(math.log(1 + many))))
+        norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        return w.join(norm, key).select(key, "t", (F.col("w") / F.col("norm")).alias("w"), "norm")
+
+    told = stored(vector(own, "id"))
+    known = entries.join(told.groupBy("id").agg(F.first("norm").alias("norm")), "id", "left").select("id", F.lit(0.0).alias("worth"), F.col("tags").alias("_e"), "norm")
+    shared = F.when(F.coalesce(F.size("_q"), F.lit(0)) <= 0, True).otherwise(F.coalesce(F.arrays_overlap("_q", "_e"), F.lit(False)))
+    top = matching.top_k(
+        vector(counts(queries, "query"), "query").drop("norm"), told.drop("norm"), known, queries.select("query", F.col("tags").alias("_q")),
+        k=k, order=[F.col("score").desc(), F.col("id")], met=shared, unit=True, digits=9, tiers=F.floor(2 * F.log2("norm")),
+    )
+    return top.where("score > 0").select("query", "id", "score", "rank")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import matching
+
 #: Relation name, types it may start from (empty: any), types it may point at (empty: any).
 TYPED = [
     ("invalidated-by", [], ["release-note"]),
@@ -109,33 +111,33 @@ MODULE_WEIGHT = 12
 TYPE_PRIORITIES = {"principle": 30, "pattern": 26, "user-decision": 24, "episode": 20, "trouble-shooting": 16, "issue-note": 14, "agent-decision": 12, "alternatives-record": 12}
 
 
+def _tokens(*columns: str) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.concat_ws(" ", *columns), F.lit("[A-Za-z0-9_.-]{3,}"), F.lit(0)), F.lower))
+
+
 def relevance(nodes: DataFrame, entries: DataFrame, *, k: int = 5) -> DataFrame:
     """(node, id, score, rank): the k entries that score highest for each node (MEM-12, TOP-3).
 
     nodes: node, text, tags, types (the types allowed; null or empty: any). entries: id, type, title, text, tags, module,
     created_at. The score is the type's priority, 18 for each shared tag, 1 for each shared token, and 12 if the module is
     one of the node's tags; ties go by created_at, then id. An entry without overlap has its priority only, so of each type
-    just the first k can rank: these meet all nodes. Tokens join by equality; a token that very many entries have is what
-    skew join handles.
+    just the first k can rank: these meet all nodes. All others are found by ``matching.top_k``, which leaves words unread that can't decide.
     """
-    tok = lambda *c: F.array_distinct(F.transform(F.regexp_extract_all(F.concat_ws(" ", *c), F.lit("[A-Za-z0-9_.-]{3,}"), F.lit(0)), F.lower))
-    low = lambda c: F.array_distinct(F.transform(F.array_compact(c), F.lower))
-    n_tags = nodes.select("node", F.explode(low(F.col("tags"))).alias("t"))
-    shared = nodes.select("node", F.explode(tok("text")).alias("t")).join(entries.select("id", F.explode(tok("id", "type", "title", "text", "tags")).alias("t")), "t")
-    tagged = n_tags.join(entries.select("id", F.explode(low(F.col("tags"))).alias("t")), "t")
-    module = n_tags.join(entries.select("id", F.lower("module").alias("t")).where("t <> ''"), "t")
-
+    tok = lambda kind, *c: F.transform(_tokens(*c), lambda w: F.struct(F.concat(F.lit(kind), w).alias("t"), F.lit(1).alias("w")))
+    low = lambda kind, c, w: F.transform(F.array_distinct(F.transform(F.array_compact(F.coalesce(c, F.array().cast("array<string>"))), F.lower)), lambda x: F.struct(F.concat(F.lit(kind), x).alias("t"), F.lit(w).alias("w")))
+    asked = nodes.select(F.col("node").alias("query"), F.explode(F.concat(tok("word ", "text"), low("tag ", F.col("tags"), 1), low("module ", F.col("tags"), 1))).alias("x")).select("query", "x.*")
+    module = F.array(F.nullif("module", F.lit("")))
+    told = entries.select("id", F.explode(F.concat(tok("word ", "id", "type", "title", "text", "tags"), low("tag ", F.col("tags"), TAG_WEIGHT), low("module ", module, MODULE_WEIGHT))).alias("x")).select("id", "x.*")
     priority = F.coalesce(F.create_map(*[F.lit(x) for p in TYPE_PRIORITIES.items() for x in p])[F.col("type")], F.lit(0))
-    known = entries.select("id", "type", F.coalesce("created_at", F.lit("")).alias("created_at"), priority.alias("p"))
+    known = entries.select("id", "type", F.coalesce("created_at", F.lit("")).alias("created_at"), priority.alias("worth"))
     of_type = F.row_number().over(Window.partitionBy("type").orderBy("created_at", "id"))
     first = known.withColumn("_n", of_type).where(F.col("_n") <= k).select("id")
-
-    weighed = [df.select("node", "id", F.lit(w).alias("w")) for df, w in ((shared, 1), (tagged, TAG_WEIGHT), (module, MODULE_WEIGHT), (nodes.select("node").crossJoin(first), 0))]
-    met = weighed[0].unionByName(weighed[1]).unionByName(weighed[2]).unionByName(weighed[3]).groupBy("node", "id").agg(F.sum("w").alias("w"))
     allowed = F.coalesce((F.size("types") == 0) | F.array_contains("types", F.col("type")), F.col("types").isNull())
-    scored = met.join(known, "id").join(nodes.select("node", "types"), "node").where(allowed).withColumn("score", F.col("w") + F.col("p"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("score").desc(), "created_at", "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("node", "id", "score", "rank")
+    top = matching.top_k(
+        asked, told, known, nodes.select(F.col("node").alias("query"), "types"), k=k, order=[F.col("score").desc(), F.col("created_at"), F.col("id")], met=allowed,
+        most=max(TYPE_PRIORITIES.values()), more=nodes.select(F.col("node").alias("query")).crossJoin(first),
+    )
+    return top.select(F.col("query").alias("node"), "id", "score", "rank")
 
 
 def active_invalidations(entries: DataFrame) -> DataFrame:
@@ -162,10 +164,6 @@ def digest(entries: DataFrame, *, invalidated: int = 10, candidates: int = 5) ->
     return found.join(notes.select(F.lit(True).alias("any")), F.lit(True) == F.col("any")).drop("any")
 
 
-def _tokens(*columns: str) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.concat_ws(" ", *columns), F.lit("[A-Za-z0-9_.-]{3,}"), F.lit(0)), F.lower))
-
-
 def context_pack(nodes: DataFrame, entries: DataFrame, edges: DataFrame, *, k: int = 5, depth: int = 1, max_chars: int = 1200) -> DataFrame:
     """(node, id, depth, score, text): the k entries of each node (see relevance) and what lies within ``depth`` relations of them either way, texts cut (MEM-13).
 

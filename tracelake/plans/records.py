@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..operators import etl as E
 from ..operators import graph as G
 from ..operators import logs as L
 from ..operators import memory as M
@@ -101,6 +102,13 @@ def _pack(spark, d):
     return M.context_pack(_nodes(spark, d), _tagged(spark, d), edges).select("node", "id", "depth", "score", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def _similar(spark, d):
+    """Benchmark items look for documents; every third item only for those of a language or source."""
+    b, e = read(spark, d, "benchmark"), read(spark, d, "documents")
+    tags = F.when(F.col("item_id") % 3 == 0, F.array(F.lit("en"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))))
+    return E.similar(b.select(F.col("item_id").alias("query"), tags.alias("tags"), "text"), e.select(F.col("doc_id").alias("id"), F.array("lang", "source").alias("tags"), "text"))
+
+
 QUERIES = {
     "src6_scopes": lambda s, d: L.scope_counts(S.log_lines(s, d)),
     "src9_nodes": lambda s, d: G.nodes_of(triples(s, d)).select("node", F.array_join("types", ",").alias("types")),
@@ -121,6 +129,7 @@ QUERIES = {
     "grf17_shapeless": lambda s, d: G.shapeless(_directories(s, d)),
     "mem11_digest": lambda s, d: M.digest(S.entries(s, d)),
     "mem13_context": _pack,
+    "mem14_similar": lambda s, d: _similar(s, d).select("query", "id", F.round("score", 6).alias("score"), "rank"),
     "mem15_follow_up": lambda s, d: M.follow_up(_entries(s, d)),
     "mem16_write_back": lambda s, d: M.write_back(_results(s, d), allowed=("episode", "user-decision"), halt_on=("halt",)).select("id", "status", "reason", "halted"),
 }
@@ -135,7 +144,9 @@ _WORDS = "list_distinct(list_transform(regexp_extract_all({}, '[A-Za-z0-9_.-]{{3
 #: Every node and entry with the entry's score for it, -1 where its type is not allowed.
 _SCORES = f"""{_E}, b AS (SELECT item_id node, {_WORDS.format("text")} words, [CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'fr' END, 'src' || (item_id % 20)] tags, item_id % 5 = 0 few FROM benchmark),
  d AS (SELECT *, {_WORDS.format("concat_ws(' ', id, type, text, lang)")} words, CASE type WHEN 'user-decision' THEN 24 WHEN 'episode' THEN 20 ELSE 0 END p FROM e),
- sc AS (SELECT node, id, created_at, text, CASE WHEN few AND type NOT IN ('user-decision', 'trouble') THEN -1 ELSE p + len(list_intersect(b.words, coalesce(d.words, []))) + CASE WHEN lang IN (tags[1], tags[2]) THEN 18 ELSE 0 END + CASE WHEN source IN (tags[1], tags[2]) THEN 12 ELSE 0 END END score FROM b CROSS JOIN d),
+ hits AS (SELECT node, id, count(*) n FROM (SELECT node, unnest(words) word FROM b) JOIN (SELECT id, unnest(words) word FROM d) USING (word) GROUP BY node, id),
+ sc AS (SELECT node, id, created_at, text, CASE WHEN few AND type NOT IN ('user-decision', 'trouble') THEN -1 ELSE p + coalesce(n, 0) + CASE WHEN lang IN (tags[1], tags[2]) THEN 18 ELSE 0 END + CASE WHEN source IN (tags[1], tags[2]) THEN 12 ELSE 0 END END score
+  FROM b CROSS JOIN d LEFT JOIN hits USING (node, id)),
  top AS (SELECT node, id, CAST(score AS BIGINT) score, CAST(rank AS INTEGER) rank FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, created_at, id) rank FROM sc WHERE score >= 0) WHERE rank <= 5)"""
 ORACLE_SQL = {
     "src6_scopes": "SELECT CASE event_id % 4 WHEN 0 THEN 'memory' WHEN 1 THEN 'audit' WHEN 2 THEN 'worklog' ELSE 'intent' END AS scope, count(*) records, count(*) FILTER (event_id % 97 = 0) bad FROM events GROUP BY 1",
@@ -166,6 +177,12 @@ ORACLE_SQL = {
     "mem13_context": _SCORES + """, k AS (SELECT r.src, r.dst FROM r JOIN e ON r.dst = e.id), both_ways AS (SELECT src, dst FROM k UNION SELECT dst, src FROM k),
   p AS (SELECT node, id, 0 AS depth FROM top UNION ALL SELECT DISTINCT top.node, dst, 1 FROM top JOIN both_ways ON top.id = src WHERE NOT EXISTS (SELECT 1 FROM top q WHERE q.node = top.node AND q.id = dst))
   SELECT node, id, depth, CAST(score AS INTEGER) score, sha256(coalesce(substring(text, 1, 1200), '')) text_sha256 FROM p JOIN sc USING (node, id)""",
+    "mem14_similar": """WITH w AS (SELECT 0 side, item_id AS id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_.-]{3,}')) t FROM benchmark UNION ALL SELECT 1, doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_.-]{3,}')) FROM documents),
+ n AS (SELECT side, id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 262144 b, count(*)::DOUBLE n FROM w GROUP BY ALL), d0 AS (SELECT count(*)::DOUBLE docs FROM documents), f AS (SELECT b, count(*) df FROM n WHERE side = 1 GROUP BY b),
+ x AS (SELECT side, id, n.b, n * ln(1 + docs / coalesce(df, 1)) y FROM d0, n LEFT JOIN f ON n.b = f.b), v AS (SELECT side, id, b, y / sqrt(sum(y * y) OVER (PARTITION BY side, id)) x FROM x),
+ m AS (SELECT q.id query, e.id, sum(q.x * e.x) score FROM v q JOIN v e USING (b) WHERE q.side = 0 AND e.side = 1 GROUP BY 1, 2),
+ k AS (SELECT m.*, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, m.id) rank FROM m JOIN documents d ON m.id = d.doc_id WHERE query % 3 <> 0 OR lang = 'en' OR source = 'src' || (query % 20))
+ SELECT query, id, round(score, 6) score, CAST(rank AS INTEGER) rank FROM k WHERE rank <= 5""",
     "mem15_follow_up": f"{_E} SELECT source AS module, max(created_at) FILTER (type = 'trouble') trouble_at, max(created_at) FILTER (type = 'episode') episode_at FROM e GROUP BY 1 HAVING trouble_at IS NOT NULL AND (episode_at IS NULL OR trouble_at > episode_at)",
     "mem16_write_back": f"""{_E} SELECT id, CASE WHEN i % 5 = 0 THEN NULL WHEN type = 'episode' THEN 'proposed' ELSE 'rejected' END status,
   CASE WHEN i % 5 = 0 OR type = 'episode' THEN NULL WHEN type = 'user-decision' THEN 'a user''s decision is not recorded by an execution' ELSE 'type not allowed' END reason, i % 4 = 0 halted FROM e""",
