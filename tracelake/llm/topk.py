@@ -13,7 +13,8 @@ taken per query. Numbers are packed as narrow as they fit. A task holds one bloc
 Defined cases: a vector that is null, empty or holds null or non-finite components takes no part, nor does a null vec_id;
 only vectors of one length are compared; equal scores go to the smaller vec_id; a query has no row for itself, but rows
 that repeat its vec_id are left out with it; repeated rows are candidates each, as queries equal rows are one, while rows that share a vec_id but not a vector are queries each; with fewer than k candidates all are returned.
-Scores are exact as long as they fit 64 bits.
+Scores are exact where they fit 64 bits; those beyond are given as the nearest number of 64 bits and tie, as are components of 2**63 and more. Distances and norms are doubles, stored as floats;
+bounds have a margin for that.
 """
 
 from __future__ import annotations
@@ -51,8 +52,8 @@ def _packed(rows: DataFrame, block: str, pivots: dict[int, np.ndarray]) -> DataF
         g = g.sort_values("id", kind="stable")
         v = np.stack(g["v"].to_numpy()).astype(np.int64)
         p = pivots[int(g["dim"].iloc[0])]
-        d = np.sqrt(np.maximum(0, ((v[:, None, :] - p[None]) ** 2).sum(2) if len(v) * p.size < 4e6 else np.stack([((v - x) ** 2).sum(1) for x in p], 1)).astype(float))
-        v = v.astype(np.min_scalar_type(-int(np.abs(v).max()) - 1))
+        d = np.stack([np.sqrt(((v.astype(float) - x) ** 2).sum(1)) for x in p.astype(float)], 1)
+        v = v.astype(np.min_scalar_type(-_largest(v) - 1 if _largest(v) < 2**63 else -(2**63)))
         return pd.DataFrame({
             "dim": [int(g["dim"].iloc[0])], block: [int(g[block].iloc[0])], "ids": [g["id"].to_numpy(np.int64).tobytes()], "keys": [g["key"].to_numpy(np.int64).tobytes()],
             "width": [v.itemsize], "vs": [v.tobytes()], "ds": [d.astype(np.float32).tobytes()],
@@ -66,18 +67,23 @@ def _unpacked(ids: bytes, width: int, vs: bytes, ds: bytes, dim: int) -> tuple[n
     return i, np.frombuffer(vs, f"i{width}").astype(np.int64).reshape(-1, dim), np.frombuffer(ds, np.float32).astype(float).reshape(len(i), -1)
 
 
+def _largest(v: np.ndarray) -> int:
+    return max(int(v.max()), -int(v.min()))
+
+
 def best_of_block(q_ids, q, q_d, c_ids, c, c_d, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(number of the query, candidate, score) of the k best of each query in one block, and how many products were worked out."""
-    q_norm, c_norm = (q * q).sum(1).astype(float), (c * c).sum(1).astype(float)
-    exact = float(max(np.abs(q).max(), 1)) * float(max(np.abs(c).max(), 1)) * q.shape[1] < 2**52
-    c_f = c.astype(float) if exact else c
+    q_norm, c_norm = (q.astype(float) ** 2).sum(1), (c.astype(float) ** 2).sum(1)
+    most = float(max(_largest(q), 1)) * float(max(_largest(c), 1)) * q.shape[1]
+    kind = float if most < 2**52 else np.int64 if most < 2**62 else object  # so that products and sums are exact
+    q_w, c_w = q.astype(kind), c.astype(kind)
     out, worked = [], 0
     for i in range(len(q_ids)):
         low = np.zeros(len(c_ids))
         for p in range(c_d.shape[1]):
             np.maximum(low, np.abs(c_d[:, p] - q_d[i, p]), out=low)
         low = np.maximum(low - 1e-6 * (1 + q_d[i].max()) - 1e-6 * low, 0)  # for the rounding of roots and of the stored distances
-        bound = (q_norm[i] + c_norm - low * low) / 2 + 1e-6 * (1 + q_norm[i])
+        bound = (q_norm[i] + c_norm - low * low) / 2 + 1e-6 * (1 + q_norm[i]) + 1e-12 * c_norm
         order = np.argsort(-bound, kind="stable")
         ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
         for s in range(0, len(order), STEP):
@@ -86,7 +92,8 @@ def best_of_block(q_ids, q, q_d, c_ids, c, c_d, k: int) -> tuple[np.ndarray, np.
             at = order[s : s + STEP]
             at = at[c_ids[at] != q_ids[i]]
             worked += len(at)
-            got = (c_f[at] @ (q[i].astype(float) if exact else q[i])).astype(np.int64)
+            got = c_w[at] @ q_w[i]
+            got = np.array([min(max(x, 1 - 2**63), 2**63 - 1) for x in got], np.int64) if kind is object else got.astype(np.int64)
             ids, scores = np.concatenate([ids, c_ids[at]]), np.concatenate([scores, got])
             keep = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[keep], scores[keep]
