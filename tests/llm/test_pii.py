@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,18 @@ def test_urls(text, want):
     assert [text[s:e] for k, s, e in pii.spans_of(text, pii.automaton()) if k == "url"] == want
 
 
+@pytest.mark.parametrize("unit", ["http://", "https://a", "AKIA", "AKIA0", "a@", "+1", "1.", "1 ", "key=", "x-", "a.b@c"])
+def test_long_runs_take_linear_time(unit):
+    def took(n):
+        began = time.process_time()
+        pii.spans_of(unit * n, own)
+        return time.process_time() - began
+
+    own = pii.automaton()
+    took(1000)
+    assert took(40_000) < 0.2 + 25 * min(took(4000) for _ in range(3))
+
+
 def test_many_cues_take_linear_time():
     text = "key=" * 50_000 + " token" * 20_000 + '="' * 20_000
     assert pii.spans_of(text, pii.automaton()) is not None

@@ -122,15 +122,16 @@ def _phone(text, at, least):
 
 
 def _url(text, at, least):
+    if at < least:  # part of the one before; asked first, so that a text is read once
+        return None
     end = at
     while end < len(text) and text[end] not in URL_END:
         end += 1
-    return (at, end, True) if at >= least and end > text.index("://", at) + 3 else None
+    return (at, end, True) if end > text.index("://", at) + 3 else None
 
 
 def _key(text, at, least):
-    end = _run(text, at + 4, KEY)
-    return (at, at + 20, True) if at >= least and end >= at + 20 else None
+    return (at, at + 20, True) if at >= least and _skip(text, at + 4, KEY, 16) == at + 20 else None
 
 
 def _skip(text: str, at: int, allowed: frozenset, most: int = 64) -> int:
