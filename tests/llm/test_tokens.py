@@ -56,7 +56,7 @@ def test_kept_counts_are_bounded(counter, monkeypatch):
 
 
 def test_query(spark, counter, tmp_path):
-    rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (4, "a b"), (4, "c"), (None, "x y z"), (5, "One two, three.\n" * 4000), (6, "z" * 40_000), (7, "<|endoftext|>")]
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (4, "a b"), (4, "c"), (None, "x y z"), (5, "One two, three.\n" * 9000), (6, "z" * 40_000), (7, "<|endoftext|>")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = [(i, len((t or "").encode()), n := whole(counter, t or ""), n > 1024) for i, t in rows]
     assert sorted(map(tuple, tokens.op12_token_counts(spark, str(tmp_path)).collect()), key=repr) == sorted(want, key=repr)

@@ -36,7 +36,7 @@ from .common import read
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
-CHUNK, OVERLAP, MARGIN = 16_384, 256, 32
+CHUNK, OVERLAP, MARGIN = 32_768, 256, 32
 KEPT = 300_000
 #: White space, or what some tables take for it, outside the six ASCII blanks: ranges of code points.
 ODD = [(0x1C, 0x1F), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x206F), (0x3000, 0x3000), (0xFEFF, 0xFEFF)]
