@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import same
-from tracelake.operators import etl
+from tracelake.operators import artifacts, etl
 from tracelake.plans import etl as plan
 
 SF = "/root/testdata/sf0.01"
@@ -42,7 +42,7 @@ def test_versions_and_tree(spark):
 
 def test_roles_and_execution_edges(spark):
     r = spark.createDataFrame([("input-output",), ("Staging",), ("read",), ("other",)], "role string")
-    p, c = etl.role_of(F.col("role"))
+    p, c = artifacts.role_of(F.col("role"))[:2]
     assert [tuple(x) for x in r.select(p, c).collect()] == [(True, True), (True, True), (False, True), (False, False)]
     nodes = spark.createDataFrame([("p", None), ("a", "p"), ("b", "p"), ("c", "p")], "node string, phase string")
     edges, warnings = etl.execution_edges(nodes, spark.createDataFrame([("c", "a"), ("c", "gone")], "node string, on_node string"), spark.createDataFrame([("b", "a"), ("b", "lost")], "node string, goto string"))

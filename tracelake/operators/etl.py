@@ -166,13 +166,6 @@ def resolve_locators(queries: DataFrame, registry: DataFrame) -> DataFrame:
     return out.select("data_type", "locator", ident.alias("id"), step.alias("step"))
 
 
-def role_of(role: Column) -> tuple[Column, Column]:
-    """(produces, consumes) of a role (FN-9)."""
-    r = F.replace(F.lower(role), F.lit("-"), F.lit("_"))
-    produces = F.contains(r, F.lit("output")) | r.isin("staging", "generated", "write")
-    return produces, F.contains(r, F.lit("input")) | F.contains(r, F.lit("reference")) | F.contains(r, F.lit("instruction")) | r.isin("staging", "read")
-
-
 def execution_edges(nodes: DataFrame, depends: DataFrame, branches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges (src, dst, kind), warnings (node, goto)) of nodes (node, phase), depends (node, on_node), branches (node, goto) (GRF-22).
 
