@@ -23,14 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
-def stored(df: DataFrame, **options) -> DataFrame:
+def stored(df: DataFrame, *, partition_by: str | None = None, **options) -> DataFrame:
     """Write df as a table in the shared folder and read it back: its lineage ends here. It goes with ``discard`` or with the session. ``options`` are the writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.options(**options).parquet(path)
+        df.write.options(**options).parquet(path, partitionBy=partition_by)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
