@@ -216,8 +216,15 @@ def typed_entries(entries: DataFrame) -> DataFrame:
 
 
 def sorted_json(values: Column) -> Column:
-    """A map as JSON with its keys in order (FN-15)."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(values))))
+    """A map, struct or array as JSON with the keys of every depth in order (FN-15). A VARIANT keeps its keys so; null fields of a struct are left out."""
+    return F.to_json(F.parse_json(F.to_json(values)))
+
+
+def legacy_inputs(documents: DataFrame) -> DataFrame:
+    """(path, message) of JSON documents in ``value`` that still carry phases: a list of them, or a map by name (FLT-13)."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), "$.phases", "variant"))
+    how = F.when(F.startswith(kind, F.lit("ARRAY")), "list of phases").when(F.startswith(kind, F.lit("OBJECT")) & (kind != "OBJECT<>"), "named phases")
+    return documents.select("path", F.concat(F.lit("legacy "), how, F.lit(": move them to workflows")).alias("message")).where("message IS NOT NULL")
 
 
 def similar(queries: DataFrame, entries: DataFrame, *, k: int = 5, dimensions: int = 1 << 18) -> DataFrame:

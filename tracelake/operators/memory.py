@@ -83,6 +83,48 @@ def traverse(edges: DataFrame, roots: DataFrame, *, depth: int = 2, direction: s
     return seen
 
 
+#: How the ids of a type begin.
+PREFIXES = {"issue-note": "IN", "agent-decision": "AD", "user-decision": "UD", "alternatives-record": "AR", "trouble-shooting": "TS", "release-note": "RN", "episode": "EP", "pattern": "PT", "principle": "PR", "auditlog": "AU", "worklog": "WL"}
+#: The names of relations. As predicates they are written in camel case.
+RELATIONS = ("raised", "followed-by", "resolved-by", "caused-by", "released-in", "verified-in", "invalidated-by", "rolls-back", "analyzed-in", "shows-pattern", "generalized-in", "crystallized-in", "references", "supersedes", "refines", "depends-on")
+
+
+def camel(name: Column) -> Column:
+    """followed-by as followedBy (FN-11)."""
+    words = F.initcap(F.regexp_replace(name, "[-_ ]+", " "))
+    joined = F.replace(words, F.lit(" "), F.lit(""))
+    return F.concat(F.lower(F.substring(joined, 1, 1)), F.substring(joined, 2, 1 << 30))
+
+
+def all_triples(entries: DataFrame, *, types: tuple[str, ...] = tuple(PREFIXES), kinds: tuple[str, ...] = RELATIONS) -> DataFrame:
+    """(s, p, o) of entries in full: class, id, known type, texts, tags, metadata as a whole, by key and by value, relations by predicate (MEM-4).
+
+    Targets of references that are no entries become external references with their value. Read are id, type, relations and, where there, title, text, created_at, source_path, author, tags and metadata.
+    Each triple once.
+    """
+    e = entries.where("id <> ''")
+    has = set(entries.columns)
+    one = lambda p, o: F.struct(F.lit(p).alias("p"), o.cast("string").alias("o"))
+    text = [one(p, F.nullif(F.col(c), F.lit(""))) for c, p in (("title", "title"), ("text", "text"), ("created_at", "createdAt"), ("source_path", "sourcePath"), ("author", "author")) if c in has]
+    known_type = F.when(F.col("type").isin(*types), F.col("type"))
+    rows = [F.array(one("type", F.lit("Entry")), one("entryId", F.col("id")), one("typeName", known_type), *text)]
+    if "tags" in has:
+        rows.append(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: one("tag", t)))
+    if "metadata" in has:
+        m = F.col("metadata")
+        rows.append(F.when(m.isNotNull(), F.array(one("metadata", F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))))).otherwise(F.array().cast("array<struct<p:string,o:string>>")))
+        keys = F.coalesce(F.map_entries(m), F.array().cast("array<struct<key:string,value:string>>"))
+        rows += [F.transform(keys, lambda x: one("metadataKey", x["key"])), F.transform(keys, lambda x: F.struct(F.concat(F.lit("meta/"), x["key"]).alias("p"), x["value"].alias("o")))]
+    own = e.select(F.col("id").alias("s"), F.explode(F.concat(*rows)).alias("x")).select("s", "x.*").where("o IS NOT NULL")
+    rel = relations(e).where(F.col("kind").isin(*kinds) & (F.col("dst") != ""))
+    met = rel.join(e.select(F.col("id").alias("dst"), F.lit(True).alias("known")).distinct(), "dst", "left")
+    outside = F.col("known").isNull() & (F.col("kind") == "references")
+    target = F.when(outside, F.concat(F.lit("external:"), "dst")).otherwise(F.col("dst"))
+    links = met.select(F.col("src").alias("s"), camel(F.col("kind")).alias("p"), target.alias("o"))
+    away = met.where(outside).select(target.alias("s"), F.explode(F.array(one("type", F.lit("ExternalReference")), one("externalValue", F.col("dst")))).alias("x")).select("s", "x.*")
+    return own.unionByName(links).unionByName(away).distinct()
+
+
 def triples(entries: DataFrame) -> DataFrame:
     """(s, p, o) of scalar fields and relations; unknown targets of references become external (MEM-4)."""
     known = entries.select(F.col("id").alias("dst"), F.lit(True).alias("known"))
@@ -94,14 +136,19 @@ def triples(entries: DataFrame) -> DataFrame:
     return out
 
 
-def validate(entries: DataFrame, *, types: tuple[str, ...] = ("release-note", "trouble", "user-decision", "episode"), kinds: tuple[str, ...] = ("references", "verified-in", "invalidated-by", "rolls-back", "resolved-by")) -> DataFrame:
-    """(id, issue): missing fields, unknown types and relations, and ids seen before (MEM-1)."""
+def validate(entries: DataFrame, *, prefixes: dict[str, str] | None = None, types: tuple[str, ...] = ("release-note", "trouble", "user-decision", "episode"), kinds: tuple[str, ...] = ("references", "verified-in", "invalidated-by", "rolls-back", "resolved-by")) -> DataFrame:
+    """(id, issue): missing fields, unknown types and relations, ids seen before and, with ``prefixes``, ids that don't begin as their type's do; of a line that is no entry (``bad``, see
+    logs.scan_entries) the parse error alone (MEM-1)."""
     rules: list[Column] = [F.when(F.col(c).isNull() | (F.trim(c) == ""), F.lit(f"missing {c}")) for c in ("id", "type", "created_at", "text")]
     rules.append(F.when(~F.col("type").isin(*types), F.concat(F.lit("unknown type "), "type")))
     rules.append(F.when(F.exists("relations", lambda r: ~r["type"].isin(*kinds)), F.lit("unknown relation")))
     rules.append(F.when(F.exists("relations", lambda r: r["target"].isNull()), F.lit("relation without target")))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("created_at"))
-    rules.append(F.when(F.col("_n") > 1, F.lit("duplicate id")))
+    rules.append(F.when(F.col("id").isNotNull() & (F.col("_n") > 1), F.lit("duplicate id")))
+    for kind, prefix in (prefixes or {}).items():
+        rules.append(F.when((F.col("type") == kind) & (F.col("id") != "") & ~F.startswith("id", F.lit(prefix)), F.lit(f"id is not {prefix} of {kind}")))
+    if "bad" in entries.columns:
+        rules = [F.when(F.col("bad").isNull(), r) for r in rules] + [F.when(F.col("bad").isNotNull(), F.concat(F.lit("parse error: "), F.substring("bad", 1, 80)))]
     return entries.withColumn("_n", rank).select("id", F.explode(F.array_compact(F.array(*rules))).alias("issue"))
 
 

@@ -54,8 +54,8 @@ ORACLE_SQL = {
     "grf23_nodes": f"""WITH t AS (SELECT DISTINCT * FROM ({TRIPLES_SQL})), v AS (SELECT s, p, min(o) o FROM t GROUP BY s, p),
  k AS (SELECT s, list_max(list(CASE o WHEN 'Phase' THEN 1 WHEN 'Step' THEN 2 WHEN 'Decision' THEN 3 WHEN 'Validation' THEN 4 WHEN 'Group' THEN 5 END)) r FROM t WHERE p = 'type' AND o IN ('Phase', 'Step', 'Decision', 'Validation', 'Group') GROUP BY s),
  n AS (SELECT s AS uri, {_ID("s")} id, ['phase', 'step', 'decision', 'validation', 'group'][r] AS type, {", ".join(f"(SELECT o FROM v WHERE v.s = k.s AND p = '{c}') {c}_" for c in ("label", "status", "instruction", "judge", "harness"))} FROM k),
- b AS (SELECT h.s, string_agg(br, ';' ORDER BY br) branches FROM (SELECT DISTINCT h.s, h.o, w.o || '>' || coalesce((SELECT {_ID("o")} FROM v WHERE v.s = h.o AND p = 'goto'), '') || '>' || coalesce((SELECT o FROM v WHERE v.s = h.o AND p = 'label'), w.o) br
-  FROM t h JOIN v w ON w.s = h.o AND w.p = 'on' AND w.o <> '' WHERE h.p = 'hasBranch') h GROUP BY h.s),
+ b AS (SELECT s, string_agg(concat_ws('>', c, g, l), ';' ORDER BY c, g, l) branches FROM (SELECT DISTINCT h.s, h.o, w.o c, coalesce((SELECT {_ID("o")} FROM v WHERE v.s = h.o AND p = 'goto'), '') g, coalesce((SELECT o FROM v WHERE v.s = h.o AND p = 'label'), w.o) l
+  FROM t h JOIN v w ON w.s = h.o AND w.p = 'on' AND w.o <> '' WHERE h.p = 'hasBranch') h GROUP BY s),
  ph AS (SELECT o AS s, max({_ID("s")}) phase_id FROM t WHERE p = 'hasNode' GROUP BY o), pc AS (SELECT s, string_agg(o, ';' ORDER BY o) c FROM t WHERE p = 'passCriteria' GROUP BY s)
  SELECT uri, id, type, coalesce(nullif(label_, ''), id) AS label, status_ status, CASE WHEN type <> 'phase' THEN instruction_ END instruction, judge_ judge, harness_ harness, coalesce(c, '') pass_criteria,
   CASE WHEN type = 'decision' THEN CASE judge_ WHEN 'model' THEN 'cloud' WHEN 'human' THEN 'desk' ELSE 'local-ollama' END ELSE CASE type WHEN 'phase' THEN 'planner' WHEN 'step' THEN 'runner' WHEN 'validation' THEN 'checker' ELSE 'local-ollama' END END provider,

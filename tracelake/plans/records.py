@@ -109,6 +109,24 @@ def _similar(spark, d):
     return E.similar(b.select(F.col("item_id").alias("query"), tags.alias("tags"), "text"), e.select(F.col("doc_id").alias("id"), F.array("lang", "source").alias("tags"), "text"))
 
 
+def _full(spark, d):
+    """Entries with ids by type, most of them as they should be, tags and metadata."""
+    e = S.entries(spark, d)
+    i = F.substring("id", 3, 20).cast("bigint")
+    kind = F.when(F.col("type") == "trouble", "trouble-shooting").otherwise(F.col("type"))
+    prefix = F.when(i % 13 == 5, "XX-").when(kind == "release-note", "RN-").when(kind == "trouble-shooting", "TS-").when(kind == "user-decision", "UD-").otherwise("EP-")
+    meta = F.map_from_arrays(F.array(F.lit("z"), F.lit("a")), F.array(F.col("source"), i.cast("string")))
+    rel = F.transform("relations", lambda r: F.struct(r["type"].alias("type"), F.when(r["type"] == "references", F.concat(F.lit("doc-"), r["target"])).otherwise(r["target"]).alias("target")))
+    return e.select(F.concat(prefix, i).alias("id"), kind.alias("type"), "created_at", "text", F.when(i % 3 > 0, F.array("lang", "source")).alias("tags"), F.when(i % 4 == 0, meta).alias("metadata"), rel.alias("relations"))
+
+
+def _documents(spark, d):
+    o = read(spark, d, "orders")
+    k = F.col("o_orderkey")
+    value = F.when(k % 5 == 0, F.concat(F.lit('{"phases": ['), k, F.lit("]}"))).when(k % 5 == 1, '{"phases": {"one": {"id": 1}}}').when(k % 5 == 2, '{"phases": {}, "workflows": []}').when(k % 5 == 3, '{"workflows": [{"phases": []}]}').otherwise("no { json")
+    return o.select(F.concat(F.lit("doc/"), k).alias("path"), value.alias("value"))
+
+
 QUERIES = {
     "src6_scopes": lambda s, d: L.scope_counts(S.log_lines(s, d)),
     "src9_nodes": lambda s, d: G.nodes_of(triples(s, d)).select("node", F.array_join("types", ",").alias("types")),
@@ -129,6 +147,11 @@ QUERIES = {
     "grf17_shapeless": lambda s, d: G.shapeless(_directories(s, d)),
     "mem11_digest": lambda s, d: M.digest(S.entries(s, d)),
     "mem13_context": _pack,
+    "mem1_prefixes": lambda s, d: M.validate(_full(s, d), prefixes=M.PREFIXES, types=tuple(M.PREFIXES), kinds=M.RELATIONS).where("issue LIKE 'id is not%'"),
+    "mem4_full": lambda s, d: M.all_triples(_full(s, d)).groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"), F.max(F.substring("o", 1, 40)).alias("greatest")),
+    "mem4_full_rows": lambda s, d: M.all_triples(_full(s, d)).where("p <> 'text'"),
+    "flt13_legacy": lambda s, d: E.legacy_inputs(_documents(s, d)),
+    "fn15_json": lambda s, d: read(s, d, "orders").select("o_orderkey", E.sorted_json(F.struct(F.col("o_orderkey").alias("z"), F.array(F.struct(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("b"), F.struct(F.lit(1).alias("y"), F.lit("x").alias("c")).alias("d"))).alias("a"))).alias("json")),
     "mem14_similar": lambda s, d: _similar(s, d).select("query", "id", F.round("score", 6).alias("score"), "rank"),
     "mem15_follow_up": lambda s, d: M.follow_up(_entries(s, d)),
     "mem16_write_back": lambda s, d: M.write_back(_results(s, d), allowed=("episode", "user-decision"), halt_on=("halt",)).select("id", "status", "reason", "halted"),
@@ -148,6 +171,13 @@ _SCORES = f"""{_E}, b AS (SELECT item_id node, {_WORDS.format("text")} words, [C
  sc AS (SELECT node, id, created_at, text, CASE WHEN few AND type NOT IN ('user-decision', 'trouble') THEN -1 ELSE p + coalesce(n, 0) + CASE WHEN lang IN (tags[1], tags[2]) THEN 18 ELSE 0 END + CASE WHEN source IN (tags[1], tags[2]) THEN 12 ELSE 0 END END score
   FROM b CROSS JOIN d LEFT JOIN hits USING (node, id)),
  top AS (SELECT node, id, CAST(score AS BIGINT) score, CAST(rank AS INTEGER) rank FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, created_at, id) rank FROM sc WHERE score >= 0) WHERE rank <= 5)"""
+_CAMEL = "CASE kind WHEN 'references' THEN kind WHEN 'invalidated-by' THEN 'invalidatedBy' WHEN 'verified-in' THEN 'verifiedIn' WHEN 'rolls-back' THEN 'rollsBack' WHEN 'resolved-by' THEN 'resolvedBy' END"
+_FULL = f"""WITH a AS ({S.ENTRIES_SQL}), e AS (SELECT CASE WHEN i % 13 = 5 THEN 'XX-' WHEN type = 'release-note' THEN 'RN-' WHEN type = 'trouble' THEN 'TS-' WHEN type = 'user-decision' THEN 'UD-' ELSE 'EP-' END || i AS id, CASE type WHEN 'trouble' THEN 'trouble-shooting' ELSE type END AS type, i, created_at, text, lang, source FROM a),
+ r AS (SELECT e.id src, kind, CASE kind WHEN 'references' THEN 'doc-' || dst ELSE dst END AS dst FROM ({S.RELATIONS_SQL}) x JOIN e ON x.src = 'E-' || e.i),
+ t AS (SELECT DISTINCT s, p, o FROM (SELECT id AS s, 'type' AS p, 'Entry' AS o FROM e UNION ALL SELECT id, 'entryId', id FROM e UNION ALL SELECT id, 'typeName', type FROM e UNION ALL SELECT id, 'createdAt', created_at FROM e UNION ALL SELECT id, 'text', text FROM e WHERE text <> ''
+  UNION ALL SELECT id, 'tag', lang FROM e WHERE i % 3 > 0 UNION ALL SELECT id, 'tag', source FROM e WHERE i % 3 > 0 UNION ALL SELECT id, 'metadata', '{{"a":"' || i || '"' || coalesce(',"z":"' || source || '"', '') || '}}' FROM e WHERE i % 4 = 0
+  UNION ALL SELECT id, 'metadataKey', unnest(['a', 'z']) FROM e WHERE i % 4 = 0 UNION ALL SELECT id, 'meta/a', CAST(i AS VARCHAR) FROM e WHERE i % 4 = 0 UNION ALL SELECT id, 'meta/z', source FROM e WHERE i % 4 = 0
+  UNION ALL SELECT src, {_CAMEL}, CASE WHEN kind = 'references' THEN 'external:' || dst ELSE dst END FROM r UNION ALL SELECT 'external:' || dst, 'type', 'ExternalReference' FROM r WHERE kind = 'references' UNION ALL SELECT 'external:' || dst, 'externalValue', dst FROM r WHERE kind = 'references') WHERE o IS NOT NULL)"""
 ORACLE_SQL = {
     "src6_scopes": "SELECT CASE event_id % 4 WHEN 0 THEN 'memory' WHEN 1 THEN 'audit' WHEN 2 THEN 'worklog' ELSE 'intent' END AS scope, count(*) records, count(*) FILTER (event_id % 97 = 0) bad FROM events GROUP BY 1",
     "src9_nodes": _T + " SELECT node, types FROM n",
@@ -177,6 +207,11 @@ ORACLE_SQL = {
     "mem13_context": _SCORES + """, k AS (SELECT r.src, r.dst FROM r JOIN e ON r.dst = e.id), both_ways AS (SELECT src, dst FROM k UNION SELECT dst, src FROM k),
   p AS (SELECT node, id, 0 AS depth FROM top UNION ALL SELECT DISTINCT top.node, dst, 1 FROM top JOIN both_ways ON top.id = src WHERE NOT EXISTS (SELECT 1 FROM top q WHERE q.node = top.node AND q.id = dst))
   SELECT node, id, depth, CAST(score AS INTEGER) score, sha256(coalesce(substring(text, 1, 1200), '')) text_sha256 FROM p JOIN sc USING (node, id)""",
+    "mem1_prefixes": _FULL + " SELECT id, 'id is not ' || CASE type WHEN 'release-note' THEN 'RN' WHEN 'trouble-shooting' THEN 'TS' WHEN 'user-decision' THEN 'UD' ELSE 'EP' END || ' of ' || type AS issue FROM e WHERE i % 13 = 5",
+    "mem4_full": _FULL + " SELECT p, count(*) n, count(DISTINCT s) subjects, max(substring(o, 1, 40)) greatest FROM t GROUP BY p",
+    "mem4_full_rows": _FULL + " SELECT * FROM t WHERE p <> 'text'",
+    "flt13_legacy": "SELECT 'doc/' || o_orderkey path, 'legacy ' || CASE o_orderkey % 5 WHEN 0 THEN 'list of phases' ELSE 'named phases' END || ': move them to workflows' message FROM orders WHERE o_orderkey % 5 < 2",
+    "fn15_json": """SELECT o_orderkey, '{"a":[{"b":"' || o_orderstatus || '","d":{"c":"x","y":1},"k":' || o_custkey || '}],"z":' || o_orderkey || '}' AS json FROM orders""",
     "mem14_similar": """WITH w AS (SELECT 0 side, item_id AS id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_.-]{3,}')) t FROM benchmark UNION ALL SELECT 1, doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_.-]{3,}')) FROM documents),
  n AS (SELECT side, id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 262144 b, count(*)::DOUBLE n FROM w GROUP BY ALL), d0 AS (SELECT count(*)::DOUBLE docs FROM documents), f AS (SELECT b, count(*) df FROM n WHERE side = 1 GROUP BY b),
  x AS (SELECT side, id, n.b, n * ln(1 + docs / coalesce(df, 1)) y FROM d0, n LEFT JOIN f ON n.b = f.b), v AS (SELECT side, id, b, y / sqrt(sum(y * y) OVER (PARTITION BY side, id)) x FROM x),
