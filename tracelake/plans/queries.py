@@ -11,7 +11,7 @@ from ..operators import logs as L
 from ..operators import memory as M
 from ..operators import rules as R
 from ..operators import turns as T
-from . import artifacts, etl, grounding, nodes, paths, records, workflows
+from . import artifacts, documents, etl, grounding, nodes, paths, records, workflows
 
 W = f"TIMESTAMP '{S.AS_OF}' - INTERVAL 7 DAYS"
 _T = f"WITH turns AS ({S.TURNS_SQL})"
@@ -190,6 +190,6 @@ ORACLE_SQL = {
     "fn12_tokens": "SELECT item_id, CAST(len(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9_.-]{3,}'), lambda x: lower(x)))) AS INTEGER) n FROM benchmark",
 }
 ORACLE_SQL["top1_top_counters"] = f"SELECT * FROM ({ORACLE_SQL['agg10_counters']}) ORDER BY cnt DESC, scope, dim, value LIMIT 10"
-QUERIES |= workflows.QUERIES | grounding.QUERIES | records.QUERIES | etl.QUERIES | artifacts.QUERIES | paths.QUERIES | nodes.QUERIES
-ORACLE_SQL |= workflows.ORACLE_SQL | grounding.ORACLE_SQL | records.ORACLE_SQL | etl.ORACLE_SQL | artifacts.ORACLE_SQL | paths.ORACLE_SQL | nodes.ORACLE_SQL
+QUERIES |= workflows.QUERIES | grounding.QUERIES | records.QUERIES | etl.QUERIES | artifacts.QUERIES | paths.QUERIES | nodes.QUERIES | documents.QUERIES
+ORACLE_SQL |= workflows.ORACLE_SQL | grounding.ORACLE_SQL | records.ORACLE_SQL | etl.ORACLE_SQL | artifacts.ORACLE_SQL | paths.ORACLE_SQL | nodes.ORACLE_SQL | documents.ORACLE_SQL
 ORACLE_SQL["grf7_repository_trust"] = f"{_ST} SELECT round(avg(round(trust, 6)), 4) trust, count(*) measured FROM ({_OWN}) WHERE id NOT LIKE '%3'"
