@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import etl as E
 from ..operators import graph as G
 from ..operators import rules as R
+from ..operators import views as V
 from ..schemas import CONTROL_SQL, control, read
 
 #: SQL that Spark and DuckDB both run: every line item is an edge of a kind by its number; a node's class goes by its number.
@@ -44,6 +45,23 @@ def documents(spark, d):
     return w.select(F.to_json(doc).alias("value"))
 
 
+def _rails(spark, d):
+    """Rails, streams, membership and artifacts of the edges."""
+    e, c = edges(spark, d), classes(spark, d)
+    of = lambda kind: e.where(F.col("class") == kind).select("src", "kind", "dst")
+    return of("Rail"), of("Stream"), c.select("workflow", "node"), c.where("class = 'Artifact'").select(F.col("node").alias("id"))
+
+
+def _control(spark, d):
+    rails, _, members, artifacts = _rails(spark, d)
+    return V.view_counts(V.control_view(rails, members, artifacts))
+
+
+def _combined(spark, d):
+    rails, streams, members, _ = _rails(spark, d)
+    return V.view_counts(V.combined_view(rails, streams, members), members)
+
+
 def _older(spark, d):
     """The edges in the older model: no starts, ends or artifacts, so that nothing is left out."""
     plain = classes(spark, d).select("node", F.lit("Task").alias("class"), "subject")
@@ -53,7 +71,7 @@ def _older(spark, d):
 def _tree(spark, d):
     """An order's customer refers to that of the next order; nations are the roots; some customers are not there."""
     o, c = read(spark, d, "orders"), read(spark, d, "customer")
-    refs = o.select((F.col("o_custkey") % 300).alias("doc"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 320).alias("sub")).where("sub % 40 = 1").distinct()
+    refs = o.select((F.col("o_custkey") % 300).alias("doc"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 320).alias("sub")).distinct()
     known = c.select(F.col("c_custkey").alias("doc")).where("doc < 310").unionByName(c.select((F.col("c_custkey") * 0).alias("doc")).distinct())
     return E.resolve_tree(read(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("doc")), refs, known)
 
@@ -143,6 +161,8 @@ QUERIES = {
     "etl4_branches": lambda s, d: E.downgrade(edges(s, d), classes(s, d)).where("s LIKE 'branch/%'").groupBy("p", "o").agg(F.count("*").alias("n")),
     "etl5_documents": lambda s, d: _tree(s, d)[0].withColumn("depth", F.col("depth").cast("int")),
     "etl5_issues": lambda s, d: _tree(s, d)[1],
+    "grf8_control_view": _control,
+    "grf8_combined_view": _combined,
     "etl6_drift": _drift,
     "join6_locators": _locators,
     "con8_evaluation": _evaluation,
@@ -151,7 +171,7 @@ QUERIES = {
 
 _C = f"WITH e AS ({EDGES_SQL}), k AS ({CLASSES_SQL})"
 _D = """WITH c AS (SELECT conv_id, turn, role, CASE WHEN conv_id % 2 = 0 THEN 'm' || conv_id ELSE 'w' || conv_id END scope FROM conversations)"""
-_TREE = """WITH RECURSIVE refs AS (SELECT DISTINCT o_custkey % 300 doc, (o_custkey * 7 + o_orderkey) % 320 sub FROM orders WHERE (o_custkey * 7 + o_orderkey) % 320 % 40 = 1),
+_TREE = """WITH RECURSIVE refs AS (SELECT DISTINCT o_custkey % 300 doc, (o_custkey * 7 + o_orderkey) % 320 sub FROM orders),
  known AS (SELECT c_custkey doc FROM customer WHERE c_custkey < 310 UNION SELECT 0),
  walk(root, doc, depth) AS (SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey AS BIGINT), 0 FROM nation UNION SELECT root, sub, depth + 1 FROM walk JOIN refs USING (doc) WHERE depth < 3 AND sub IN (SELECT doc FROM known)),
  docs AS (SELECT root, doc, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY 1, 2)"""
@@ -183,6 +203,14 @@ ORACLE_SQL = {
     "etl4_branches": _C + """, x AS (SELECT e.*, b.class b FROM e JOIN k a ON src = a.node JOIN k b ON dst = b.node WHERE kind = 'default' AND on_case IS NOT NULL AND a.class <> 'Start')
   SELECT p, o, count(*) n FROM (SELECT 'type' p, 'Branch' o FROM x UNION ALL SELECT 'on', on_case FROM x UNION ALL SELECT 'criteria', criteria FROM x WHERE criteria IS NOT NULL UNION ALL SELECT 'gotoNode', dst FROM x WHERE b <> 'End' UNION ALL SELECT 'goto', split_part(dst, '/', 2) FROM x WHERE b <> 'End') GROUP BY 1, 2""",
     "etl5_documents": _TREE + " SELECT * FROM docs",
+    "grf8_control_view": f"""WITH e AS ({EDGES_SQL}), c AS ({CLASSES_SQL}), v AS (SELECT DISTINCT workflow, src, kind, dst FROM e JOIN c ON src = node OR dst = node WHERE e.class = 'Rail'
+  AND src NOT IN (SELECT node FROM c WHERE class = 'Artifact') AND dst NOT IN (SELECT node FROM c WHERE class = 'Artifact')), x AS (SELECT workflow, src AS node FROM v UNION SELECT workflow, dst FROM v)
+  SELECT workflow, count(*) nodes, (SELECT count(*) FROM v WHERE v.workflow = x.workflow) edges FROM x GROUP BY workflow""",
+    "grf8_combined_view": f"""WITH e AS ({EDGES_SQL}), c AS ({CLASSES_SQL}), r AS (SELECT DISTINCT workflow, src, kind, dst FROM e JOIN c ON src = node OR dst = node WHERE e.class = 'Rail'),
+ t AS (SELECT DISTINCT workflow, src, dst FROM e JOIN c ON src = node OR dst = node WHERE e.class = 'Stream'), k AS (SELECT workflow, node FROM c UNION SELECT workflow, src FROM t UNION SELECT workflow, dst FROM t),
+ v AS (SELECT * FROM r UNION SELECT k.workflow, src, kind, dst FROM e JOIN k ON src = k.node WHERE e.class = 'Stream' UNION SELECT k.workflow, src, kind, dst FROM e JOIN k ON dst = k.node WHERE e.class = 'Stream'),
+ x AS (SELECT workflow, src AS node FROM v UNION SELECT workflow, dst FROM v UNION SELECT workflow, node FROM c), m AS (SELECT workflow, count(*) edges FROM v GROUP BY 1)
+  SELECT workflow, count(*) nodes, any_value(coalesce(edges, 0)) edges FROM x LEFT JOIN m USING (workflow) GROUP BY workflow""",
     "etl6_drift": "SELECT p_partkey, CASE WHEN p_size = 7 THEN 'missing' ELSE 'changed' END state FROM part WHERE p_size IN (7, 9) UNION ALL SELECT p_partkey + 1000000, 'extra' FROM part WHERE p_size = 3",
     "join6_locators": """WITH g AS (SELECT 'S' || s_suppkey AS id, 'root/m' || s_nationkey || CASE WHEN s_suppkey % 2 = 0 THEN '/d' || (s_suppkey % 5) ELSE '' END || '/' AS r FROM supplier),
   q AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN 'root/m' || (p_partkey % 25) WHEN 1 THEN 'root/m' || (p_partkey % 25) || '/d' || (p_partkey % 5) || '/x/y' || (p_partkey % 9) WHEN 2 THEN 'd' || (p_partkey % 9) || '/' ELSE 'other' || (p_partkey % 7) END locator,

@@ -120,6 +120,15 @@ def _full(spark, d):
     return e.select(F.concat(prefix, i).alias("id"), kind.alias("type"), "created_at", "text", F.when(i % 3 > 0, F.array("lang", "source")).alias("tags"), F.when(i % 4 == 0, meta).alias("metadata"), rel.alias("relations"))
 
 
+#: Evidence among 200 parts, several steps deep and with cycles. SQL that Spark and DuckDB both run.
+DEEP_SQL = "SELECT 'part/' || (l_partkey % 200) AS src, 'part/' || ((l_partkey * 7 + l_suppkey * 3) % 200) AS dst FROM lineitem WHERE l_partkey % 4 > 0"
+
+
+def _rounds(spark, d):
+    edges = spark.sql(DEEP_SQL.replace("FROM lineitem", "FROM {li}"), li=read(spark, d, "lineitem"))
+    return G.propagate(G.own_trust(S.artifacts(spark, d)), edges).select("id", F.round("trust", 6).alias("trust"))
+
+
 def _documents(spark, d):
     o = read(spark, d, "orders")
     k = F.col("o_orderkey")
@@ -135,7 +144,7 @@ QUERIES = {
     "flt9_classes": lambda s, d: G.of_classes(G.nodes_of(triples(s, d)), "Directory", "Resource").select("node"),
     "flt10_scopes": lambda s, d: read(s, d, "lineitem").select(F.concat(F.lit("wf#node/"), "l_returnflag", F.lit("/"), "l_orderkey").alias("n")).select(G.scope_of(F.col("n")).alias("scope"), G.display_id(F.col("n")).alias("name")).groupBy("scope").agg(F.countDistinct("name").alias("names")),
     "flt12_refs": lambda s, d: G.legacy_refs(triples(s, d)),
-    "fn17_labels": lambda s, d: G.label_of(triples(s, d)).where("node NOT LIKE 'edge/%'"),
+    "fn17_labels": lambda s, d: G.label_of(triples(s, d)),
     "fn13_subjects": lambda s, d: executions(s, d).select("node", "subject"),
     "agg10_prefixes": lambda s, d: L.prefixes(S.log_lines(s, d).withColumn("value", F.regexp_replace("value", '"id":"', F.concat(F.when(F.col("line") % 3 == 0, F.lit('"id":"TS-')).otherwise(F.lit('"id":"EP_')))))),
     "agg19_status": lambda s, d: M.overall_status(_units(s, d)),
@@ -147,6 +156,7 @@ QUERIES = {
     "grf17_shapeless": lambda s, d: G.shapeless(_directories(s, d)),
     "mem11_digest": lambda s, d: M.digest(S.entries(s, d)),
     "mem13_context": _pack,
+    "grf3_rounds": _rounds,
     "mem1_prefixes": lambda s, d: M.validate(_full(s, d), prefixes=M.PREFIXES, types=tuple(M.PREFIXES), kinds=M.RELATIONS).where("issue LIKE 'id is not%'"),
     "mem4_full": lambda s, d: M.all_triples(_full(s, d)).groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"), F.max(F.substring("o", 1, 40)).alias("greatest")),
     "mem4_full_rows": lambda s, d: M.all_triples(_full(s, d)).where("p <> 'text'"),
@@ -187,7 +197,7 @@ ORACLE_SQL = {
     "flt9_classes": "SELECT 'part/' || p_partkey node FROM part WHERE p_size % 2 <> 0 OR p_size % 3 = 0",
     "flt10_scopes": "SELECT l_returnflag AS scope, count(DISTINCT l_orderkey) names FROM lineitem GROUP BY 1",
     "flt12_refs": "SELECT DISTINCT 'doc-' || p_size || CASE p_size % 3 WHEN 0 THEN '.yaml' ELSE '.yml' END ref FROM part WHERE p_size % 3 < 2",
-    "fn17_labels": "SELECT 'part/' || p_partkey node, CASE WHEN p_size % 5 <> 0 THEN coalesce(nullif(trim(replace(p_name, chr(10), ' ')), ''), CAST(p_partkey AS VARCHAR)) ELSE CAST(p_partkey AS VARCHAR) END AS label FROM part UNION ALL SELECT 'run/' || o_orderkey, CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 9 <> 0",
+    "fn17_labels": "SELECT 'part/' || p_partkey node, CASE WHEN p_size % 5 <> 0 THEN coalesce(nullif(trim(replace(p_name, chr(10), ' ')), ''), CAST(p_partkey AS VARCHAR)) ELSE CAST(p_partkey AS VARCHAR) END AS label FROM part UNION ALL SELECT 'run/' || o_orderkey, CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 9 <> 0 UNION ALL SELECT DISTINCT 'edge/' || l_orderkey || '-' || l_linenumber, l_orderkey || '-' || l_linenumber FROM lineitem",
     "fn13_subjects": _X + " SELECT node, subject FROM x",
     "agg10_prefixes": "SELECT CASE WHEN event_id % 3 = 0 THEN 'TS' ELSE 'EP' END prefix, count(*) cnt FROM events WHERE event_id % 97 <> 0 GROUP BY 1",
     "agg19_status": "SELECT o_custkey workflow, CASE WHEN bool_and(o_orderstatus = 'F') THEN 'completed' WHEN bool_or(o_orderstatus = 'O') THEN 'active' ELSE 'pending' END status FROM orders GROUP BY 1",
@@ -207,6 +217,11 @@ ORACLE_SQL = {
     "mem13_context": _SCORES + """, k AS (SELECT r.src, r.dst FROM r JOIN e ON r.dst = e.id), both_ways AS (SELECT src, dst FROM k UNION SELECT dst, src FROM k),
   p AS (SELECT node, id, 0 AS depth FROM top UNION ALL SELECT DISTINCT top.node, dst, 1 FROM top JOIN both_ways ON top.id = src WHERE NOT EXISTS (SELECT 1 FROM top q WHERE q.node = top.node AND q.id = dst))
   SELECT node, id, depth, CAST(score AS INTEGER) score, sha256(coalesce(substring(text, 1, 1200), '')) text_sha256 FROM p JOIN sc USING (node, id)""",
+    "grf3_rounds": f"""WITH e AS ({DEEP_SQL}), a AS ({S.ARTIFACTS_SQL}), t0 AS ({_OWN})
+ {"".join(f", m{i} AS (SELECT dst, avg(trust) m FROM e JOIN t{i - 1} ON src = id GROUP BY dst), t{i} AS (SELECT t0.id, CASE WHEN m IS NULL THEN t0.trust ELSE 0.7::DOUBLE * t0.trust + 0.3::DOUBLE * m END trust FROM t0 LEFT JOIN m{i} ON t0.id = dst)" for i in (1, 2, 3))}
+ SELECT id, round(trust, 6) trust FROM t3""",
+    "agg21_fingerprint": _E + """, b0 AS (SELECT sha256(id) AS k, id || ':' || sha256(CAST(to_json({'created_at': created_at, 'id': id, 'text': text, 'type': type}) AS VARCHAR)) AS h FROM e)"""
+    + "".join(f", b{i} AS (SELECT k, k || ':' || sha256(string_agg(h, ',' ORDER BY h)) AS h FROM (SELECT substr(k, 1, {n}) AS k, h FROM b{i - 1}) GROUP BY k)" for i, n in ((1, 9), (2, 6), (3, 3), (4, 0))) + " SELECT substr(h, 2, 64) AS fingerprint FROM b4",
     "mem1_prefixes": _FULL + " SELECT id, 'id is not ' || CASE type WHEN 'release-note' THEN 'RN' WHEN 'trouble-shooting' THEN 'TS' WHEN 'user-decision' THEN 'UD' ELSE 'EP' END || ' of ' || type AS issue FROM e WHERE i % 13 = 5",
     "mem4_full": _FULL + " SELECT p, count(*) n, count(DISTINCT s) subjects, max(substring(o, 1, 40)) greatest FROM t GROUP BY p",
     "mem4_full_rows": _FULL + " SELECT * FROM t WHERE p <> 'text'",

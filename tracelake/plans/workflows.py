@@ -37,9 +37,8 @@ def _routed(s, d):
     return J.route(nodes, s.createDataFrame(_ROUTES, "type string, judge string, provider string"), s.createDataFrame(_DEFAULTS, "type string, provider string"))
 
 
-def _targets(s, d, of="o_orderkey % 20 = 0"):
-    o = S.read(s, d, "orders").where(of)
-    return o.select(F.col("o_orderpriority").alias("workflow"), F.concat(F.lit("customer/"), (F.col("o_custkey") + 1).cast("long")).alias("artifact")).distinct()
+def _targets(s, d):
+    return S.read(s, d, "orders").select(F.col("o_orderpriority").alias("workflow"), F.concat(F.lit("customer/"), (F.col("o_custkey") + 1).cast("long")).alias("artifact")).distinct()
 
 
 def _customers(s, d):
@@ -71,18 +70,13 @@ def _steps(s, d):
 
 
 QUERIES = {
-    "join7_outside": lambda s, d: J.outside(_pages(s, d).select("page_id", "path"), _pages(s, d).where("page_id % 10 = 0").select(F.col("root").alias("path"))).select("page_id", "path"),
+    "join8_untyped": lambda s, d: J.undeclared(M.relations(S.entries(s, d)).select("src", "kind", "dst"), S.entries(s, d).where("type <> 'user-decision'")),
     "join8_undeclared": lambda s, d: J.undeclared(M.relations(S.entries(s, d)).select("src", "kind", "dst"), S.entries(s, d)),
-    "join9_paired": lambda s, d: J.paired(S.read(s, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("key")), S.read(s, d, "orders").select(F.col("o_custkey").alias("key"))),
-    "join10_inventory": lambda s, d: J.inventory(_pages(s, d).where("page_id % 2 = 0"), _pages(s, d).where("page_id % 3 = 0")),
     "join11_produced": lambda s, d: J.produced(S.streams(s, d), S.membership(s, d)),
-    "join12_consumed": lambda s, d: J.consumed(S.artifacts(s, d), S.streams(s, d).where("dst LIKE '%7'"), S.artifacts(s, d).where("validation IS NULL").select(F.col("id").alias("artifact"))).select("id"),
     "join13_route": lambda s, d: _routed(s, d).select("id", "provider"),
     "grf7_repository_trust": lambda s, d: V.repository_trust(G.own_trust(S.artifacts(s, d)).withColumn("trust", F.when(~F.col("id").endswith("3"), F.round("trust", 6)))),
     "grf7_missing_signals": lambda s, d: V.missing_signals(S.artifacts(s, d)),
-    "grf8_control_view": lambda s, d: V.view_counts(V.touching(S.streams(s, d), S.membership(s, d))),
-    "grf8_stream_view": lambda s, d: V.view_counts(V.stream_view(S.streams(s, d), S.membership(s, d).where("workflow = '1-URGENT'"))),
-    "grf18_mismatches": lambda s, d: V.target_mismatches(_targets(s, d), S.streams(s, d), S.membership(s, d)),
+    "grf8_touching": lambda s, d: V.view_counts(V.touching(S.streams(s, d), S.membership(s, d))),
     "grf19_supply_flag": lambda s, d: V.supply_flag(_customers(s, d).select("node"), S.streams(s, d)),
     "grf20_artifact_index": lambda s, d: V.artifact_index(S.artifacts(s, d)),
     "top6_chain_order": lambda s, d: V.chain_order(S.turns(s, d).select(F.col("turn_id").alias("node"), F.col("prev_turn_id").alias("previous"))),
@@ -95,13 +89,12 @@ QUERIES = {
     "con12_redundant_next": lambda s, d: R.redundant_next(S.control(s, d), S.control(s, d).where("src < dst")),
     "mem9_active_invalidations": lambda s, d: M.active_invalidations(S.entries(s, d)),
     "fn4_keyword_value": lambda s, d: S.utterances(s, d).select("session_id", "turn_id", fn.keyword_value(F.col("utterance")).alias("priority")),
-    # Over whole tables: no row is left out by its id.
-    "join7_outside_whole": lambda s, d: J.outside(_pages(s, d).select("page_id", "path"), _by_scheme(s, d, "https").select(F.col("root").alias("path"))).select("page_id", "path"),
-    "join9_paired_whole": lambda s, d: J.paired(S.read(s, d, "customer").select(F.col("c_custkey").alias("key")), S.read(s, d, "orders").select(F.col("o_custkey").alias("key"))),
-    "join10_inventory_whole": lambda s, d: J.inventory(_by_scheme(s, d, "https"), _by_scheme(s, d, "http")),
-    "join12_consumed_whole": lambda s, d: J.consumed(S.artifacts(s, d), S.streams(s, d), S.artifacts(s, d).where("validation IS NULL").select(F.col("id").alias("artifact"))).select("id"),
-    "grf8_stream_view_whole": lambda s, d: V.view_counts(V.stream_view(S.streams(s, d), S.membership(s, d))),
-    "grf18_mismatches_whole": lambda s, d: V.target_mismatches(_targets(s, d, "true"), S.streams(s, d), S.membership(s, d)),
+    "join7_outside": lambda s, d: J.outside(_pages(s, d).select("page_id", "path"), _by_scheme(s, d, "https").select(F.col("root").alias("path"))).select("page_id", "path"),
+    "join9_paired": lambda s, d: J.paired(S.read(s, d, "customer").select(F.col("c_custkey").alias("key")), S.read(s, d, "orders").select(F.col("o_custkey").alias("key"))),
+    "join10_inventory": lambda s, d: J.inventory(_by_scheme(s, d, "https"), _by_scheme(s, d, "http")),
+    "join12_consumed": lambda s, d: J.consumed(S.artifacts(s, d), S.streams(s, d), S.artifacts(s, d).where("validation IS NULL").select(F.col("id").alias("artifact"))).select("id"),
+    "grf8_stream_view": lambda s, d: V.view_counts(V.stream_view(S.streams(s, d), S.membership(s, d))),
+    "grf18_mismatches": lambda s, d: V.target_mismatches(_targets(s, d), S.streams(s, d), S.membership(s, d)),
     "fn11_safe": lambda s, d: S.read(s, d, "pages").select("page_id", fn.safe(F.col("url")).alias("safe")),
 }
 _CLASSES = "SELECT 'customer/' || c_custkey node, CASE WHEN c_custkey % 10 = 0 THEN 'guest' ELSE 'customer' END AS class FROM customer UNION ALL SELECT node, split_part(node, '/', 1) FROM (SELECT src node FROM s WHERE kind = 'consumed_by' UNION SELECT dst FROM s WHERE kind = 'consumed_by')"
@@ -109,20 +102,12 @@ _TOUCH = "SELECT DISTINCT workflow, src, kind, dst FROM s JOIN {n} n ON src = no
 _COUNTS = "SELECT workflow, count(DISTINCT node) nodes, (SELECT count(*) FROM v w WHERE w.workflow = x.workflow) edges FROM (SELECT workflow, src node FROM v UNION ALL SELECT workflow, dst FROM v) x GROUP BY 1"
 _WORDS = " ".join(f"WHEN contains(lower(text), '{w}') THEN '{v}'" for w, v in fn.PRIORITIES)
 ORACLE_SQL = {
-    "join7_outside": f"{_PG} SELECT page_id, path FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.page_id % 10 = 0 AND (p.path = q.root OR starts_with(p.path, q.root || '/')))",
+    "join8_untyped": f"{_E} SELECT src, kind, dst FROM r WHERE dst NOT IN (SELECT id FROM e WHERE type <> 'user-decision')",
     "join8_undeclared": f"{_E} SELECT src, kind, dst FROM r WHERE dst NOT IN (SELECT id FROM e)",
-    "join9_paired": "SELECT coalesce(a, b) AS key, CASE WHEN a IS NULL THEN 'right' WHEN b IS NULL THEN 'left' ELSE 'both' END state FROM (SELECT DISTINCT c_custkey a FROM customer WHERE c_custkey % 3 <> 0) FULL JOIN (SELECT DISTINCT o_custkey b FROM orders) ON a = b",
-    "join10_inventory": f"""{_PG} SELECT DISTINCT path, 'missing' state FROM p WHERE page_id % 2 = 0 AND path NOT IN (SELECT path FROM p WHERE page_id % 3 = 0)
-      UNION ALL SELECT DISTINCT path, 'extra' FROM p WHERE page_id % 3 = 0 AND parent IN (SELECT parent FROM p WHERE page_id % 2 = 0) AND path NOT IN (SELECT path FROM p WHERE page_id % 2 = 0)""",
     "join11_produced": f"{_ST} {_MADE}",
-    "join12_consumed": f"{_ST} SELECT id FROM a WHERE validation IS NULL OR id IN (SELECT src FROM s WHERE kind = 'consumed_by' AND dst LIKE '%7')",
     "join13_route": "SELECT o_orderkey id, CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 'lead' WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 'night' WHEN o_orderstatus = 'F' AND o_orderpriority = '5-LOW' THEN 'batch' WHEN o_orderstatus = 'O' THEN 'desk' WHEN o_orderstatus = 'F' THEN 'archive' END provider FROM orders",
     "grf7_missing_signals": f"{_ST} SELECT id, 'confidence' signal FROM a WHERE confidence IS NULL UNION ALL SELECT id, 'coverage' FROM a WHERE coverage IS NULL",
-    "grf8_control_view": f"{_ST}, v AS ({_TOUCH.format(n='m')}) {_COUNTS}",
-    "grf8_stream_view": f"""{_ST}, u AS (SELECT * FROM m WHERE workflow = '1-URGENT'), t AS (SELECT DISTINCT src, dst FROM s JOIN u ON src = node UNION SELECT src, dst FROM s JOIN u ON dst = node),
-      c AS (SELECT node FROM u UNION SELECT src FROM t UNION SELECT dst FROM t), v AS (SELECT DISTINCT '1-URGENT' workflow, src, kind, dst FROM s WHERE src IN (SELECT node FROM c) OR dst IN (SELECT node FROM c)) {_COUNTS}""",
-    "grf18_mismatches": f"""{_ST}, p AS ({_MADE}), t AS (SELECT DISTINCT o_orderpriority workflow, 'customer/' || (o_custkey + 1) artifact FROM orders WHERE o_orderkey % 20 = 0)
-      SELECT workflow, artifact, (SELECT count(*) FROM p WHERE p.workflow = t.workflow) available FROM t WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.workflow = t.workflow AND p.artifact = t.artifact)""",
+    "grf8_touching": f"{_ST}, v AS ({_TOUCH.format(n='m')}) {_COUNTS}",
     "grf19_supply_flag": "SELECT 'customer/' || c_custkey node, c_custkey IN (SELECT o_custkey FROM orders) in_supply FROM customer",
     "grf20_artifact_index": f"{_ST} SELECT id, concat_ws(' · ', method, author, validation) provenance FROM a",
     "top6_chain_order": f"WITH t AS ({S.TURNS_SQL}) SELECT turn_id node, first_value(turn_id) OVER w head, row_number() OVER w - 1 distance FROM t WINDOW w AS (PARTITION BY session_id ORDER BY timestamp, turn_id)",
@@ -136,14 +121,14 @@ ORACLE_SQL = {
     "con12_redundant_next": f"SELECT src, dst FROM ({S.CONTROL_SQL}) WHERE src < dst",
     "mem9_active_invalidations": f"{_E} SELECT src, a.type src_type, dst, b.created_at FROM r JOIN e a ON src = a.id JOIN e b ON dst = b.id WHERE kind = 'invalidated-by' AND dst NOT IN (SELECT dst FROM r WHERE kind = 'rolls-back')",
     "fn4_keyword_value": f"SELECT conv_id session_id, turn turn_id, CASE {_WORDS} END priority FROM conversations",
-    "join7_outside_whole": f"{_PG} SELECT page_id, path FROM p WHERE NOT EXISTS (SELECT 1 FROM p q JOIN pages g ON g.page_id = q.page_id WHERE starts_with(url, 'https://') AND (p.path = q.root OR starts_with(p.path, q.root || '/')))",
-    "join9_paired_whole": "SELECT coalesce(a, b) AS key, CASE WHEN a IS NULL THEN 'right' WHEN b IS NULL THEN 'left' ELSE 'both' END state FROM (SELECT DISTINCT c_custkey a FROM customer) FULL JOIN (SELECT DISTINCT o_custkey b FROM orders) ON a = b",
-    "join10_inventory_whole": f"""{_PG}, d AS (SELECT path, parent FROM p JOIN pages USING (page_id) WHERE starts_with(url, 'https://')), h AS (SELECT path, parent FROM p JOIN pages USING (page_id) WHERE starts_with(url, 'http://'))
+    "join7_outside": f"{_PG} SELECT page_id, path FROM p WHERE NOT EXISTS (SELECT 1 FROM p q JOIN pages g ON g.page_id = q.page_id WHERE starts_with(url, 'https://') AND (p.path = q.root OR starts_with(p.path, q.root || '/')))",
+    "join9_paired": "SELECT coalesce(a, b) AS key, CASE WHEN a IS NULL THEN 'right' WHEN b IS NULL THEN 'left' ELSE 'both' END state FROM (SELECT DISTINCT c_custkey a FROM customer) FULL JOIN (SELECT DISTINCT o_custkey b FROM orders) ON a = b",
+    "join10_inventory": f"""{_PG}, d AS (SELECT path, parent FROM p JOIN pages USING (page_id) WHERE starts_with(url, 'https://')), h AS (SELECT path, parent FROM p JOIN pages USING (page_id) WHERE starts_with(url, 'http://'))
       SELECT DISTINCT path, 'missing' state FROM d WHERE path NOT IN (SELECT path FROM h) UNION ALL SELECT DISTINCT path, 'extra' FROM h WHERE parent IN (SELECT parent FROM d) AND path NOT IN (SELECT path FROM d)""",
-    "join12_consumed_whole": f"{_ST} SELECT id FROM a WHERE validation IS NULL OR id IN (SELECT src FROM s WHERE kind = 'consumed_by')",
-    "grf8_stream_view_whole": f"""{_ST}, t AS (SELECT workflow, src, dst FROM s JOIN m ON src = node UNION SELECT workflow, src, dst FROM s JOIN m ON dst = node),
+    "join12_consumed": f"{_ST} SELECT id FROM a WHERE validation IS NULL OR id IN (SELECT src FROM s WHERE kind = 'consumed_by')",
+    "grf8_stream_view": f"""{_ST}, t AS (SELECT workflow, src, dst FROM s JOIN m ON src = node UNION SELECT workflow, src, dst FROM s JOIN m ON dst = node),
       c AS (SELECT workflow, node FROM m UNION SELECT workflow, src FROM t UNION SELECT workflow, dst FROM t), v AS (SELECT workflow, src, kind, dst FROM s JOIN c ON src = node UNION SELECT workflow, src, kind, dst FROM s JOIN c ON dst = node) {_COUNTS}""",
-    "grf18_mismatches_whole": f"""{_ST}, p AS ({_MADE}), t AS (SELECT DISTINCT o_orderpriority workflow, 'customer/' || (o_custkey + 1) artifact FROM orders)
+    "grf18_mismatches": f"""{_ST}, p AS ({_MADE}), t AS (SELECT DISTINCT o_orderpriority workflow, 'customer/' || (o_custkey + 1) artifact FROM orders)
       SELECT workflow, artifact, (SELECT count(*) FROM p WHERE p.workflow = t.workflow) available FROM t WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.workflow = t.workflow AND p.artifact = t.artifact)""",
     "fn11_safe": r"SELECT page_id, regexp_replace(url, '[^\p{L}\p{N}._-]', '_', 'g') safe FROM pages",
 }
