@@ -41,6 +41,29 @@ def typed_violations(entries: DataFrame) -> DataFrame:
     return r.where(bad_from | ((F.size("to_types") > 0) & ~F.array_contains("to_types", F.col("dst_type")))).select("src", "src_type", "kind", "dst", "dst_type")
 
 
+#: Relation, types whose entries the rule is for (none: all), types it may lead to (none: any entry).
+SHAPES = [
+    ("followed-by", [], []), ("supersedes", [], []), ("refines", [], []), ("depends-on", [], []), ("released-in", [], ["release-note"]), ("verified-in", [], ["release-note"]), ("invalidated-by", [], ["release-note"]),
+    ("resolved-by", ["issue-note"], ["trouble-shooting"]), ("raised", ["issue-note"], ["agent-decision", "alternatives-record", "user-decision"]), ("caused-by", ["trouble-shooting"], ["issue-note"]),
+    ("analyzed-in", ["trouble-shooting"], ["episode"]), ("shows-pattern", ["episode"], ["pattern"]), ("generalized-in", ["episode"], ["pattern"]), ("rolls-back", ["release-note"], ["release-note"]),
+    ("crystallized-in", ["pattern"], ["principle"]),
+]
+#: Relations that may start from these types only.
+SUBJECTS = {"rolls-back": "release-note"}
+
+
+def relation_issues(entries: DataFrame) -> DataFrame:
+    """(src, src_type, kind, dst, dst_type, issue) of relations against all shapes (MEM-5): a target that is no entry or of the wrong type, a source of the wrong type. References may lead anywhere."""
+    rules = entries.sparkSession.createDataFrame(SHAPES, "kind string, for_types array<string>, to_types array<string>")
+    ends = entries.select(F.col("id").alias("dst"), F.col("type").alias("dst_type"), F.lit(True).alias("known"))
+    r = relations(entries).join(rules, "kind").join(ends, "dst", "left")
+    meant = (F.size("for_types") == 0) | F.coalesce(F.array_contains("for_types", F.col("src_type")), F.lit(False))
+    wrong = F.when(meant & F.col("known").isNull(), "target is no entry").when(meant & (F.size("to_types") > 0) & ~F.coalesce(F.array_contains("to_types", F.col("dst_type")), F.lit(False)), "target type")
+    starts = F.create_map(*[F.lit(x) for pair in SUBJECTS.items() for x in pair])[F.col("kind")]
+    issues = F.array_compact(F.array(wrong, F.when(starts.isNotNull() & ~F.coalesce(F.col("src_type") == starts, F.lit(False)), "source type")))
+    return r.select("src", "src_type", "kind", "dst", "dst_type", F.explode(issues).alias("issue"))
+
+
 def rolled_back(entries: DataFrame) -> DataFrame:
     return relations(entries).where("kind = 'rolls-back' AND src_type = 'release-note'").select(F.col("dst").alias("id")).distinct()
 

@@ -120,6 +120,20 @@ def _full(spark, d):
     return e.select(F.concat(prefix, i).alias("id"), kind.alias("type"), "created_at", "text", F.when(i % 3 > 0, F.array("lang", "source")).alias("tags"), F.when(i % 4 == 0, meta).alias("metadata"), rel.alias("relations"))
 
 
+_KINDS = ", ".join(f"'{k}'" for k in M.RELATIONS)
+_NAMES = ", ".join(f"'{k}'" for k in (*M.PREFIXES, "note"))
+def _related_sql(at):
+    """Entries of all types with one relation each, of all kinds; ``at`` writes the choice from a list."""
+    kind, relation = at(_NAMES, f"doc_id % {len(M.PREFIXES) + 1} + 1"), at(_KINDS, f"CAST(floor(doc_id / 3) AS BIGINT) % {len(M.RELATIONS)} + 1")
+    return f"SELECT 'E-' || doc_id AS id, {kind} AS type, {relation} AS kind, 'E-' || (doc_id * 7 % 1100) AS dst FROM documents"
+
+
+def _related(spark, d):
+    sql = _related_sql(lambda names, i: f"element_at(array({names}), CAST({i} AS INT))")
+    rows = spark.sql(sql.replace("FROM documents", "FROM {d}"), d=read(spark, d, "documents"))
+    return rows.select("id", "type", F.array(F.struct(F.col("kind").alias("type"), F.col("dst").alias("target"))).alias("relations"))
+
+
 #: Evidence among 200 parts, several steps deep and with cycles. SQL that Spark and DuckDB both run.
 DEEP_SQL = "SELECT 'part/' || (l_partkey % 200) AS src, 'part/' || ((l_partkey * 7 + l_suppkey * 3) % 200) AS dst FROM lineitem WHERE l_partkey % 4 > 0"
 
@@ -157,6 +171,7 @@ QUERIES = {
     "mem11_digest": lambda s, d: M.digest(S.entries(s, d)),
     "mem13_context": _pack,
     "grf3_rounds": _rounds,
+    "mem5_shapes": lambda s, d: M.relation_issues(_related(s, d)),
     "mem1_prefixes": lambda s, d: M.validate(_full(s, d), prefixes=M.PREFIXES, types=tuple(M.PREFIXES), kinds=M.RELATIONS).where("issue LIKE 'id is not%'"),
     "mem4_full": lambda s, d: M.all_triples(_full(s, d)).groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"), F.max(F.substring("o", 1, 40)).alias("greatest")),
     "mem4_full_rows": lambda s, d: M.all_triples(_full(s, d)).where("p <> 'text'"),
@@ -222,6 +237,11 @@ ORACLE_SQL = {
  SELECT id, round(trust, 6) trust FROM t3""",
     "agg21_fingerprint": _E + """, b0 AS (SELECT sha256(id) AS k, id || ':' || sha256(CAST(to_json({'created_at': created_at, 'id': id, 'text': text, 'type': type}) AS VARCHAR)) AS h FROM e)"""
     + "".join(f", b{i} AS (SELECT k, k || ':' || sha256(string_agg(h, ',' ORDER BY h)) AS h FROM (SELECT substr(k, 1, {n}) AS k, h FROM b{i - 1}) GROUP BY k)" for i, n in ((1, 9), (2, 6), (3, 3), (4, 0))) + " SELECT substr(h, 2, 64) AS fingerprint FROM b4",
+    "mem5_shapes": f"""WITH e AS ({_related_sql("list_extract([{}], {})".format)}), r AS (SELECT e.id src, e.type src_type, e.kind, e.dst, t.type dst_type, t.id IS NOT NULL known FROM e LEFT JOIN e t ON e.dst = t.id),
+ s AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{','.join(f)}', '{','.join(t)}')" for k, f, t in M.SHAPES)}) v(kind, f, t)),
+ x AS (SELECT r.*, f = '' OR list_contains(string_split(f, ','), src_type) meant, t FROM r JOIN s USING (kind))
+ SELECT src, src_type, kind, dst, dst_type, 'target is no entry' AS issue FROM x WHERE meant AND NOT known UNION ALL SELECT src, src_type, kind, dst, dst_type, 'target type' FROM x WHERE meant AND known AND t <> '' AND NOT list_contains(string_split(t, ','), dst_type)
+ UNION ALL SELECT src, src_type, kind, dst, dst_type, 'source type' FROM x WHERE kind = 'rolls-back' AND src_type <> 'release-note'""",
     "mem1_prefixes": _FULL + " SELECT id, 'id is not ' || CASE type WHEN 'release-note' THEN 'RN' WHEN 'trouble-shooting' THEN 'TS' WHEN 'user-decision' THEN 'UD' ELSE 'EP' END || ' of ' || type AS issue FROM e WHERE i % 13 = 5",
     "mem4_full": _FULL + " SELECT p, count(*) n, count(DISTINCT s) subjects, max(substring(o, 1, 40)) greatest FROM t GROUP BY p",
     "mem4_full_rows": _FULL + " SELECT * FROM t WHERE p <> 'text'",
