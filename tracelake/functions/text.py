@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 
 def nfc(text: Column) -> Column:
-    """Unicode normal form C; Spark has no function for it."""
+    """Unicode normal form C; Spark has no function for it. Only texts with letters outside ASCII are sent to Python."""
+    plain = F.octet_length(text) == F.length(text)
 
     @F.pandas_udf("string")
     def norm(t: pd.Series) -> pd.Series:
         return t.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
-    return norm(text)
+    return F.when(plain, text).otherwise(norm(F.when(~plain, text)))
 
 
 def collapse(text: Column) -> Column:

@@ -209,6 +209,22 @@ def registry_rows(documents: DataFrame) -> DataFrame:
     return out.where("id <> '' AND locator <> ''")
 
 
+#: Where a row comes from, first registered first.
+SOURCES = ("data_registry", "module", "subdir")
+
+
+def registry_lookup(rows: DataFrame, *order: str) -> DataFrame:
+    """(key, id, data_type, locator, source) of registry rows: each locator with and without its last slash, a key for the row that was registered first (SRC-7).
+
+    Rows stand by source, then by ``order``, then by id.
+    """
+    at = F.col("locator")
+    keys = F.array_distinct(F.filter(F.array(at, F.when(at.endswith("/"), F.regexp_replace(at, "/+$", "")).otherwise(F.concat(at, F.lit("/")))), lambda k: k != ""))
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source")), *order, "id"))
+    named = rows.withColumn("key", F.explode(keys)).withColumn("_n", first)
+    return named.where("_n = 1").select("key", "id", "data_type", "locator", "source")
+
+
 def typed_entries(entries: DataFrame) -> DataFrame:
     """Entries with an id and a type, of their relations those with a type and a target (SRC-10)."""
     kept = F.filter(F.coalesce("relations", F.array().cast(entries.schema["relations"].dataType)), lambda r: r["type"].isNotNull() & r["target"].isNotNull())
@@ -220,11 +236,23 @@ def sorted_json(values: Column) -> Column:
     return F.to_json(F.parse_json(F.to_json(values)))
 
 
+#: Keys of a document that name no phase.
+RESERVED = (
+    "meta", "metadata", "module", "project", "workflow", "dependencies", "key_decisions", "deliverables", "quality_metrics", "timeline", "versioning", "governance", "metrics", "milestones",
+    "critical_dependencies", "feedback_loops", "success_criteria",
+)
+
+
 def legacy_inputs(documents: DataFrame) -> DataFrame:
-    """(path, message) of JSON documents in ``value`` that still carry phases: a list of them, or a map by name (FLT-13)."""
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), "$.phases", "variant"))
-    how = F.when(F.startswith(kind, F.lit("ARRAY")), "list of phases").when(F.startswith(kind, F.lit("OBJECT")) & (kind != "OBJECT<>"), "named phases")
-    return documents.select("path", F.concat(F.lit("legacy "), how, F.lit(": move them to workflows")).alias("message")).where("message IS NOT NULL")
+    """(path, message) of JSON documents in ``value`` that still carry phases: a list ``phases``, else maps under names of their own, which are not reserved and don't begin with x_ or x- (FLT-13)."""
+    rows = documents.select("path", F.try_parse_json("value").alias("v")).where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
+    keys = rows.sparkSession.sql("SELECT t.path, x.key, x.value FROM {t} t, LATERAL variant_explode(t.v) x", t=rows)
+    kind = F.schema_of_variant("value")
+    listed = (F.col("key") == "phases") & F.startswith(kind, F.lit("ARRAY"))
+    named = ~F.col("key").isin(*RESERVED) & ~F.col("key").rlike("^x[_-]") & F.startswith(kind, F.lit("OBJECT"))
+    found = keys.groupBy("path").agg(F.bool_or(listed).alias("a"), F.bool_or(named).alias("b"))
+    how = F.when(F.col("a"), "list of phases").when(F.col("b"), "named phases")
+    return found.select("path", F.concat(F.lit("legacy "), how, F.lit(": move them to workflows")).alias("message")).where("message IS NOT NULL")
 
 
 def similar(queries: DataFrame, entries: DataFrame, *, k: int = 5, dimensions: int = 1 << 18) -> DataFrame:

@@ -295,6 +295,28 @@ def subject_of(subject: Column) -> Column:
     return F.coalesce(F.when(subject.isin(*SUBJECTS), subject), F.lit("self"))
 
 
+#: Edges of the base and of the oracle layer, and those that hand work over.
+BASE_RAILS, ORACLE_RAILS, HAND_OFFS = ("default", "reads", "delegates_to", "escalates_to"), ("measured_by", "measures", "evolves_to", "tests_to"), ("delegates_to", "escalates_to")
+
+
+def rail_layer(kind: Column) -> Column:
+    """oracle, base or unknown (FN-13)."""
+    return F.when(kind.isin(*ORACLE_RAILS), "oracle").when(kind.isin(*BASE_RAILS), "base").otherwise("unknown")
+
+
+def is_hand_off(kind: Column) -> Column:
+    return F.coalesce(kind.isin(*HAND_OFFS), F.lit(False))
+
+
+#: Who decides under each code of a judge.
+JUDGES = {"HITL": "human", "HITLFE": "human", "HOTL": "self", "HOOTL": "self", "METRIC": "system"}
+
+
+def judge_subject(judge: Column) -> Column:
+    """The subject for a judge's code, null for other codes (FN-14)."""
+    return F.create_map(*[F.lit(x) for pair in JUDGES.items() for x in pair])[F.upper(F.trim(judge))]
+
+
 #: Older names of subjects.
 LEGACY_SUBJECTS = {"user": "human", "agent": "self", "metric": "system"}
 

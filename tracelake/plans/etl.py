@@ -52,6 +52,19 @@ def _rails(spark, d):
     return of("Rail"), of("Stream"), c.select("workflow", "node"), c.where("class = 'Artifact'").select(F.col("node").alias("id"))
 
 
+def _folders(spark, d):
+    """Parts register folders, many of them the same, with and without a last slash."""
+    p, k = read(spark, d, "part"), F.col("p_partkey")
+    source = F.when(k % 3 == 0, "subdir").when(k % 3 == 1, "module").otherwise("data_registry")
+    where = F.concat(F.lit("m"), F.col("p_size"), F.when(k % 5 > 1, F.concat(F.lit("/d"), k % 7)).otherwise(""), F.when(k % 2 == 0, "/").otherwise(""))
+    return p.select(F.concat(F.lit("p"), k).alias("id"), F.lit("local_file").alias("data_type"), where.alias("locator"), source.alias("source"), (k % 11).alias("place"))
+
+
+def _judges(spark, d):
+    code = F.get(F.array(*map(F.lit, ("HITL", "hitlfe", " HOTL", "hootl ", "Metric", "model", ""))), (F.col("o_custkey") % 8).cast("int"))
+    return read(spark, d, "orders").select(code.alias("judge")).groupBy("judge").agg(F.count("*").alias("n"))
+
+
 def _control(spark, d):
     rails, _, members, artifacts = _rails(spark, d)
     return V.view_counts(V.control_view(rails, members, artifacts))
@@ -162,6 +175,9 @@ QUERIES = {
     "etl5_documents": lambda s, d: _tree(s, d)[0].withColumn("depth", F.col("depth").cast("int")),
     "etl5_issues": lambda s, d: _tree(s, d)[1],
     "grf8_control_view": _control,
+    "src7_lookup": lambda s, d: E.registry_lookup(_folders(s, d), "place"),
+    "fn13_layers": lambda s, d: edges(s, d).groupBy("kind").agg(F.count("*").alias("n")).select("kind", "n", G.rail_layer(F.col("kind")).alias("layer"), G.is_hand_off(F.col("kind")).alias("hand_off")),
+    "fn14_judges": lambda s, d: _judges(s, d).select("judge", "n", G.judge_subject(F.col("judge")).alias("subject")),
     "grf8_combined_view": _combined,
     "etl6_drift": _drift,
     "join6_locators": _locators,
@@ -203,6 +219,12 @@ ORACLE_SQL = {
     "etl4_branches": _C + """, x AS (SELECT e.*, b.class b FROM e JOIN k a ON src = a.node JOIN k b ON dst = b.node WHERE kind = 'default' AND on_case IS NOT NULL AND a.class <> 'Start')
   SELECT p, o, count(*) n FROM (SELECT 'type' p, 'Branch' o FROM x UNION ALL SELECT 'on', on_case FROM x UNION ALL SELECT 'criteria', criteria FROM x WHERE criteria IS NOT NULL UNION ALL SELECT 'gotoNode', dst FROM x WHERE b <> 'End' UNION ALL SELECT 'goto', split_part(dst, '/', 2) FROM x WHERE b <> 'End') GROUP BY 1, 2""",
     "etl5_documents": _TREE + " SELECT * FROM docs",
+    "src7_lookup": """WITH p AS (SELECT 'p' || p_partkey id, 'm' || p_size || CASE WHEN p_partkey % 5 > 1 THEN '/d' || (p_partkey % 7) ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN '/' ELSE '' END locator, p_partkey % 3 k, p_partkey % 11 place FROM part),
+ x AS (SELECT *, locator AS key FROM p UNION SELECT *, CASE WHEN locator LIKE '%/' THEN rtrim(locator, '/') ELSE locator || '/' END FROM p)
+ SELECT key, id, 'local_file' data_type, locator, ['subdir', 'module', 'data_registry'][k + 1] AS source FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY -k, place, id) n FROM x) WHERE n = 1""",
+    "fn13_layers": f"SELECT kind, count(*) n, CASE WHEN kind IN ('measured_by', 'measures', 'evolves_to') THEN 'oracle' WHEN kind = 'default' THEN 'base' ELSE 'unknown' END AS layer, false hand_off FROM ({EDGES_SQL}) GROUP BY kind",
+    "fn14_judges": """SELECT judge, n, CASE upper(trim(judge)) WHEN 'HITL' THEN 'human' WHEN 'HITLFE' THEN 'human' WHEN 'HOTL' THEN 'self' WHEN 'HOOTL' THEN 'self' WHEN 'METRIC' THEN 'system' END subject
+  FROM (SELECT ['HITL', 'hitlfe', ' HOTL', 'hootl ', 'Metric', 'model', ''][o_custkey % 8 + 1] judge, count(*) n FROM orders GROUP BY 1)""",
     "grf8_control_view": f"""WITH e AS ({EDGES_SQL}), c AS ({CLASSES_SQL}), v AS (SELECT DISTINCT workflow, src, kind, dst FROM e JOIN c ON src = node OR dst = node WHERE e.class = 'Rail'
   AND src NOT IN (SELECT node FROM c WHERE class = 'Artifact') AND dst NOT IN (SELECT node FROM c WHERE class = 'Artifact')), x AS (SELECT workflow, src AS node FROM v UNION SELECT workflow, dst FROM v)
   SELECT workflow, count(*) nodes, (SELECT count(*) FROM v WHERE v.workflow = x.workflow) edges FROM x GROUP BY workflow""",

@@ -146,7 +146,8 @@ def _rounds(spark, d):
 def _documents(spark, d):
     o = read(spark, d, "orders")
     k = F.col("o_orderkey")
-    value = F.when(k % 5 == 0, F.concat(F.lit('{"phases": ['), k, F.lit("]}"))).when(k % 5 == 1, '{"phases": {"one": {"id": 1}}}').when(k % 5 == 2, '{"phases": {}, "workflows": []}').when(k % 5 == 3, '{"workflows": [{"phases": []}]}').otherwise("no { json")
+    cases = ['{"a": {}, "phases": [1]}', '{"one": {"id": 1}, "x_own": {}}', '{"phases": {}, "workflows": []}', '{"workflows": [{"phases": []}], "meta": {}, "x-a": {}}', "no { json", '["phases"]', '{"plan": "text"}']
+    value = F.get(F.array(*map(F.lit, cases)), (k % 7).cast("int"))
     return o.select(F.concat(F.lit("doc/"), k).alias("path"), value.alias("value"))
 
 
@@ -245,7 +246,7 @@ ORACLE_SQL = {
     "mem1_prefixes": _FULL + " SELECT id, 'id is not ' || CASE type WHEN 'release-note' THEN 'RN' WHEN 'trouble-shooting' THEN 'TS' WHEN 'user-decision' THEN 'UD' ELSE 'EP' END || ' of ' || type AS issue FROM e WHERE i % 13 = 5",
     "mem4_full": _FULL + " SELECT p, count(*) n, count(DISTINCT s) subjects, max(substring(o, 1, 40)) greatest FROM t GROUP BY p",
     "mem4_full_rows": _FULL + " SELECT * FROM t WHERE p <> 'text'",
-    "flt13_legacy": "SELECT 'doc/' || o_orderkey path, 'legacy ' || CASE o_orderkey % 5 WHEN 0 THEN 'list of phases' ELSE 'named phases' END || ': move them to workflows' message FROM orders WHERE o_orderkey % 5 < 2",
+    "flt13_legacy": "SELECT 'doc/' || o_orderkey path, 'legacy ' || CASE o_orderkey % 7 WHEN 0 THEN 'list of phases' ELSE 'named phases' END || ': move them to workflows' message FROM orders WHERE o_orderkey % 7 < 3",
     "fn15_json": """SELECT o_orderkey, '{"a":[{"b":"' || o_orderstatus || '","d":{"c":"x","y":1},"k":' || o_custkey || '}],"z":' || o_orderkey || '}' AS json FROM orders""",
     "mem14_similar": """WITH w AS (SELECT 0 side, item_id AS id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_.-]{3,}')) t FROM benchmark UNION ALL SELECT 1, doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_.-]{3,}')) FROM documents),
  n AS (SELECT side, id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 262144 b, count(*)::DOUBLE n FROM w GROUP BY ALL), d0 AS (SELECT count(*)::DOUBLE docs FROM documents), f AS (SELECT b, count(*) df FROM n WHERE side = 1 GROUP BY b),
