@@ -31,3 +31,13 @@ def test_branches_of_like_hashes_stay_apart(spark):
     assert t.where("p = 'type' AND o = 'Branch'").count() == 2
     back = etl.upgrade(t)[0]
     assert sorted((r.src, r.dst, r.on) for r in back.collect()) == [("a", "b", "pass"), ("a", "c", "fail")]
+
+
+def test_drift_with_parts_of_any_number(spark, tmp_path):
+    from tracelake.plans import etl as plan
+
+    rows = [(1, "a", 3), (2, "b", 7), (3, "c", 9), (1_000_001, "d", 1), (1_000_002, "e", 3), (1_000_003, "f", 7)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(map(tuple, plan._drift(spark, str(tmp_path)).collect())) == sorted(con.execute(plan.ORACLE_SQL["etl6_drift"]).fetchall())
