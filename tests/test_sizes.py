@@ -41,3 +41,16 @@ def test_drift_with_parts_of_any_number(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     assert sorted(map(tuple, plan._drift(spark, str(tmp_path)).collect())) == sorted(con.execute(plan.ORACLE_SQL["etl6_drift"]).fetchall())
+
+
+def test_views_of_few_and_many_workflows(spark, monkeypatch):
+    from tracelake.operators import views
+
+    e = spark.createDataFrame([("a", "k", "b"), ("a", "k", "b"), ("b", "k", "c"), ("c", "k", "d"), ("d", "k", "e"), ("x", "k", "y")], "src string, kind string, dst string")
+    m = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "d"), ("2", "d"), ("3", "q")], "workflow string, node string")
+    for few in (256, 2):
+        monkeypatch.setattr(views, "FEW", few)
+        assert sorted((r.workflow, r.src) for r in views.touching(e, m).collect()) == [("1", "a"), ("1", "b"), ("2", "c"), ("2", "d")]
+        assert sorted((r.workflow, r.src) for r in views.stream_view(e, m).collect()) == [("1", "a"), ("1", "b"), ("1", "c"), ("2", "b"), ("2", "c"), ("2", "d")]
+    monkeypatch.undo()
+    assert _sent_to_all(views.stream_view(e, spark.range(1000).select(F.lit("1").alias("workflow"), F.col("id").cast("string").alias("node")))) == 0
