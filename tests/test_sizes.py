@@ -54,3 +54,17 @@ def test_views_of_few_and_many_workflows(spark, monkeypatch):
         assert sorted((r.workflow, r.src) for r in views.stream_view(e, m).collect()) == [("1", "a"), ("1", "b"), ("1", "c"), ("2", "b"), ("2", "c"), ("2", "d")]
     monkeypatch.undo()
     assert _sent_to_all(views.stream_view(e, spark.range(1000).select(F.lit("1").alias("workflow"), F.col("id").cast("string").alias("node")))) == 0
+
+
+def test_gaps_read_uses_once(spark):
+    from tracelake.operators import artifacts
+
+    node = F.concat(F.lit("n"), "id")
+    folders = spark.range(1000).select(node.alias("node"), F.lit("data/a.png").alias("path"), F.when(F.col("id") % 2 == 0, "output").alias("role"), F.lit(None).cast("string").alias("explicit_type"))
+    given = spark.range(1000).select(node.alias("node"), F.concat(F.lit("memo "), "id").alias("text"))
+    members = spark.range(1000).select(F.when(F.col("id") < 500, "a").otherwise("b").alias("scope"), node.alias("node"))
+    used = artifacts.uses(folders, given, spark.createDataFrame([("n1", "x", "produces")], "src string, dst string, kind string"), members)
+    got = artifacts.gap_summary(artifacts.gaps(used))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "Broadcast" not in plan
+    assert {(r.measure, r.value): r.n for r in got.where("n > 0").collect()} == {("unconsumed", "document"): 1001, ("hint", "terminal/review document candidate"): 1001}
