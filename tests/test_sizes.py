@@ -68,3 +68,16 @@ def test_gaps_read_uses_once(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") == 1 and "Broadcast" not in plan
     assert {(r.measure, r.value): r.n for r in got.where("n > 0").collect()} == {("unconsumed", "document"): 1001, ("hint", "terminal/review document candidate"): 1001}
+
+
+def test_documents_are_dealt_to_all_cores(spark, tmp_path, monkeypatch):
+    from tracelake.operators import documents
+    from tracelake.plans import documents as plan
+
+    spark.read.parquet("/root/testdata/sf0.001/orders.parquet").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(documents, "walk", lambda docs: docs)
+    assert plan._walk(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    monkeypatch.undo()
+    rows = [("d", '{"workflows": [{"id": "w", "nodes": [{"id": "a", "type": "eval", "branches": [null]}, {"id": "b", "type": "eval", "branches": [null, {"on": "x"}]}, {"id": "c"}, 1, [2]]}]}'), ("e", '{"workflows": {"id": "w"}}')]
+    nodes = documents.walk(spark.createDataFrame(rows, "doc string, value string"))[1]
+    assert sorted(r.src for r in documents.nexts(nodes).collect() if r.dst) == ["node/w/a"]
