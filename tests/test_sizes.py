@@ -81,3 +81,22 @@ def test_documents_are_dealt_to_all_cores(spark, tmp_path, monkeypatch):
     rows = [("d", '{"workflows": [{"id": "w", "nodes": [{"id": "a", "type": "eval", "branches": [null]}, {"id": "b", "type": "eval", "branches": [null, {"on": "x"}]}, {"id": "c"}, 1, [2]]}]}'), ("e", '{"workflows": {"id": "w"}}')]
     nodes = documents.walk(spark.createDataFrame(rows, "doc string, value string"))[1]
     assert sorted(r.src for r in documents.nexts(nodes).collect() if r.dst) == ["node/w/a"]
+
+
+def test_propagation_makes_its_edges_once(spark, monkeypatch):
+    from tracelake.operators import graph
+
+    kept, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, **o: kept.append(df.columns) or stored(df, **o))
+    e = spark.createDataFrame([("a", "b", "r"), ("a", "b", "s"), ("c", "b", "r")], "src string, dst string, via string")
+    got = graph.propagate(spark.createDataFrame([("a", 1.0), ("b", 0.0), ("c", 0.4)], "id string, trust double"), e, rounds=1)
+    assert kept[0] == ["src", "dst"] and {r.id: round(r.trust, 6) for r in got.collect()} == {"a": 1.0, "b": 0.24, "c": 0.4}
+
+
+def test_edges_need_no_list_of_types(spark):
+    from tracelake.operators import graph
+
+    rows = [("e", "type", "Stream"), ("e", "from", "a"), ("e", "to", "b"), ("f", "type", "Rail"), ("f", "from", "a"), ("f", "to", "e"), ("a", "type", None), ("b", "type", "Step"), ("b", "type", "Node"), ("b", "label", "x")]
+    got = graph.edges_of(spark.createDataFrame(rows, "s string, p string, o string"))
+    assert "collect_set" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r)[:4] for r in got.collect()] == [("e", "Stream", "a", "b")]
