@@ -39,3 +39,13 @@ def test_an_entry_without_a_common_term_counts_where_it_may(spark):
     known = spark.createDataFrame([(1, 0, False), (2, 5, False), (3, 4, True)], "id int, worth int, free boolean")
     got = matching.top_k(queries, entries, known, queries.select("query"), k=2, order=[F.col("score").desc(), F.col("id")], bare=F.col("free"))
     assert {(r.query, r.id, r.score, r["rank"]) for r in got.collect()} == {(7, 3, 4, 1), (7, 1, 1, 2), (8, 3, 4, 1)}
+
+
+def test_context_joins_texts_of_what_was_found_only(spark):
+    from tracelake.operators import memory
+
+    nodes = spark.createDataFrame([("n", "alpha beta", ["en"], None)], "node string, text string, tags array<string>, types array<string>")
+    entries = spark.createDataFrame([(f"E-{x}", "x", None, "alpha" if x < 2 else "other", [], None, str(x)) for x in range(9)], "id string, type string, title string, text string, tags array<string>, module string, created_at string")
+    got = memory.context_pack(nodes, entries, spark.createDataFrame([("E-7", "E-0"), ("E-8", "E-7")], "src string, dst string"), k=1)
+    assert {(r.id, r.depth, r.score) for r in got.collect()} == {("E-0", 0, 1), ("E-7", 1, 0)}
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
