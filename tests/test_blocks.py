@@ -1,5 +1,7 @@
 """Pairs of queries and entries are scored in blocks: right over several of them, and no pair is a row before it can rank."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,3 +51,15 @@ def test_context_joins_texts_of_what_was_found_only(spark):
     got = memory.context_pack(nodes, entries, spark.createDataFrame([("E-7", "E-0"), ("E-8", "E-7")], "src string, dst string"), k=1)
     assert {(r.id, r.depth, r.score) for r in got.collect()} == {("E-0", 0, 1), ("E-7", 1, 0)}
     assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_similar_gives_scores_unrounded_and_hashes_in_one_pass(spark):
+    from tracelake.operators import etl
+
+    e = spark.createDataFrame([(1, [], "aaa bbb ccc"), (2, [], "aaa ddd"), (3, [], None)], "id int, tags array<string>, text string")
+    q = spark.createDataFrame([(7, [], "AAA bbb bbb")], "query int, tags array<string>, text string")
+    got = etl.similar(q, e).orderBy("rank").collect()
+    common, rare = math.log(1 + 3 / 2), math.log(1 + 3)
+    want = (common**2 + 2 * rare**2) / (math.hypot(common, 2 * rare) * math.sqrt(common**2 + 2 * rare**2))
+    assert [r.id for r in got] == [1, 2]
+    assert abs(got[0].score - want) < 1e-12 < abs(round(want, 9) - want)
