@@ -18,8 +18,9 @@ def uneven(spark):
     spark.conf.unset("spark.sql.adaptive.enabled")
 
 
-def test_blocks_in_several_tasks_equal_all_pairs(uneven):
+def test_blocks_in_several_tasks_equal_all_pairs(uneven, monkeypatch):
     """Every entry shares ten words with every query; a third are copies of one another, which tie."""
+    monkeypatch.setattr(matching, "QUERIES", 9)
     worth = lambda i: 50 if i % 3 == 0 else i * 7 % 41
     entries = uneven.range(N).select("id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("t")).withColumn("w", F.lit(1))
     queries = uneven.range(Q).select(F.col("id").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("t")).withColumn("w", F.lit(2))
