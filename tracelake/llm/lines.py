@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import GAP, discard, read, row_key, stored, words
+from .common import discard, read, row_key, stored
 
 THRESHOLD = 0.8
 MIN_WORDS = 1
@@ -45,6 +45,8 @@ LONG = 60
 _WORD = 0x7FFFFFFF
 #: Bits of a word's hash that stand after its rank in a sort key.
 _KEPT = 64 - BUCKETS.bit_length() + 1
+#: What stands between words of a comparable line, as GAP; two classes of characters are told faster than three ranges.
+_BETWEEN = r"[\p{ASCII}&&\P{Alnum}]+"
 #: Words repeat, so a large dictionary makes their stored hashes short.
 _DICTIONARY = {"parquet.dictionary.page.size": 16 << 20}
 
@@ -74,7 +76,7 @@ def _comparable(line: Column) -> Column:
 
 def _hashes(line: Column) -> Column:
     """The 64-bit hashes of the different words of a line."""
-    return F.array_remove(F.array_distinct(F.transform(F.split(_comparable(line), GAP), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.array_remove(F.array_distinct(F.transform(F.split(_comparable(line), _BETWEEN), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def line_sets(docs: DataFrame) -> DataFrame:
@@ -97,21 +99,21 @@ def _bucket(h: Column) -> Column:
 
 
 def _rank_table(sets: DataFrame) -> Column:
-    """For each bucket of words its rank by the number of words in it."""
+    """For each bucket of words its rank by the number of words in it, in the bits above those that a sort key keeps of a hash."""
     seen = sets.select(F.explode("hs").alias("h")).groupBy(_bucket(F.col("h")).alias("b")).agg(F.count("*").alias("n")).toArrow()  # at most BUCKETS rows, whatever the input
     counts = [0] * BUCKETS
     for b, n in zip(seen["b"].to_pylist(), seen["n"].to_pylist(), strict=True):
         counts[b] = n
     ranks = [0] * BUCKETS
     for rank, b in enumerate(sorted(range(BUCKETS), key=lambda b: (counts[b], b))):
-        ranks[b] = rank - BUCKETS // 2
+        ranks[b] = (rank - BUCKETS // 2) << _KEPT
     return _constant(ranks)
 
 
 def line_classes(sets: DataFrame, threshold: float) -> DataFrame:
     """(cid, place, n, b1, b2, prefix, k1, k2): each class with its first place. A set too small to match any but its equal has no prefix."""
     table = _rank_table(sets)
-    keys = F.transform("hs", lambda h: _shifted(F.coalesce(F.get(table, _bucket(h)), F.lit(0).cast("bigint")), F.lit(_KEPT)).bitwiseOR(F.shiftrightunsigned(h, 64 - _KEPT)))
+    keys = F.transform("hs", lambda h: F.get(table, _bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 64 - _KEPT)))
     size = F.when(F.col("n") >= _least(F.col("n") + 1, threshold), F.col("n") - _least(F.col("n"), threshold) + 1).otherwise(0)
     prefix = F.transform(F.slice(F.sort_array(keys), 1, size), lambda x: x.bitwiseAND(F.lit(_WORD)).cast("int"))
     rows = sets.select(
@@ -168,14 +170,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _of_crowds(classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(cid): classes that match the earliest of a crowd."""
+    """(cid): classes that match the earliest of a crowd. Crowds are counted first, by their sketches alone, so only their members are ordered."""
     rows = classes.where(F.size("prefix") > 0).select(F.explode(F.array("k1", "k2")).alias("k"), "cid", "place", "n", "b1", "b2")
-    heads = rows.groupBy("k").agg(F.min(F.struct("place", "cid", "n", "b1", "b2")).alias("head"), F.count("*").alias("g")).where(F.col("g") >= CROWD).drop("g")
+    crowds = stored(rows.groupBy("k").agg(F.count("*").alias("g")).where(F.col("g") >= CROWD).select("k"))
+    rows = rows.join(crowds, "k", "left_semi")
+    heads = rows.groupBy("k").agg(F.min(F.struct("place", "cid", "n", "b1", "b2")).alias("head"))
     both = [F.col(f"{side}{c}") for side in ("", "head.") for c in ("n", "b1", "b2")]
     near = F.min(F.struct(_differing(*both).alias("d"), F.col("head.place").alias("theirs")))
     met = rows.join(heads, "k").where((F.col("cid") != F.col("head.cid")) & _alike(*both, threshold))
     nearest = met.groupBy("cid").agg(F.min("place").alias("mine"), near.alias("near"))
-    return _verified(nearest.select("cid", "mine", "near.theirs"), sets, threshold)
+    out = _verified(nearest.select("cid", "mine", "near.theirs"), sets, threshold)
+    discard(crowds)
+    return out
 
 
 def _by_prefix(classes: DataFrame, matched: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
