@@ -28,3 +28,13 @@ def test_only_members_of_crowds_are_ordered(spark, monkeypatch):
     assert sorted(r.doc_id for r in lines.removed_lines(docs).collect()) == list(range(1, 40))
     crowds = [t for t in made if t.columns == ["k"]]
     assert len(crowds) == 1 and crowds[0].count() <= 2
+
+
+def test_plans_are_kept_as_short_texts(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    n = store.executionsList().size()
+    docs = spark.createDataFrame([(1, "one two three four five"), (2, "five four three two one\none two three four five six")], "doc_id long, text string")
+    assert lines.removed_lines(docs).count() == 2
+    ran = store.executionsList()
+    assert ran.size() > n
+    assert max(len(ran.apply(i).physicalPlanDescription()) for i in range(n, ran.size())) < 100_000

@@ -10,13 +10,13 @@ the rest the words of each set are ordered by rarity. Two sets of sizes m and n
 sizes must be within t of each other (length filter), and the words from the shared one on must suffice (positional
 filter). Of each set the parity of its words in 64 or 128 bits is kept: sets differ in at least as many words as these
 in bits. What passes is verified by the whole sets. Rarity is counted over all documents in ``BUCKETS`` buckets of words, a
-table of fixed size; any fixed order is exact, a rarer prefix only makes fewer candidates.
+table of fixed size, and told in ``LEVELS`` levels; any fixed order is exact, a rarer prefix only makes fewer candidates.
 
 Crowds of near copies are thinned out first: classes that agree in a sketch (their three least or greatest word hashes)
 with at least ``CROWD`` others meet the earliest of these alone. Whoever matches it has no need of other partners. All the rest
 meet in the prefix join, whose hot words Spark can split, as both sides are shuffled for the join alone.
 
-Words are told by 64-bit hashes, which decide a match, and a class by a 64-bit hash of these; in the prefix join words are told by 31 bits,
+Words are told by 64-bit hashes, which decide a match, and a class by a 64-bit hash of these; in the prefix join words are told by their level and 26 bits,
 where an accidental equality only makes a candidate more. Lines of fewer than ``min_words`` different words have no match and stay;
 lines without words always stay.
 
@@ -27,6 +27,8 @@ doc_id comes before all others; all columns of the input are kept, and only text
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,11 +44,12 @@ NAMED = 65_536
 CROWD = 16
 #: Sets of more words have 128 bits of parity.
 LONG = 60
-_WORD = 0x7FFFFFFF
-#: Bits of a word's hash that stand after its rank in a sort key.
-_KEPT = 64 - BUCKETS.bit_length() + 1
-#: What stands between words of a comparable line, as GAP; two classes of characters are told faster than three ranges.
-_BETWEEN = r"[\p{ASCII}&&\P{Alnum}]+"
+#: Two for each doubling of the words in a bucket; six bits.
+LEVELS = 64
+#: Bits of a word's hash that stand after its level in a sort key of 32 bits.
+_KEPT = 26
+#: What stands between words of a comparable line, as GAP. Single characters are looked up in one table, which is faster than ranges; what was taken is not given back.
+_BETWEEN = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]++"
 #: Words repeat, so a large dictionary makes their stored hashes short.
 _DICTIONARY = {"parquet.dictionary.page.size": 16 << 20}
 
@@ -98,24 +101,22 @@ def _bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def _rank_table(sets: DataFrame) -> Column:
-    """For each bucket of words its rank by the number of words in it, in the bits above those that a sort key keeps of a hash."""
+def _level_table(sets: DataFrame) -> Column:
+    """For each bucket of words its level by the number of words in it, from -LEVELS / 2. Levels are short to write, as plans are kept as text, too."""
     seen = sets.select(F.explode("hs").alias("h")).groupBy(_bucket(F.col("h")).alias("b")).agg(F.count("*").alias("n")).toArrow()  # at most BUCKETS rows, whatever the input
-    counts = [0] * BUCKETS
+    levels = [-LEVELS // 2] * BUCKETS
     for b, n in zip(seen["b"].to_pylist(), seen["n"].to_pylist(), strict=True):
-        counts[b] = n
-    ranks = [0] * BUCKETS
-    for rank, b in enumerate(sorted(range(BUCKETS), key=lambda b: (counts[b], b))):
-        ranks[b] = (rank - BUCKETS // 2) << _KEPT
-    return _constant(ranks)
+        levels[b] += min(LEVELS - 1, int(2 * math.log2(n + 1)))
+    return _constant(levels).cast("array<int>")
 
 
 def line_classes(sets: DataFrame, threshold: float) -> DataFrame:
     """(cid, place, n, b1, b2, prefix, k1, k2): each class with its first place. A set too small to match any but its equal has no prefix."""
-    table = _rank_table(sets)
-    keys = F.transform("hs", lambda h: F.get(table, _bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 64 - _KEPT)))
+    table = _level_table(sets)
+    level = lambda h: F.shiftleft(F.get(table, _bucket(h)), _KEPT)
+    keys = F.transform("hs", lambda h: level(h).bitwiseOR(F.shiftrightunsigned(h, 64 - _KEPT).cast("int")))
     size = F.when(F.col("n") >= _least(F.col("n") + 1, threshold), F.col("n") - _least(F.col("n"), threshold) + 1).otherwise(0)
-    prefix = F.transform(F.slice(F.sort_array(keys), 1, size), lambda x: x.bitwiseAND(F.lit(_WORD)).cast("int"))
+    prefix = F.slice(F.sort_array(keys), 1, size)
     rows = sets.select(
         "cid", F.struct("doc_id", "line_no", "text_key").alias("place"), "n", "b1", "b2", prefix.alias("prefix"),
         F.xxhash64(F.slice("hs", 1, 3)).alias("k1"), F.xxhash64(F.slice("hs", -3, 3)).alias("k2"),
