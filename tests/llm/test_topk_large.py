@@ -21,3 +21,13 @@ def test_large_components(spark, large):
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = topk.top_k(d.where("vec_id % 50 = 0"), d, query_block=16, candidate_block=4096)
     assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == want and 1500 > 2 * topk.STEP
+
+
+def test_no_blocks_go_through_the_driver(spark):
+    rnd = random.Random(7)
+    rows = [(i, [float(rnd.randint(-9, 9)) for _ in range(4)]) for i in range(1500)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = topk.top_k(d.where("vec_id % 10 = 0"), d, k=3, scale=1, query_block=16, candidate_block=100)
+    want = {(q, r, i, -s) for q, v in rows[::10] for r, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q)[:3], 1)}
+    assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == want
+    assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()

@@ -7,7 +7,8 @@ evaluates candidates in the order of their bounds and stops when the next bound
 
 Candidates and queries are packed into blocks; each pair of a query block and a candidate block is a row of an
 equi-join on the candidate block's number, searched on its own and returning k rows a query; the k best of those are
-taken per query. Numbers are packed as narrow as they fit. A task holds one block of each, whatever the size of the table; the pivots are a bounded sample
+taken per query. Both sides of that join are shuffled: a query block stands there once for each candidate block, so neither side may be sent to all.
+Where candidate blocks are few, each stands in several lanes, which share the query blocks, so that all cores have work. Numbers are packed as narrow as they fit. A task holds one block of each, whatever the size of the table; the pivots are a bounded sample
 (``pivots`` vectors in hash order) and the only thing that goes through the driver.
 
 Defined cases: a vector that is null, empty or holds null or non-finite components takes no part, nor does a null vec_id;
@@ -35,6 +36,8 @@ PIVOTS = 32
 QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 8192
 STEP = 512
+#: Groups of pairs for each core, where candidate blocks alone are fewer.
+LANES = 4
 
 
 def scaled(vectors: DataFrame, *, vec_id: str, embedding: str, scale: int) -> DataFrame:
@@ -77,11 +80,12 @@ def best_of_block(q_ids, q, q_d, c_ids, c, c_d, k: int) -> tuple[np.ndarray, np.
     most = float(max(_largest(q), 1)) * float(max(_largest(c), 1)) * q.shape[1]
     kind = float if most < 2**52 else np.int64 if most < 2**62 else object  # so that products and sums are exact
     q_w, c_w = q.astype(kind), c.astype(kind)
+    far = np.ascontiguousarray(c_d.T)
     out, worked = [], 0
     for i in range(len(q_ids)):
         low = np.zeros(len(c_ids))
-        for p in range(c_d.shape[1]):
-            np.maximum(low, np.abs(c_d[:, p] - q_d[i, p]), out=low)
+        for p in range(len(far)):
+            np.maximum(low, np.abs(far[p] - q_d[i, p]), out=low)
         low = np.maximum(low - 1e-6 * (1 + q_d[i].max()) - 1e-6 * low, 0)  # for the rounding of roots and of the stored distances
         bound = (q_norm[i] + c_norm - low * low) / 2 + 1e-6 * (1 + q_norm[i]) + 1e-12 * c_norm
         order = np.argsort(-bound, kind="stable")
@@ -94,6 +98,11 @@ def best_of_block(q_ids, q, q_d, c_ids, c, c_d, k: int) -> tuple[np.ndarray, np.
             worked += len(at)
             got = c_w[at] @ q_w[i]
             got = np.array([min(max(x, 1 - 2**63), 2**63 - 1) for x in got], np.int64) if kind is object else got.astype(np.int64)
+            if len(scores) == k:
+                fit = got >= scores[-1]
+                if not fit.any():
+                    continue
+                at, got = at[fit], got[fit]
             ids, scores = np.concatenate([ids, c_ids[at]]), np.concatenate([scores, got])
             keep = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[keep], scores[keep]
@@ -114,12 +123,13 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, k: int = K, vec_id: str
     n_c = max(1, -(-max(r["n"] for r in counts.values()) // candidate_block))
     n_q = max(1, -(-own.count() // query_block))
     c_blocks = stored(_packed(all_c.withColumn("cb", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n_c)).cast("int")), "cb", chosen))
+    lanes = min(n_q, -(-LANES * queries.sparkSession.sparkContext.defaultParallelism // n_c))
     in_play = own.where(F.col("dim").isin(list(chosen)))
     q_blocks = _packed(in_play.withColumn("qb", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n_q)).cast("int")), "qb", chosen)
-    pairs = (
-        q_blocks.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("ids", "keys", "width", "vs", "ds")], F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"))
-        .join(c_blocks, ["dim", "cb"])
-    )
+    met = ["dim", "cb", "lane"]
+    asked = q_blocks.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("ids", "keys", "width", "vs", "ds")], F.pmod("qb", F.lit(lanes)).alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"))
+    held = c_blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
+    pairs = asked.repartition(n_c * lanes, *met).join(held.repartition(n_c * lanes, *met).hint("merge"), met)
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
