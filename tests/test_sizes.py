@@ -1,5 +1,7 @@
 """Results and plans that only large tables would show, on small ones."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -100,3 +102,34 @@ def test_edges_need_no_list_of_types(spark):
     got = graph.edges_of(spark.createDataFrame(rows, "s string, p string, o string"))
     assert "collect_set" not in got._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r)[:4] for r in got.collect()] == [("e", "Stream", "a", "b")]
+
+
+def test_stream_counts_make_no_rows_of_the_view(spark, monkeypatch):
+    from tracelake.operators import views
+
+    rnd = random.Random(5)
+    node = lambda: rnd.choice([*(f"n{i}" for i in range(60)), None])
+    for workflows, few, bits in ((3, 256, 62), (9, 256, 2), (9, 4, 62)):
+        monkeypatch.setattr(views, "FEW", few)
+        monkeypatch.setattr(views, "BITS", bits)
+        rows = [(node(), rnd.choice("kl"), node()) for _ in range(45)]
+        names = [*map(str, range(workflows))]
+        owned = [(rnd.choice(names), node()) for _ in range(7)] + [("0", "alone"), ("1", rows[0][0])] * 2
+        sides = lambda e, c, w: [x for x in e if x is not None and (w, x) in c]
+        c = {x for x in owned if x[1] is not None}
+        near = c | {(w, x) for w in names for s, _, d in rows if sides((s, d), c, w) for x in (s, d) if x is not None}
+        view = {(w, *r) for w in names for r in rows if sides((r[0], r[2]), near, w)}
+        want = {(w, len({x for v in view if v[0] == w for x in (v[1], v[3]) if x is not None}), sum(v[0] == w for v in view)) for w in {v[0] for v in view}}
+        e, m = spark.createDataFrame(rows + rows[:9], "src string, kind string, dst string"), spark.createDataFrame(owned, "workflow string, node string")
+        assert {tuple(r) for r in views.stream_view(e, m).collect()} == view
+        if few > workflows:
+            assert {tuple(r) for r in views.stream_counts(e, m).collect()} == want
+    monkeypatch.undo()
+    e = spark.createDataFrame([("a", "k", "b"), ("b", "k", "c")], "src string, kind string, dst string")
+    m = spark.createDataFrame([(None, "a"), (3, "c")], "workflow int, node string")
+    for own in (m, m.where("workflow IS NULL"), m.limit(0)):
+        assert sorted(map(str, views.stream_counts(e, own).collect())) == sorted(map(str, views.view_counts(views.stream_view(e, own)).collect()))
+    from tracelake.plans.workflows import QUERIES
+
+    plan = QUERIES["grf8_stream_view"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 7
