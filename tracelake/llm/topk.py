@@ -6,9 +6,9 @@ max |d(q, p) - d(x, p)| over all pivots, and |q|^2 + |x|^2 - that^2, halved, bou
 evaluates candidates in the order of their bounds and stops when the next bound is below its k-th best score.
 
 Candidates and queries are packed into blocks; each pair of a query block and a candidate block is a row of an
-equi-join on the candidate block's number, searched on its own and returning k rows a query; the k best of those are
-taken per query. Both sides of that join are shuffled: a query block stands there once for each candidate block, so neither side may be sent to all.
-Where candidate blocks are few, each stands in several lanes, which share the query blocks, so that all cores have work. Numbers are packed as narrow as they fit. A task holds one block of each, whatever the size of the table; the pivots are a bounded sample
+equi-join, searched on its own and returning k rows a query; the k best of those are taken per query. Blocks meet by
+groups of up to ``TOGETHER`` of a side: a block stands once for each group of the other side, smaller groups where these give
+too few tasks. Both sides are shuffled; copied like that, neither may be sent to all. Numbers are packed as narrow as they fit. A task holds one block of each, whatever the size of the table; the pivots are a bounded sample
 (``pivots`` vectors in hash order) and the only thing that goes through the driver.
 
 Defined cases: a vector that is null, empty or holds null or non-finite components takes no part, nor does a null vec_id;
@@ -36,8 +36,9 @@ PIVOTS = 32
 QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 8192
 STEP = 512
-#: Groups of pairs for each core, where candidate blocks alone are fewer.
-LANES = 4
+#: Most blocks of a side in a group, and pairs of groups for each core at least, where blocks are enough.
+TOGETHER = 64
+FOR_A_CORE = 4
 
 
 def scaled(vectors: DataFrame, *, vec_id: str, embedding: str, scale: int) -> DataFrame:
@@ -110,6 +111,13 @@ def best_of_block(q_ids, q, q_d, c_ids, c, c_d, k: int) -> tuple[np.ndarray, np.
     return *(np.concatenate(x) for x in zip(*out, strict=True)), worked
 
 
+def groups(n_q: int, n_c: int, least: int) -> tuple[int, int]:
+    """How many groups of query and of candidate blocks: no larger than TOGETHER, and ``least`` pairs of groups if blocks are enough, by more groups of candidates first."""
+    q_groups = -(-n_q // TOGETHER)
+    c_groups = min(n_c, max(-(-n_c // TOGETHER), -(-least // q_groups)))
+    return min(n_q, max(q_groups, -(-least // c_groups))), c_groups
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, *, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = SCALE, pivots: int = PIVOTS, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each query, its own id left out."""
     own, all_c = scaled(queries, vec_id=vec_id, embedding=embedding, scale=scale).dropDuplicates(["id", "key"]), scaled(candidates, vec_id=vec_id, embedding=embedding, scale=scale)
@@ -123,13 +131,15 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, k: int = K, vec_id: str
     n_c = max(1, -(-max(r["n"] for r in counts.values()) // candidate_block))
     n_q = max(1, -(-own.count() // query_block))
     c_blocks = stored(_packed(all_c.withColumn("cb", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n_c)).cast("int")), "cb", chosen))
-    lanes = min(n_q, -(-LANES * queries.sparkSession.sparkContext.defaultParallelism // n_c))
+    q_groups, c_groups = groups(n_q, n_c, FOR_A_CORE * queries.sparkSession.sparkContext.defaultParallelism)
     in_play = own.where(F.col("dim").isin(list(chosen)))
     q_blocks = _packed(in_play.withColumn("qb", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n_q)).cast("int")), "qb", chosen)
-    met = ["dim", "cb", "lane"]
-    asked = q_blocks.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("ids", "keys", "width", "vs", "ds")], F.pmod("qb", F.lit(lanes)).alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"))
-    held = c_blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
-    pairs = asked.repartition(n_c * lanes, *met).join(held.repartition(n_c * lanes, *met).hint("merge"), met)
+    met = ["dim", "qg", "cg"]
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = q_blocks.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("ids", "keys", "width", "vs", "ds")], F.pmod("qb", F.lit(q_groups)).alias("qg"), copies(c_groups).alias("cg"))
+    held = c_blocks.select("*", F.pmod("cb", F.lit(c_groups)).alias("cg"), copies(q_groups).alias("qg"))
+    n = q_groups * c_groups
+    pairs = held.repartition(n, *met).join(asked.repartition(n, *met).hint("merge"), met)  # the second side's group is what a task holds
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
